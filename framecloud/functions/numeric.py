@@ -25,15 +25,18 @@ def to32(col: Column) -> Column:
     return col.cast("float")
 
 
-def div32(num: Column, den: Column) -> Column:
-    """float32 quotient; a zero divisor gives NaN, which no validity rule accepts."""
-    quotient = (num / F.when(den != 0, den)).cast("float")
-    return F.coalesce(quotient, F.lit(float("nan")).cast("float"))
+def div32(num: Column, den: Column | float) -> Column:
+    """float32 quotient. A divisor column must be null where it is zero."""
+    return (num / (f32(den) if isinstance(den, (int, float)) else den)).cast("float")
+
+
+def non_zero(col: Column) -> Column:
+    return F.when(col != 0, col)
 
 
 def is_finite(col: Column) -> Column:
-    """False for NaN, both infinities and null."""
-    return F.coalesce(~F.isnan(col) & (F.abs(col) < F.lit(INF)), F.lit(False))
+    """False for NaN, both infinities and null; Spark orders NaN above infinity."""
+    return F.coalesce(F.abs(col) < F.lit(INF), F.lit(False))
 
 
 def all_of(conditions: list[Column]) -> Column:

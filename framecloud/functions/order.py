@@ -6,7 +6,7 @@ into parts of bounded size and only then ranks what is left.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,101 +86,98 @@ def first_k(
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
+    quantiles: Mapping[str, Mapping[str, float]],
     nearest_rank: bool = False,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact quantiles per key, one column per entry of ``quantiles``.
+    """Exact quantiles per key: ``quantiles`` maps a value column to {result: q}.
 
     Linear interpolation between the two neighbouring ranks, or with
-    ``nearest_rank`` the value at the half-to-even rounded rank. A mergeable
-    sketch brackets each rank, one pass counts the rows below the bracket, and
-    only distinct values inside the bracket are ranked. The built-in exact
-    percentile keeps all values of a group in one task instead.
+    ``nearest_rank`` the value at the half-to-even rounded rank. ``also`` holds
+    further aggregates of the same groups, computed in the same first pass.
+
+    The built-in exact percentile keeps all values of a group in one task.
+    Here a mergeable sketch brackets each rank, the second pass counts the rows
+    below a bracket where they lie, and only distinct values inside a bracket
+    are ranked.
     """
     if not keys:
-        alone = order_statistics(
-            df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, nearest_rank
-        )
-        return alone.drop("_all")
+        whole = df.withColumn("_all", F.lit(0))
+        return order_statistics(whole, ["_all"], quantiles, nearest_rank, also).drop("_all")
     keys = list(keys)
-    names = list(quantiles)
+    wanted = [(v, name, q) for v, names in quantiles.items() for name, q in names.items()]
     slack = 4.0 / SKETCH_ACCURACY
-    probes: list[float] = []
-    for name in names:
-        q = quantiles[name]
-        probes += [max(q - slack, 0.0), min(q + slack, 1.0)]
-    v = F.col(value)
-    present = df.where(v.isNotNull())
-    stats = present.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-        F.percentile_approx(v, probes, SKETCH_ACCURACY).alias("_probe"),
-    )
-    small = F.col("_n") <= SMALL_GROUP
-    brackets = []
-    for j, name in enumerate(names):
-        q = quantiles[name]
-        low = F.when(small | F.lit(q - slack <= 0.0), F.col("_min")).otherwise(
-            F.col("_probe")[2 * j]
-        )
-        high = F.when(small | F.lit(q + slack >= 1.0), F.col("_max")).otherwise(
-            F.col("_probe")[2 * j + 1]
-        )
-        at = (F.col("_n") - 1).cast("double") * F.lit(q)
-        if nearest_rank:
-            lo_rank = hi_rank = F.rint(at).cast("bigint")
-            weight = F.lit(0.0)
-        else:
-            lo_rank, hi_rank = F.floor(at).cast("bigint"), F.ceil(at).cast("bigint")
-            weight = at - F.floor(at)
-        brackets.append(
+    sketches, targets = [], []
+    for j, (value, name, q) in enumerate(wanted):
+        v = F.col(value).cast("double")
+        probes = [max(q - slack, 0.0), min(q + slack, 1.0)]
+        sketches += [
+            F.count(v).alias(f"_n{j}"),
+            F.min(v).alias(f"_min{j}"),
+            F.max(v).alias(f"_max{j}"),
+            F.percentile_approx(v, probes, SKETCH_ACCURACY).alias(f"_probe{j}"),
+        ]
+        n = F.col(f"_n{j}")
+        small = n <= SMALL_GROUP
+        low = F.when(small | F.lit(q - slack <= 0.0), F.col(f"_min{j}"))
+        high = F.when(small | F.lit(q + slack >= 1.0), F.col(f"_max{j}"))
+        at = (n - 1).cast("double") * F.lit(float(q))
+        first, last = (F.rint(at), F.rint(at)) if nearest_rank else (F.floor(at), F.ceil(at))
+        targets.append(
             F.struct(
                 F.lit(name).alias("_q"),
-                low.alias("_low"),
-                high.alias("_high"),
-                lo_rank.alias("_lo_rank"),
-                hi_rank.alias("_hi_rank"),
-                weight.alias("_weight"),
+                low.otherwise(F.col(f"_probe{j}")[0]).alias("_low"),
+                high.otherwise(F.col(f"_probe{j}")[1]).alias("_high"),
+                first.cast("bigint").alias("_first"),
+                last.cast("bigint").alias("_last"),
+                (F.lit(0.0) if nearest_rank else at - F.floor(at)).alias("_weight"),
             )
         )
+    stats = df.groupBy(*keys).agg(*also, *sketches)
+    kept = [c for c in stats.columns if c not in keys and not c.startswith("_")]
     # One row per key: computed once, then counted before it may be broadcast.
-    targets = checked_broadcast(cut(stats.select(*keys, F.array(*brackets).alias("_targets"))))
-    joined = present.select(*keys, v.alias("_v")).join(targets, keys)
-    # Rows of one bracket side collapse to one counted row each before the
-    # shuffle; values inside a bracket collapse to one row per distinct value.
-    tagged = joined.select(*keys, "_v", F.explode("_targets").alias("_t")).select(
-        *keys,
-        "_t.*",
-        F.when(F.col("_v") < F.col("_t._low"), F.lit(None))
-        .otherwise(F.col("_v"))
-        .alias("_v"),
-    ).where(F.col("_v").isNull() | (F.col("_v") <= F.col("_high")))
-    counted = tagged.groupBy(*keys, "_q", "_v").agg(
-        F.count(F.lit(1)).alias("_c"),
-        *[F.first(c).alias(c) for c in ("_lo_rank", "_hi_rank", "_weight")],
+    summary = cut(stats.select(*keys, *kept, F.array(*targets).alias("_targets")))
+    small_side = checked_broadcast(summary)
+
+    cells = [
+        F.struct(
+            F.col("_targets")[j].alias("_t"), F.col(value).cast("double").alias("_v")
+        )
+        for j, (value, _, _) in enumerate(wanted)
+    ]
+    values = [F.col(v) for v in quantiles]
+    paired = df.select(*keys, *values).join(small_side.select(*keys, "_targets"), keys)
+    inside = (
+        paired.select(*keys, F.inline(F.array(*cells)))
+        .select(*keys, "_t.*", "_v")
+        .where(F.col("_v") <= F.col("_high"))
+    )
+    # All rows below a bracket become one counted row with a null value.
+    counted = (
+        inside.withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
+        .groupBy(*keys, "_q", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     run = W.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
     placed = counted.withColumn(
         "_end", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0))
     ).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranks = small_side.select(*keys, F.inline("_targets")).drop("_low", "_high")
 
     def at_rank(rank: str) -> Column:
         hit = (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v").cast("double")))
+        return F.max(F.when(hit, F.col("_v")))
 
-    picked = placed.groupBy(*keys, "_q").agg(
-        at_rank("_lo_rank").alias("_lo"),
-        at_rank("_hi_rank").alias("_hi"),
-        F.first("_weight").alias("_weight"),
-    )
-    missed = F.col("_lo").isNull() | F.col("_hi").isNull()
-    exact = F.when(missed, F.raise_error(F.lit("rank outside its sketch bracket")).cast("double"))
-    picked = picked.withColumn(
-        "_value",
-        exact.otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_weight")),
+    picked = placed.join(ranks, [*keys, "_q"]).groupBy(*keys, "_q").agg(
+        at_rank("_first").alias("_a"), at_rank("_last").alias("_b"), F.first("_weight").alias("_w")
     )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == n, F.col("_value"))).alias(n) for n in names]
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
+    value = F.when(
+        missed, F.raise_error(F.lit("rank outside its sketch bracket")).cast("double")
+    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
+    found = (
+        picked.withColumn("_value", value)
+        .groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("_q") == n, F.col("_value"))).alias(n) for _, n, _ in wanted])
     )
+    return summary.drop("_targets").join(found, keys, "left")

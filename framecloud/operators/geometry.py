@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framecloud.functions.joins import checked_broadcast
-from framecloud.functions.numeric import all_of, div32, f32, is_finite, sum32, to32
+from framecloud.functions.numeric import all_of, div32, f32, is_finite, non_zero, sum32, to32
 
 LENS = ("scale", "fx", "fy", "cx", "cy")
 
 
-def attach_cameras(frames: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Join the camera row to each frame; a frame of an unknown camera is an error."""
-    joined = frames.join(checked_broadcast(cameras), "camera", "left")
+def attach_cameras(frames: DataFrame, cameras: DataFrame, checked: bool = False) -> DataFrame:
+    """Join the camera row to each frame; a frame of an unknown camera is an error.
+
+    ``checked`` says that the caller already decided about broadcasting.
+    """
+    side = cameras if checked else checked_broadcast(cameras)
+    joined = frames.join(side, "camera", "left")
     known = F.when(
         F.col("depth_scale").isNull(),
         F.raise_error(F.concat(F.lit("unknown camera: "), F.col("camera"))).cast("double"),
@@ -50,11 +54,13 @@ def resolve_depth(frames: DataFrame, stereo: Column) -> DataFrame:
 
 
 def lens_columns(k: str = "k", scale: str = "depth_scale") -> list[Column]:
-    """The five float32 scalars a pixel needs from its camera."""
-    return [
-        to32(F.col(scale)).alias("scale"),
-        *[to32(F.col(f"{k}.{name}")).alias(name) for name in ("fx", "fy", "cx", "cy")],
-    ]
+    """The five float32 scalars a pixel needs from its camera.
+
+    A focal length of zero becomes null, which leaves no valid point.
+    """
+    focal = [non_zero(to32(F.col(f"{k}.{n}"))).alias(n) for n in ("fx", "fy")]
+    center = [to32(F.col(f"{k}.{n}")).alias(n) for n in ("cx", "cy")]
+    return [to32(F.col(scale)).alias("scale"), *focal, *center]
 
 
 def check_shape(frames: DataFrame, array: str, height: Column, width: Column) -> DataFrame:
@@ -107,8 +113,9 @@ def deproject(pixels: DataFrame, depth: str = "depth", drop: Sequence[str] = LEN
             "y": div32((v - F.col("cy")) * F.col("z"), F.col("fy")),
         }
     )
-    valid = all_of([is_finite(F.col(c)) for c in "xyz"] + [F.col("z") > f32(0)])
-    return located.withColumn("valid", F.coalesce(valid, F.lit(False))).drop(*drop)
+    infinity = f32(math.inf)
+    inside = [F.abs("x") < infinity, F.abs("y") < infinity, F.col("z") > f32(0), F.col("z") < infinity]
+    return located.withColumn("valid", F.coalesce(all_of(inside), F.lit(False))).drop(*drop)
 
 
 def valid_points(pixels: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def disparity_columns(
     d = disparity
     finite = is_finite(d)
     positive = finite & (d > f32(epsilon))
-    raw = F.when(d == f32(0), f32(math.inf)).otherwise(div32(to32(fx_baseline), d))
+    raw = F.coalesce(div32(to32(fx_baseline), non_zero(d)), f32(math.inf))
     raw_finite = is_finite(raw)
     invisible = positive & ((to32(u) - d) < f32(0))
     below = raw_finite & (raw < f32(min_depth))
@@ -167,8 +174,9 @@ def rigid_transform(r: Column, t: Column, names: Sequence[str] = ("x", "y", "z")
 def project_to_pixel(x: Column, y: Column, z: Column, k: Column) -> dict[str, Column]:
     """Nearest pixel of a camera-frame point; null outside the image or behind it."""
     ahead = all_of([is_finite(c) for c in (x, y, z)]) & (z > f32(0))
-    u = F.rint(div32(x * to32(k["fx"]), z) + to32(k["cx"]))
-    v = F.rint(div32(y * to32(k["fy"]), z) + to32(k["cy"]))
+    depth = non_zero(z)
+    u = F.rint(div32(x * to32(k["fx"]), depth) + to32(k["cx"]))
+    v = F.rint(div32(y * to32(k["fy"]), depth) + to32(k["cy"]))
     inside = ahead & (u >= 0) & (u < k["width"]) & (v >= 0) & (v < k["height"])
     return {
         "hit": F.coalesce(inside, F.lit(False)),

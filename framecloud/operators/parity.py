@@ -64,7 +64,7 @@ def parity_metrics(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
         "_relative", F.col("depth_error").cast("double") / F.col("_ref").cast("double")
     )
     overlap = count_where(F.col("disp_error").isNotNull())
-    base = wide.groupBy(*by).agg(
+    means = [
         safe_ratio(overlap, count_where(F.col("ref_ok"))).alias("valid_overlap_ratio"),
         safe_ratio(count_where(F.col("cand_ok")), F.count(F.lit(1))).alias("finite_positive_ratio"),
         count_where(F.col("ref_ok")).alias("reference_valid_count"),
@@ -73,14 +73,12 @@ def parity_metrics(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max(F.col("disp_error").cast("double")).alias("disparity_max_px"),
         F.avg(F.col("depth_error").cast("double")).alias("depth_mae_m"),
         F.avg("_relative").alias("depth_relative_error_mean"),
-    )
-    disp = order_statistics(
-        errors, by, "disp_error", {"disparity_median_px": 0.5, "disparity_p95_px": 0.95}
-    )
-    depth = order_statistics(
-        errors, by, "depth_error", {"depth_median_m": 0.5, "depth_p95_m": 0.95}
-    )
-    return base.join(disp, by, "left").join(depth, by, "left")
+    ]
+    quantiles = {
+        "disp_error": {"disparity_median_px": 0.5, "disparity_p95_px": 0.95},
+        "depth_error": {"depth_median_m": 0.5, "depth_p95_m": 0.95},
+    }
+    return order_statistics(wide, by, quantiles, also=means)
 
 
 def parity_checks(metrics: DataFrame, by: Sequence[str], limits: Mapping[str, float] = THRESHOLDS):
@@ -134,15 +132,13 @@ def native_parity(pixels: DataFrame, by: Sequence[str], scale: Column) -> DataFr
     n = F.count(F.lit(1))
     overlap = count_where(F.col("error").isNotNull())
     native_count = count_where(F.col("native_ok"))
-    base = errors.groupBy(*by).agg(
+    means = [
         safe_ratio(native_count, n).alias("native_depth_valid_ratio"),
         safe_ratio(count_where(F.col("estimated_ok")), n).alias("estimated_depth_valid_ratio"),
         safe_ratio(overlap, n).alias("valid_overlap_ratio_over_image"),
         safe_ratio(overlap, native_count).alias("valid_overlap_ratio_over_native"),
         F.avg(F.col("error").cast("double")).alias("depth_abs_error_mean_m"),
         F.avg("_relative").alias("depth_relative_error_mean"),
-    )
-    spread = order_statistics(
-        errors, by, "error", {"depth_abs_error_median_m": 0.5, "depth_abs_error_p95_m": 0.95}
-    )
-    return base.join(spread, by, "left")
+    ]
+    quantiles = {"error": {"depth_abs_error_median_m": 0.5, "depth_abs_error_p95_m": 0.95}}
+    return order_statistics(errors, by, quantiles, also=means)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framecloud.functions.numeric import div32, f32, to32
+from framecloud.functions.numeric import div32, f32, non_zero, to32
 
 INF = float("inf")
 
@@ -102,7 +102,7 @@ def planar_pad(
 
 def _source_position(cell: Column, src: int, dst: int) -> Column:
     """Half-pixel-centre source coordinate of a target cell, in float32."""
-    step = div32(f32(src), f32(dst))
+    step = div32(f32(src), dst)
     return (to32(cell) + f32(0.5)) * step - f32(0.5)
 
 
@@ -184,6 +184,5 @@ def plain_depth(disparity: Column, u: Column, fx_baseline: Column) -> Column:
     invisible = (to32(u) - d) < f32(0)
     return (
         F.when(invisible, f32(0))
-        .when(d == f32(0), f32(math.inf))
-        .otherwise(div32(to32(fx_baseline), d))
+        .otherwise(F.coalesce(div32(to32(fx_baseline), non_zero(d)), f32(math.inf)))
     )

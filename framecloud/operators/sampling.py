@@ -34,7 +34,7 @@ def _one_task(frame_bound: int | None) -> bool:
 def voxel_key_columns(voxel_size: float) -> dict[str, Column]:
     """Voxel position per axis from coordinates only."""
     return {
-        k: F.floor(div32(F.col(a), f32(voxel_size))).cast("bigint")
+        k: F.floor(div32(F.col(a), voxel_size)).cast("bigint")
         for k, a in zip(VOXEL, "xyz", strict=True)
     }
 

@@ -15,17 +15,15 @@ STAGES = ("deprojection", "rgb_mapping", "crop", "sampling")
 
 def latency_summary(timings: DataFrame, by: Sequence[str], value: str = "ms") -> DataFrame:
     """Mean, median and 95th percentile (linear interpolation)."""
-    by = list(by)
-    mean = timings.groupBy(*by).agg(F.avg(value).alias("mean_ms"))
-    quantiles = order_statistics(timings, by, value, {"p50_ms": 0.5, "p95_ms": 0.95})
-    return mean.join(quantiles, by)
+    quantiles = {value: {"p50_ms": 0.5, "p95_ms": 0.95}}
+    return order_statistics(timings, by, quantiles, also=[F.avg(value).alias("mean_ms")])
 
 
 def nearest_rank(
     timings: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Values at rank round((n - 1) q), half to even."""
-    return order_statistics(timings, by, value, quantiles, nearest_rank=True)
+    return order_statistics(timings, by, {value: quantiles}, nearest_rank=True)
 
 
 def run_totals(timings: DataFrame, by: Sequence[str], value: str = "seconds") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framecloud.config import BuildConfig, StereoConfig
+from framecloud.functions.joins import BROADCAST_ROWS
 from framecloud.functions.numeric import f32
 from framecloud.operators.color import channel, divisor
 from framecloud.operators.crop import crop
@@ -33,18 +34,56 @@ RGB = ("red", "green", "blue")
 _RGB_CARRY = ("rgb", "rgb_channels", "rgb_div", "aligned", "mapped", "r", "t", "color_k")
 
 
-@dataclass(frozen=True)
 class Stages:
-    """Lazily derived results of one build.
+    """Results of one build; each is planned when it is first asked for.
 
-    ``pixels`` holds disparity, depth and validity per pixel for a stereo source.
+    Packed frames are partitioned by frame once, before they are exploded. The
+    voxel aggregate, the ranking and the padding join all reuse that layout, so
+    exploded points are never shuffled.
     """
 
-    raw: DataFrame
-    cropped: DataFrame
-    sampled: DataFrame
-    meta: DataFrame
-    pixels: DataFrame | None = None
+    def __init__(self, frames, cameras, cfg: BuildConfig, keys: Sequence[str], mode: str):
+        self.cfg, self.keys, self.mode = cfg, list(keys), mode
+        self.frames = frames
+        self.cameras, self.frame_bound = bounded_cameras(cameras)
+
+    @cached_property
+    def packed(self) -> DataFrame:
+        return prepare(self.frames, self.cameras, self.cfg, self.keys)
+
+    @cached_property
+    def _raw(self) -> DataFrame:
+        return raw_points(self.packed, self.keys, self.cfg)
+
+    @cached_property
+    def _by_frame(self) -> DataFrame:
+        return raw_points(self.packed.repartition(*self.keys), self.keys, self.cfg)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self._raw.drop("hit")
+
+    @cached_property
+    def cropped(self) -> DataFrame:
+        return crop(self.raw, self.cfg.crop)
+
+    @cached_property
+    def sampled(self) -> DataFrame:
+        cropped = crop(self._by_frame.drop("hit"), self.cfg.crop)
+        return sample_points(
+            cropped, self.frames, self.keys, self.cfg.sampling, frame_bound=self.frame_bound
+        )
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return build_meta(self)
+
+    @cached_property
+    def pixels(self) -> DataFrame:
+        """Disparity, depth and validity per pixel; only a stereo source has them."""
+        if self.cfg.depth_mode != "stereo":
+            raise ValueError("perception pixels need a stereo depth source")
+        return stereo_pixels(self.packed, self.keys, self.cfg.stereo)
 
 
 def _mapping(cfg: BuildConfig) -> Column:
@@ -78,7 +117,7 @@ def _check_color(frames: DataFrame, cfg: BuildConfig) -> DataFrame:
 
 def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Sequence[str]):
     """Packed frames with camera scalars, pruned to what the pixel stage reads."""
-    placed = attach_cameras(frames, cameras)
+    placed = attach_cameras(frames, cameras, checked=True)
     stereo = cfg.depth_mode == "stereo"
     array = "disparity" if stereo else "depth"
     k = F.col("depth_k") if stereo else active_intrinsics()
@@ -157,41 +196,23 @@ def raw_points(packed: DataFrame, keys: Sequence[str], cfg: BuildConfig) -> Data
     return points.select(*keys, "idx", *"xyz")
 
 
-def image_bound(cameras: DataFrame) -> int:
-    """Most pixels any camera delivers; the shape check makes it hold for every frame."""
-    area = [F.col(f"{k}.width") * F.col(f"{k}.height") for k in ("color_k", "depth_k")]
-    return int(cameras.agg(F.max(F.greatest(*area)).alias("n")).first()["n"] or 0)
+def bounded_cameras(cameras: DataFrame) -> tuple[DataFrame, int]:
+    """Cameras, hinted for broadcast if few, and the most pixels any of them delivers.
 
+    The shape check makes the pixel bound hold for every frame.
+    """
+    area = [F.col(f"{k}.width") * F.col(f"{k}.height") for k in ("color_k", "depth_k")]
+    seen = cameras.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*area)).alias("area")).first()
+    side = F.broadcast(cameras) if seen["n"] <= BROADCAST_ROWS else cameras
+    return side, int(seen["area"] or 0)
 
-def build(
-    frames: DataFrame,
-    cameras: DataFrame,
-    cfg: BuildConfig,
-    keys: Sequence[str] = KEYS,
-    mode: str = "recorded",
-) -> Stages:
-    """Raw, cropped and sampled clouds plus metadata of every frame.
 
-    Packed frames are partitioned by frame once, before they are exploded. The
-    voxel aggregate, the ranking and the padding join all reuse that layout, so
-    exploded points are never shuffled.
-    """
-    keys = list(keys)
-    packed = prepare(frames, cameras, cfg, keys)
-    by_frame = packed.repartition(*keys)
-    clean = lambda df: df.drop("hit")
-
-    raw = raw_points(packed, keys, cfg)
-    local = raw_points(by_frame, keys, cfg)
-    sampled = sample_points(
-        clean(crop(local, cfg.crop)),
-        frames.select(*keys),
-        keys,
-        cfg.sampling,
-        frame_bound=image_bound(cameras),
-    )
-    counts = stage_counts(local, keys, cfg.crop, cfg.sampling)
-    described = attach_cameras(frames.select(*keys, "ts"), cameras).select(
+def build_meta(stages: Stages) -> DataFrame:
+    """Metadata of every frame, with colour counts when colour is on."""
+    cfg, keys = stages.cfg, stages.keys
+    counts = stage_counts(stages._by_frame, keys, cfg.crop, cfg.sampling)
+    frames = stages.frames.select(*keys, "ts")
+    described = attach_cameras(frames, stages.cameras, checked=True).select(
         *keys,
         F.col("ts").alias("timestamp"),
         F.col("aligned").alias("aligned_depth_to_color"),
@@ -203,17 +224,24 @@ def build(
     )
     mapped = F.col("aligned_depth_to_color") | (F.col("rgb_mapping") == "project_depth_to_color")
     use_rgb = mapped if cfg.pointcloud.use_rgb else F.lit(False)
-    meta = frame_meta(described, counts, keys, cfg.crop, cfg.sampling, mode, use_rgb)
-    if cfg.pointcloud.use_rgb:
-        meta = meta.withColumns(
-            {
-                "invalid_projection_count": F.when(
-                    use_rgb, F.col("num_raw_points") - F.col("valid_projection_count")
-                ),
-                "rgb_reason": F.when(~use_rgb, "raw_depth_rgb_mapping_not_configured"),
-            }
-        )
-    pixels = None
-    if cfg.depth_mode == "stereo":
-        pixels = stereo_pixels(packed, keys, cfg.stereo)
-    return Stages(clean(raw), clean(crop(raw, cfg.crop)), sampled, meta, pixels)
+    meta = frame_meta(described, counts, keys, cfg.crop, cfg.sampling, stages.mode, use_rgb)
+    if not cfg.pointcloud.use_rgb:
+        return meta
+    misses = F.col("num_raw_points") - F.col("valid_projection_count")
+    return meta.withColumns(
+        {
+            "invalid_projection_count": F.when(use_rgb, misses),
+            "rgb_reason": F.when(~use_rgb, "raw_depth_rgb_mapping_not_configured"),
+        }
+    )
+
+
+def build(
+    frames: DataFrame,
+    cameras: DataFrame,
+    cfg: BuildConfig,
+    keys: Sequence[str] = KEYS,
+    mode: str = "recorded",
+) -> Stages:
+    """Raw, cropped and sampled clouds plus metadata of every frame."""
+    return Stages(frames, cameras, cfg, keys, mode)
