@@ -32,16 +32,12 @@ def pack_parts(xyz: DataFrame, colors: DataFrame, keys: Sequence[str]) -> DataFr
     right = colors.withColumn("_rgb", F.lit(True))
     both = left.join(right, [*keys, "idx"], "full_outer")
     lonely = F.col("_xyz").isNull() | F.col("_rgb").isNull()
-    checked = F.when(
-        lonely, F.raise_error(F.lit("colors and points differ in length")).cast("float")
-    ).otherwise(F.col("x"))
-    return both.withColumn("x", checked).drop("_xyz", "_rgb")
+    problem = F.raise_error(F.lit("colors and points differ in length")).cast("float")
+    # Every coordinate carries the check, so no filter on one of them can pass it by.
+    checked = {a: F.when(lonely, problem).otherwise(F.col(a)) for a in "xyz"}
+    return both.withColumns(checked).drop("_xyz", "_rgb")
 
 
 def crop_parts(xyz: DataFrame, colors: DataFrame, cfg: CropConfig, keys) -> DataFrame:
-    """Crop coordinates and colours that live in separate tables.
-
-    An empty partner is checked before the filter, so a length mismatch is
-    reported even when the crop would have removed the row.
-    """
+    """Crop coordinates and colours that live in separate tables."""
     return crop(pack_parts(xyz, colors, keys), cfg)

@@ -125,7 +125,9 @@ def _large_frames(
 def _nearer(state: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Lower each point's distance by the points chosen since the last round."""
     chunks = state.select(*keys, "_chunk").distinct()
-    reach = chunks.join(fresh.select(*keys, *"xyz"), keys)
+    joined = chunks.join(fresh.select(*keys, *"xyz"), keys)
+    # Fresh column identities, as both sides of the cogroup stem from ``state``.
+    reach = joined.select(*[F.col(c).alias(c) for c in joined.columns])
     schema = state.schema
 
     def lower(points: pa.Table, targets: pa.Table) -> pa.Table:
