@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framecloud.operators.assembly import pack_clouds
 
@@ -15,7 +16,7 @@ RGB = ("red", "green", "blue")
 MODE = "errorifexists"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _coordinates(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
     """Shortest decimal text of the widened float32 values."""
     columns = [c.to_numpy(np.float64).tolist() for c in (x, y, z)]
