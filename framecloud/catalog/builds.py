@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from framecloud.catalog import sql as S
 from framecloud.catalog import views
 from framecloud.catalog.clouds import TIGHT, TIGHT_SQL, WINDOW, WINDOW_SQL
@@ -16,6 +14,7 @@ from framecloud.functions.checkpoints import checkpoint_dir
 from framecloud.operators.stereo import stage_breakdown
 from framecloud.plans.build import build
 from framecloud.schema import FRAMES, KEYS
+from framecloud.sinks.writers import ply_lines
 from framecloud.streaming.live import read_frames, run_live
 
 SAMPLING = SamplingConfig("voxel_random", 16, voxel_size=0.05, seed=42, deterministic=True)
@@ -228,6 +227,29 @@ def live_meta(spark, sf_dir):
     return meta.select(*KEYS, "timestamp", "mode", "stage", "num_sampled_points")
 
 
+@query(
+    "stereo_meta",
+    S.with_(
+        STEREO_RAW,
+        select="""select camera, frame_id, max(dfx)::double as fx_px, 0.05::double as baseline_m,
+          1.0::double as effective_depth_scale, count(*) as total, count(*) filter (valid) as valid,
+          count(*) filter (not valid) as invalid, count(*) filter (not isfinite(d)) as non_finite,
+          count(*) filter (isfinite(d) and d <= 0.001::float) as non_positive_or_epsilon,
+          count(*) filter (invisible) as invisible_right_coordinate,
+          count(*) filter (isfinite(zz) and zz < 0.2::float) as below_min_depth,
+          count(*) filter (isfinite(zz) and zz > 1.5::float) as above_max_depth
+        from spx group by camera, frame_id""",
+    ),
+)
+def stereo_meta(spark, sf_dir):
+    meta = built(spark, sf_dir, STEREO).stereo_meta
+    return meta.select(
+        *KEYS, "fx_px", "baseline_m", "effective_depth_scale", "total", "valid", "invalid",
+        "non_finite", "non_positive_or_epsilon", "invisible_right_coordinate",
+        "below_min_depth", "above_max_depth",
+    )
+
+
 @query(
     "ply_text",
     S.with_(
@@ -237,13 +259,13 @@ def live_meta(spark, sf_dir):
         select="""select camera, frame_id, unnest(range(7)) as line_no,
             unnest(['ply', 'format ascii 1.0', 'element vertex ' || coalesce(n, 0), 'property float x',
               'property float y', 'property float z', 'end_header']) as value
-          from frames left join cnt using (camera, frame_id)""",
+          from frames left join cnt using (camera, frame_id)
+          union all
+          select camera, frame_id, idx + 7, concat_ws(' ', x::double::varchar, y::double::varchar,
+            z::double::varchar) from raw""",
     ),
 )
 def ply_text(spark, sf_dir):
-    """Header lines of one ASCII cloud file per frame."""
-    from framecloud.sinks.writers import ply_lines
-
+    """All lines of one ASCII cloud file per frame."""
     stages = built(spark, sf_dir, BuildConfig(sampling=SamplingConfig(enabled=False)))
-    lines = ply_lines(stages.raw, views.frames(spark, sf_dir), list(KEYS))
-    return lines.where(F.col("line_no") < 7)
+    return ply_lines(stages.raw, views.frames(spark, sf_dir), list(KEYS))

@@ -195,18 +195,19 @@ def frame_completeness_query(spark, sf_dir):
 @query(
     "frame_assembly",
     """select cast(label as varchar) as camera, vec_id as frame_id, vec_id::double / 30.0 as ts,
-      embedding[1] as first_depth, abs(embedding[1]) * 255.0::float as first_ir,
-      case when label <> 9 then abs(embedding[1]) * 3.0::float end as first_red
+      embedding as depth, list_transform(embedding, lambda c: abs(c) * 255.0::float) as left_ir,
+      list_transform(list_reverse(embedding), lambda c: abs(c) * 255.0::float) as right_ir,
+      case when label <> 9 then list_transform(range(192), lambda j: abs(
+        case j % 3 when 0 then embedding[j // 3 + 1] when 1 then embedding[64 - j // 3]
+          else embedding[xor(j // 3, 1) + 1] end) * 3.0::float) end as rgb
     from embeddings""",
 )
 def frame_assembly(spark, sf_dir):
     """Streams stored apart; camera 9 has no colour stream."""
-    all_frames = views.frames(spark, sf_dir)
-    depth = all_frames.select(*KEYS, "ts", F.get("depth", F.lit(0)).alias("first_depth"))
-    ir = all_frames.select(*KEYS, F.get("left_ir", F.lit(0)).alias("first_ir"))
-    rgb = all_frames.where(F.col("camera") != "9").select(
-        *KEYS, F.get("rgb", F.lit(0)).alias("first_red")
-    )
+    every = views.frames(spark, sf_dir)
+    depth = every.select(*KEYS, "ts", "depth")
+    ir = every.select(*KEYS, "left_ir", "right_ir")
+    rgb = every.where(F.col("camera") != "9").select(*KEYS, "rgb")
     return assemble_frames(depth, ir, rgb, KEYS)
 
 

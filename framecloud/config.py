@@ -156,10 +156,6 @@ class StereoConfig:
     """Disparity source and the rules that turn disparity into depth."""
 
     backend: str = ""
-    left_key: str = "left_ir"
-    right_key: str = "right_ir"
-    width: int = 640
-    height: int = 480
     max_disp: int = 416
     valid_iters: int = 8
     precision: str = "fp16"

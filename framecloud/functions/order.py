@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from framecloud.functions.checkpoints import cut
 from framecloud.functions.joins import checked_broadcast
 
-SPREAD = 64
+SPREAD = 1024
+BRACKET_PARTS = 1024
 SKETCH_ACCURACY = 10_000
 SMALL_GROUP = 50_000
 
@@ -57,17 +58,18 @@ def first_k(
     order: Sequence[str | Column],
     k: int,
     rank: str,
-    spread_on: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Keep the first ``k`` rows per group in ``order`` and add a 0-based rank.
 
-    With ``spread_on`` a group is first cut into ``SPREAD`` hash parts, each
-    keeping its own first ``k``; the final ranking then sees at most
-    ``SPREAD * k`` rows of a group, whatever its size.
+    With ``spread`` each input partition first keeps its own first ``k`` rows of
+    a group, which Spark does before the shuffle, and these are ranked in
+    ``SPREAD`` parts. The final ranking then sees at most ``SPREAD * k`` rows of
+    a group, whatever its size. Any split gives the same result.
     """
     keys = list(keys)
-    if spread_on is not None:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(SPREAD)))
+    if spread:
+        salted = df.withColumn("_salt", F.spark_partition_id() % SPREAD)
         part = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             salted.withColumn("_rn", F.row_number().over(part))
@@ -152,23 +154,43 @@ def order_statistics(
         .select(*keys, "_t.*", "_v")
         .where(F.col("_v") <= F.col("_high"))
     )
-    # All rows below a bracket become one counted row with a null value.
-    counted = (
-        inside.withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
-        .groupBy(*keys, "_q", "_v")
+    # All rows below a bracket become one counted row with a null value; what is
+    # left is under a thousandth of a large group and is kept for two readers.
+    low, high = F.col("_low"), F.col("_high")
+    step = F.floor((F.col("_v") - low) / F.when(high > low, high - low) * F.lit(BRACKET_PARTS))
+    counted = cut(
+        inside.withColumn("_v", F.when(F.col("_v") >= low, F.col("_v")))
+        .withColumn(
+            "_part", F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(step, F.lit(0)))
+        )
+        .groupBy(*keys, "_q", "_part", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    run = W.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
-    placed = counted.withColumn(
-        "_end", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0))
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
     ranks = small_side.select(*keys, F.inline("_targets")).drop("_low", "_high")
+    earlier = W.partitionBy(*keys, "_q").orderBy("_part")
+    parts = (
+        counted.groupBy(*keys, "_q", "_part")
+        .agg(F.sum("_c").alias("_size"))
+        .withColumn("_upto", F.sum("_size").over(earlier.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_shift", F.col("_upto") - F.col("_size"))
+        .join(ranks, [*keys, "_q"])
+    )
+
+    def holds(start: str, end: str, rank: str) -> Column:
+        return (F.col(start) <= F.col(rank)) & (F.col(rank) < F.col(end))
+
+    hit = parts.where(holds("_shift", "_upto", "_first") | holds("_shift", "_upto", "_last"))
+    run = W.partitionBy(*keys, "_q", "_part").orderBy("_v")
+    placed = (
+        counted.join(hit.drop("_size", "_upto"), [*keys, "_q", "_part"])
+        .withColumn("_end", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0)) + F.col("_shift"))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+    )
 
     def at_rank(rank: str) -> Column:
-        hit = (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when(holds("_start", "_end", rank), F.col("_v")))
 
-    picked = placed.join(ranks, [*keys, "_q"]).groupBy(*keys, "_q").agg(
+    picked = placed.groupBy(*keys, "_q").agg(
         at_rank("_first").alias("_a"), at_rank("_last").alias("_b"), F.first("_weight").alias("_w")
     )
     missed = F.col("_a").isNull() | F.col("_b").isNull()

@@ -23,7 +23,7 @@ from framecloud.functions.order import first_k
 
 GROUP_POINTS = 1 << 20
 CHUNK_POINTS = 1 << 16
-FRONT_POINTS = 1 << 15
+FRONT_POINTS = 8000
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -106,7 +106,7 @@ def _large_frames(
         F.lit(float("inf")).cast("float").alias("_dist"),
     )
     state = cut(chunked)
-    first = first_k(state, keys, ["idx"], 1, "rank", spread_on="idx")
+    first = first_k(state, keys, ["idx"], 1, "rank", spread=True)
     chosen = cut(first.select(*keys, "_n", "idx", *"xyz", "rank"))
     fresh = chosen
     while True:
@@ -116,7 +116,7 @@ def _large_frames(
             return chosen.select(*keys, "idx", "rank")
         state = cut(_nearer(state.join(open_frames.select(*keys), keys, "left_semi"), fresh, keys))
         front = first_k(
-            state, keys, [F.col("_dist").desc(), "idx"], front_points + 1, "_place", "idx"
+            state, keys, [F.col("_dist").desc(), "idx"], front_points + 1, "_place", spread=True
         ).join(open_frames.select(*keys, "_have"), keys)
         fresh = cut(_front_greedy(front, keys, k, front_points))
         chosen = cut(chosen.unionByName(fresh))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framecloud.config import SamplingConfig
+from framecloud.functions.checkpoints import cut
 from framecloud.functions.numeric import div32, f32
 from framecloud.functions.order import dense_index, first_k
 from framecloud.operators.crop import pack_parts
@@ -59,13 +60,13 @@ def voxel_representatives(
     )
 
 
-def random_order(keys: Sequence[str], seed: int) -> list[Column]:
-    """A uniform order that depends on seed, frame and point only.
+def random_key(keys: Sequence[str], seed: int) -> Column:
+    """A uniform sort key that depends on seed, frame and point only.
 
     It gives the same sample for any partitioning and after a task is retried.
     """
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("idx"))
-    return [F.md5(text), F.col("idx")]
+    parts = [F.col(k).cast("string") for k in (*keys, "idx")]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def draw_seed(cfg: SamplingConfig) -> int:
@@ -76,15 +77,15 @@ def draw_seed(cfg: SamplingConfig) -> int:
 
 
 def select_first(points: DataFrame, keys, k: int, frame_bound: int | None = None) -> DataFrame:
-    spread = None if _one_task(frame_bound) else "idx"
-    return first_k(points, keys, ["idx"], k, "rank", spread)
+    return first_k(points, keys, ["idx"], k, "rank", spread=not _one_task(frame_bound))
 
 
 def select_random(
     points: DataFrame, keys, k: int, seed: int, frame_bound: int | None = None
 ) -> DataFrame:
-    spread = None if _one_task(frame_bound) else "idx"
-    return first_k(points, keys, random_order(keys, seed), k, "rank", spread)
+    drawn = points.withColumn("_draw", random_key(keys, seed))
+    spread = not _one_task(frame_bound)
+    return first_k(drawn, keys, ["_draw", "idx"], k, "rank", spread).drop("_draw")
 
 
 def select_stride(
@@ -113,6 +114,9 @@ def select_points(
     """At most ``num_points`` candidates per frame with their 0-based ``rank``."""
     k = cfg.num_points
     if cfg.mode in ("fps", "voxel_fps"):
+        if cfg.uses_voxels and frame_bound is None:
+            # Candidates are counted and then sampled: aggregate the input only once.
+            chosen_from = cut(chosen_from)
         return farthest_points(chosen_from, keys, k, frame_bound)
     if cfg.mode in ("random", "voxel_random"):
         return select_random(chosen_from, keys, k, draw_seed(cfg), frame_bound)

@@ -28,6 +28,7 @@ from framecloud.operators.geometry import (
 )
 from framecloud.operators.metadata import frame_meta, stage_counts
 from framecloud.operators.sampling import sample_points
+from framecloud.operators.stereo import disparity_reasons
 from framecloud.schema import KEYS
 
 RGB = ("red", "green", "blue")
@@ -42,9 +43,19 @@ class Stages:
     exploded points are never shuffled.
     """
 
-    def __init__(self, frames, cameras, cfg: BuildConfig, keys: Sequence[str], mode: str):
+    def __init__(
+        self,
+        frames: DataFrame,
+        cameras: DataFrame,
+        cfg: BuildConfig,
+        keys: Sequence[str],
+        mode: str,
+        partitions: int | None,
+        by_frame: bool,
+    ):
         self.cfg, self.keys, self.mode = cfg, list(keys), mode
         self.frames = frames
+        self.partitions, self.by_frame = partitions, by_frame
         self.cameras, self.frame_bound = bounded_cameras(cameras)
 
     @cached_property
@@ -57,7 +68,12 @@ class Stages:
 
     @cached_property
     def _by_frame(self) -> DataFrame:
-        return raw_points(self.packed.repartition(*self.keys), self.keys, self.cfg)
+        """Raw points that lie by frame, for everything that groups by frame."""
+        packed = self.packed
+        if not self.by_frame:
+            number = [self.partitions] if self.partitions else []
+            packed = packed.repartition(*number, *self.keys)
+        return raw_points(packed, self.keys, self.cfg)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -85,6 +101,11 @@ class Stages:
             raise ValueError("perception pixels need a stereo depth source")
         return stereo_pixels(self.packed, self.keys, self.cfg.stereo)
 
+    @cached_property
+    def stereo_meta(self) -> DataFrame:
+        """Disparity validity counts of each frame next to the settings that gave them."""
+        return build_stereo_meta(self)
+
 
 def _mapping(cfg: BuildConfig) -> Column:
     """Colour mapping of a camera: configured, or by its alignment."""
@@ -93,6 +114,14 @@ def _mapping(cfg: BuildConfig) -> Column:
     return F.when(F.col("aligned"), "aligned").otherwise("project_depth_to_color")
 
 
+def _baseline(cfg: StereoConfig) -> Column:
+    """Baseline of the camera row, else the configured one."""
+    configured = F.lit(cfg.baseline_m if cfg.baseline_m > 0 else None).cast("double")
+    found = F.coalesce(F.col("baseline_m"), configured)
+    problem = F.raise_error(F.lit("stereo depth needs a positive baseline")).cast("double")
+    return F.when(F.coalesce(found > 0, F.lit(False)), found).otherwise(problem)
+
+
 def _check_color(frames: DataFrame, cfg: BuildConfig) -> DataFrame:
     """Fail on a frame whose colour is missing or does not fit its camera."""
     k = F.col("color_k")
@@ -127,9 +156,8 @@ def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Seque
     placed = check_shape(placed, array, F.col("k.height"), F.col("k.width"))
     columns: list = [*keys, array, F.col("k.width").alias("k_width"), *lens_columns()]
     if stereo:
-        configured = cfg.stereo.baseline_m if cfg.stereo.baseline_m > 0 else None
-        baseline = F.coalesce(F.col("baseline_m"), F.lit(configured))
-        columns.append((F.col("k.fx") * baseline).cast("float").alias("fx_baseline"))
+        fx_baseline = F.col("k.fx") * _baseline(cfg.stereo)
+        columns.append(fx_baseline.cast("float").alias("fx_baseline"))
     if cfg.pointcloud.use_rgb:
         placed = _check_color(placed, cfg)
         columns += list(_RGB_CARRY)
@@ -236,12 +264,43 @@ def build_meta(stages: Stages) -> DataFrame:
     )
 
 
+def build_stereo_meta(stages: Stages) -> DataFrame:
+    cfg, keys = stages.cfg.stereo, stages.keys
+    counts = disparity_reasons(stages.pixels, keys, cfg)
+    described = attach_cameras(stages.frames.select(*keys), stages.cameras, checked=True).select(
+        *keys, F.col("depth_k.fx").alias("fx_px"), _baseline(cfg).alias("baseline_m")
+    )
+    settings = {
+        "depth_source": F.lit("stereo"),
+        "unit": F.lit("meter"),
+        "effective_depth_scale": F.lit(1.0),
+        "backend": F.lit(cfg.backend),
+        "max_disp": F.lit(cfg.max_disp),
+        "valid_iters": F.lit(cfg.valid_iters),
+        "precision": F.lit(cfg.precision),
+        "min_disparity_px": F.lit(cfg.min_disparity_px),
+        "min_depth_m": F.lit(cfg.min_depth_m),
+        "max_depth_m": F.lit(cfg.max_depth_m).cast("double"),
+        "remove_invisible": F.lit(cfg.remove_invisible),
+    }
+    return described.join(counts, keys, "left").withColumns(settings)
+
+
 def build(
     frames: DataFrame,
     cameras: DataFrame,
     cfg: BuildConfig,
     keys: Sequence[str] = KEYS,
     mode: str = "recorded",
+    partitions: int | None = None,
+    by_frame: bool = False,
 ) -> Stages:
-    """Raw, cropped and sampled clouds plus metadata of every frame."""
-    return Stages(frames, cameras, cfg, keys, mode)
+    """Raw, cropped and sampled clouds plus metadata of every frame.
+
+    ``keys`` name one frame and must be unique in ``frames``. ``partitions``
+    sets how many partitions packed frames are shuffled into; aim at some 100 MB
+    of packed frames each. ``by_frame`` says that ``frames`` is already hash
+    partitioned by ``keys``, as a table bucketed by them is: nothing is shuffled
+    then.
+    """
+    return Stages(frames, cameras, cfg, keys, mode, partitions, by_frame)

@@ -17,7 +17,7 @@ from framecloud.config import BuildConfig
 from framecloud.plans.build import build
 from framecloud.schema import FRAMES, KEYS
 
-STAGES = ("raw", "cropped", "sampled", "meta")
+STAGES = ("raw", "cropped", "sampled", "meta", "pixels", "stereo_meta")
 
 
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

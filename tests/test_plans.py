@@ -42,3 +42,29 @@ def test_metadata_is_counted_where_the_frames_lie(spark, tiny):
     text = plan(spark, tiny, "color_meta")
     below = text.split("Generate posexplode")[0]
     assert "Python" not in text and below.count("Exchange hashpartitioning") <= 1
+
+
+def test_bucketed_frames_are_not_shuffled(spark, tiny):
+    from framecloud.catalog import views
+    from framecloud.catalog.builds import PLAIN
+    from framecloud.plans.build import build
+    from framecloud.schema import FRAMES, KEYS
+
+    frames = views.frames(spark, tiny).select(*FRAMES.fieldNames())
+    spark.sql("drop table if exists bucketed_frames")
+    frames.write.bucketBy(4, *KEYS).saveAsTable("bucketed_frames")
+    try:
+        table = spark.table("bucketed_frames")
+        cameras = views.cameras(spark, tiny)
+        bucketed = build(table, cameras, PLAIN, by_frame=True).sampled
+        text = bucketed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text
+        plain = build(frames, cameras, PLAIN, partitions=3).sampled
+        assert sorted(map(tuple, bucketed.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.sql("drop table bucketed_frames")
+
+
+def test_hot_groups_are_limited_before_the_shuffle(spark, tiny):
+    text = plan(spark, tiny, "sample_random")
+    assert text.count("Partial") >= 1 and "_salt" in text

@@ -84,7 +84,7 @@ def test_dense_index_of_a_hot_group(spark):
 def test_first_k_spreads_a_hot_group_without_changing_the_result(spark):
     points, _ = skewed_cloud(spark, [4000, 10, 700])
     plain = order.first_k(points, KEYS, ["idx"], 100, "rank")
-    spread = order.first_k(points, KEYS, ["idx"], 100, "rank", spread_on="idx")
+    spread = order.first_k(points, KEYS, ["idx"], 100, "rank", spread=True)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, spread.collect()))
 
 
