@@ -7,7 +7,8 @@ import uuid
 from framecloud.catalog import sql as S
 from framecloud.catalog import views
 from framecloud.catalog.clouds import TIGHT, TIGHT_SQL, WINDOW, WINDOW_SQL
-from framecloud.catalog.colors import COLOR, IMG, _sql_color
+from framecloud.catalog.colors import IMG, sql_color
+from framecloud.operators.color import COLOR
 from framecloud.catalog.registry import query
 from framecloud.config import BuildConfig, PointCloudConfig, SamplingConfig, StereoConfig
 from framecloud.functions.checkpoints import checkpoint_dir
@@ -82,7 +83,7 @@ sp as (select *, round_even((qx * 60.0::float) / qz + 3.5::float, 0) as pu,
   round_even((qy * 60.0::float) / qz + 3.5::float, 0) as pv from mv),
 ht as (select *, aligned or (pu >= 0 and pu < 8 and pv >= 0 and pv < 8) as hit from sp),
 pos as (select *, (case when aligned then idx when hit then pv * 8 + pu else 0 end)::int as spot_at from ht),
-c0 as (select camera, frame_id, idx, x, y, z, hit, {_sql_color('spot_at')}
+c0 as (select camera, frame_id, idx, x, y, z, hit, {sql_color('spot_at')}
   from pos join img using (camera, frame_id)),
 craw as (select camera, frame_id, idx, x, y, z, hit,
   {', '.join(f'case when hit then {n} else 0.0::float end as {n}' for n in COLOR)} from c0)"""

@@ -8,12 +8,17 @@ from framecloud.catalog import sql as S
 from framecloud.catalog import views
 from framecloud.catalog.registry import query
 from framecloud.operators.color import (
+    CARRY,
+    COLOR,
+    POSE,
+    color_camera_columns,
     divisor,
     image_max,
     projection_counts,
     with_aligned_color,
     with_projected_color,
 )
+from framecloud.operators.color import LENS as COLOR_LENS
 from framecloud.operators.geometry import (
     LENS,
     active_intrinsics,
@@ -26,8 +31,6 @@ from framecloud.operators.geometry import (
 )
 from framecloud.schema import KEYS
 
-COLOR = ("red", "green", "blue")
-
 # Colour of pixel i before scaling, and the divisor of its image.
 IMG = """img as (
   select cast(label as varchar) as camera, vec_id as frame_id, embedding as e,
@@ -36,7 +39,7 @@ IMG = """img as (
   from embeddings)"""
 
 
-def _sql_color(at: str) -> str:
+def sql_color(at: str) -> str:
     """Three channel expressions at position ``at`` of the image array ``e``."""
     source = (f"e[({at}) + 1]", f"e[64 - ({at})]", f"e[xor({at}, 1) + 1]")
     return ", ".join(
@@ -49,8 +52,8 @@ def _packed(spark, sf_dir):
     placed = attach_cameras(views.frames(spark, sf_dir), views.cameras(spark, sf_dir))
     placed = placed.withColumns({"k": active_intrinsics(), "rgb_div": divisor(F.col("rgb"))})
     return placed.select(
-        *KEYS, "depth", "rgb", "rgb_channels", "rgb_div", "aligned", "r", "t", "color_k",
-        F.col("k.width").alias("w"), *lens_columns(),
+        *KEYS, "depth", *CARRY, "aligned", F.col("k.width").alias("w"), *lens_columns(),
+        *color_camera_columns(),
     )
 
 
@@ -74,12 +77,12 @@ def image_max_query(spark, sf_dir):
     S.with_(
         S.RAW,
         IMG,
-        select=f"""select camera, frame_id, idx, {_sql_color('idx')}
+        select=f"""select camera, frame_id, idx, {sql_color('idx')}
           from raw join img using (camera, frame_id) where aligned""",
     ),
 )
 def color_aligned(spark, sf_dir):
-    px = _points(spark, sf_dir, True, ("rgb", "rgb_channels", "rgb_div"))
+    px = _points(spark, sf_dir, True, CARRY)
     return valid_points(with_aligned_color(px)).select(*KEYS, "idx", *COLOR)
 
 
@@ -100,15 +103,15 @@ hits as (select *, pu >= 0 and pu < 8 and pv >= 0 and pv < 8 as hit from spot)""
     S.with_(S.RAW, MOVED, select="select camera, frame_id, idx, qx, qy, qz from moved"),
 )
 def rigid_transform_query(spark, sf_dir):
-    points = valid_points(_points(spark, sf_dir, False, ("r", "t")))
-    moved = rigid_transform(F.col("r"), F.col("t"))
+    points = valid_points(_points(spark, sf_dir, False, POSE))
+    moved = rigid_transform()
     return points.select(
         *KEYS, "idx", *[c.alias(n) for c, n in zip(moved, ("qx", "qy", "qz"), strict=True)]
     )
 
 
 def _projected(spark, sf_dir):
-    carry = ("rgb", "rgb_channels", "rgb_div", "r", "t", "color_k")
+    carry = (*CARRY, *COLOR_LENS, *POSE)
     return with_projected_color(valid_points(_points(spark, sf_dir, False, carry)))
 
 
@@ -122,7 +125,7 @@ _CHANNELS = ", ".join(f"case when hit then {n} else 0.0::float end as {n}" for n
         MOVED,
         HITS,
         IMG,
-        f"""col as (select camera, frame_id, idx, hit, {_sql_color(
+        f"""col as (select camera, frame_id, idx, hit, {sql_color(
             'case when hit then (pv * 8 + pu)::int else 0 end')}
           from hits join img using (camera, frame_id))""",
         select=f"select camera, frame_id, idx, hit, {_CHANNELS} from col",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framecloud.functions.numeric import count_where, div32, f32
+from framecloud.functions.numeric import count_where, div32, f32, to32
 from framecloud.operators.geometry import project_to_pixel, rigid_transform
 
 
@@ -24,42 +24,81 @@ def divisor(rgb: Column) -> Column:
     return F.when(image_max(rgb) > f32(1), f32(255)).otherwise(f32(1))
 
 
+COLOR = ("red", "green", "blue")
+CARRY = ("rgb", "rgb_channels", "rgb_div")
+# Colour camera and depth-to-colour transform as float32 scalars of a frame row.
+LENS = ("cfx", "cfy", "ccx", "ccy", "cw", "ch")
+POSE = tuple(f"r{j}" for j in range(9)) + ("t0", "t1", "t2")
+
+
+def color_camera_columns() -> list[Column]:
+    """Scalars a pixel needs to find its place in the colour image.
+
+    They are taken out of the camera row once per frame, not once per pixel.
+    """
+    k = F.col("color_k")
+    lens = [to32(k[n]).alias(a) for n, a in zip(("fx", "fy", "cx", "cy"), LENS, strict=False)]
+    size = [k["width"].alias("cw"), k["height"].alias("ch")]
+    turn = [to32(F.get("r", F.lit(j))).alias(f"r{j}") for j in range(9)]
+    shift = [to32(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(3)]
+    return lens + size + turn + shift
+
+
 def clamp01(c: Column) -> Column:
-    return F.when(F.isnan(c), c).otherwise(F.least(F.greatest(c, f32(0)), f32(1)))
+    """Clamp to 0..1; NaN stays, which Spark orders above every number."""
+    return F.when(c <= f32(1), F.greatest(c, f32(0))).when(F.isnan(c), c).otherwise(f32(1))
+
 
+def read_colors(points: DataFrame, position: str) -> DataFrame:
+    """Three colour columns from the packed image at a pixel position.
 
-def channel(rgb: Column, position: Column, channels: Column, number: int, div: Column) -> Column:
-    return clamp01(div32(F.get(rgb, position * channels + F.lit(number)), div))
+    A null position gives null. Each step is a projection of its own, so that an
+    intermediate value is computed once per point.
+    """
+    base = points.withColumn("_at", F.col(position) * F.col("rgb_channels"))
+    raw = {
+        name: div32(F.get("rgb", F.col("_at") + F.lit(j)), F.col("rgb_div"))
+        for j, name in enumerate(COLOR)
+    }
+    read = base.withColumns(raw).drop("_at", *CARRY)
+    return read.withColumns({name: clamp01(F.col(name)) for name in COLOR})
 
 
 def with_aligned_color(pixels: DataFrame) -> DataFrame:
     """Colour at the pixel's own position."""
-    at = F.col("i")
-    return pixels.withColumns(
-        {
-            name: channel(F.col("rgb"), at, F.col("rgb_channels"), j, F.col("rgb_div"))
-            for j, name in enumerate(("red", "green", "blue"))
-        }
-    ).drop("rgb", "rgb_channels", "rgb_div")
+    return read_colors(pixels, "i")
 
 
-def with_projected_color(points: DataFrame) -> DataFrame:
-    """Colour at the nearest pixel of the colour camera; a miss is black."""
+def color_position(points: DataFrame) -> DataFrame:
+    """Add ``hit`` and ``position``: the nearest pixel in the colour image, if any."""
     moved = points.withColumns(
-        dict(zip(("qx", "qy", "qz"), rigid_transform(F.col("r"), F.col("t")), strict=True))
+        dict(zip(("qx", "qy", "qz"), rigid_transform(), strict=True))
+    ).drop(*POSE)
+    spot = moved.withColumns(
+        project_to_pixel(F.col("qx"), F.col("qy"), F.col("qz"), *[F.col(n) for n in LENS[:4]])
     )
-    pixel = project_to_pixel(F.col("qx"), F.col("qy"), F.col("qz"), F.col("color_k"))
-    at = F.col("pv") * F.col("color_k.width") + F.col("pu")
-    placed = moved.withColumns(pixel)
-    return placed.withColumns(
-        {
-            name: F.when(
-                F.col("hit"),
-                channel(F.col("rgb"), at, F.col("rgb_channels"), j, F.col("rgb_div")),
-            ).otherwise(f32(0))
-            for j, name in enumerate(("red", "green", "blue"))
-        }
-    ).drop("rgb", "rgb_channels", "rgb_div", "r", "t", "color_k", "qx", "qy", "qz", "pu", "pv")
+    inside = (
+        (F.col("pu") >= 0) & (F.col("pu") < F.col("cw")) & (F.col("pv") >= 0) & (F.col("pv") < F.col("ch"))
+    )
+    found = spot.withColumn("hit", F.coalesce(inside, F.lit(False)))
+    place = (F.col("pv") * F.col("cw") + F.col("pu")).cast("int")
+    return found.withColumn("position", F.when(F.col("hit"), place)).drop(
+        "qx", "qy", "qz", "pu", "pv", *LENS
+    )
+
+
+def black_where_missing(points: DataFrame, mapped: Column) -> DataFrame:
+    """A point outside the colour image is black; an unmapped camera gives no colour."""
+    black = F.when(mapped, f32(0))
+    return points.withColumns(
+        {n: F.when(F.col("position").isNotNull(), F.col(n)).otherwise(black) for n in COLOR}
+    ).drop("position")
+
+
+def with_projected_color(points: DataFrame) -> DataFrame:
+    """Colour at the nearest pixel of the colour camera; a miss is black."""
+    colored = read_colors(color_position(points), "position")
+    return black_where_missing(colored, F.lit(True))
 
 
 def projection_counts(points: DataFrame, keys) -> DataFrame:

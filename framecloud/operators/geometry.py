@@ -162,24 +162,25 @@ def disparity_columns(
     }
 
 
-def rigid_transform(r: Column, t: Column, names: Sequence[str] = ("x", "y", "z")) -> list[Column]:
-    """R p + t in float32; ``r`` is row-major with nine values."""
+def rigid_transform(names: Sequence[str] = ("x", "y", "z")) -> list[Column]:
+    """R p + t in float32 from the scalar columns r0..r8 (row-major) and t0..t2."""
     out = []
     for row in range(3):
-        terms = [to32(r[3 * row + j]) * F.col(names[j]) for j in range(3)]
-        out.append(sum32(terms) + to32(t[row]))
+        terms = [F.col(f"r{3 * row + j}") * F.col(names[j]) for j in range(3)]
+        out.append(sum32(terms) + F.col(f"t{row}"))
     return out
 
 
-def project_to_pixel(x: Column, y: Column, z: Column, k: Column) -> dict[str, Column]:
-    """Nearest pixel of a camera-frame point; null outside the image or behind it."""
-    ahead = all_of([is_finite(c) for c in (x, y, z)]) & (z > f32(0))
-    depth = non_zero(z)
-    u = F.rint(div32(x * to32(k["fx"]), depth) + to32(k["cx"]))
-    v = F.rint(div32(y * to32(k["fy"]), depth) + to32(k["cy"]))
-    inside = ahead & (u >= 0) & (u < k["width"]) & (v >= 0) & (v < k["height"])
+def project_to_pixel(
+    x: Column, y: Column, z: Column, fx: Column, fy: Column, cx: Column, cy: Column
+) -> dict[str, Column]:
+    """Nearest pixel (half to even) of a camera-frame point as ``pu`` and ``pv``.
+
+    Null for a point that is not in front of the camera or not finite.
+    """
+    ahead = is_finite(x) & is_finite(y) & (z > f32(0)) & (z < f32(math.inf))
+    depth = F.when(ahead, z)
     return {
-        "hit": F.coalesce(inside, F.lit(False)),
-        "pu": F.when(inside, u).cast("int"),
-        "pv": F.when(inside, v).cast("int"),
+        "pu": F.rint(div32(x * fx, depth) + cx),
+        "pv": F.rint(div32(y * fy, depth) + cy),
     }

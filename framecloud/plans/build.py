@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 
 from framecloud.config import BuildConfig, StereoConfig
 from framecloud.functions.joins import BROADCAST_ROWS
-from framecloud.functions.numeric import f32
-from framecloud.operators.color import channel, divisor
+from framecloud.operators.color import (
+    CARRY,
+    COLOR,
+    POSE,
+    black_where_missing,
+    color_camera_columns,
+    color_position,
+    divisor,
+    read_colors,
+)
+from framecloud.operators.color import LENS as COLOR_LENS
 from framecloud.operators.crop import crop
 from framecloud.operators.geometry import (
     LENS,
@@ -22,8 +31,6 @@ from framecloud.operators.geometry import (
     disparity_columns,
     explode_pixels,
     lens_columns,
-    project_to_pixel,
-    rigid_transform,
     valid_points,
 )
 from framecloud.operators.metadata import frame_meta, stage_counts
@@ -31,8 +38,7 @@ from framecloud.operators.sampling import sample_points
 from framecloud.operators.stereo import disparity_reasons
 from framecloud.schema import KEYS
 
-RGB = ("red", "green", "blue")
-_RGB_CARRY = ("rgb", "rgb_channels", "rgb_div", "aligned", "mapped", "r", "t", "color_k")
+_RGB_CARRY = (*CARRY, *COLOR_LENS, *POSE, "aligned", "mapped")
 
 
 class Stages:
@@ -160,7 +166,7 @@ def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Seque
         columns.append(fx_baseline.cast("float").alias("fx_baseline"))
     if cfg.pointcloud.use_rgb:
         placed = _check_color(placed, cfg)
-        columns += list(_RGB_CARRY)
+        columns += [*CARRY, "aligned", "mapped", *color_camera_columns()]
     return placed.select(*columns)
 
 
@@ -170,27 +176,11 @@ def _with_color(points: DataFrame) -> DataFrame:
     A projected point outside the colour image is black; an unmapped camera
     gives no colour.
     """
-    moved = points.withColumns(
-        dict(zip(("qx", "qy", "qz"), rigid_transform(F.col("r"), F.col("t")), strict=True))
-    ).withColumns(project_to_pixel(F.col("qx"), F.col("qy"), F.col("qz"), F.col("color_k")))
-    found = F.col("aligned") | F.col("hit")
-    at = F.when(F.col("aligned"), F.col("idx")).otherwise(
-        F.col("pv") * F.col("color_k.width") + F.col("pu")
-    )
-    value = {
-        name: F.when(
-            F.col("mapped"),
-            F.when(
-                found, channel(F.col("rgb"), at, F.col("rgb_channels"), j, F.col("rgb_div"))
-            ).otherwise(f32(0)),
-        )
-        for j, name in enumerate(RGB)
-    }
-    return (
-        moved.withColumns(value)
-        .withColumn("hit", found)
-        .drop(*_RGB_CARRY, "qx", "qy", "qz", "pu", "pv")
-    )
+    projected = color_position(points)
+    placed = projected.withColumn(
+        "position", F.when(F.col("aligned"), F.col("idx")).when(F.col("mapped"), F.col("position"))
+    ).withColumn("hit", F.col("aligned") | F.col("hit"))
+    return black_where_missing(read_colors(placed, "position"), F.col("mapped"))
 
 
 def stereo_pixels(packed: DataFrame, keys: Sequence[str], cfg: StereoConfig, carry=()):
@@ -220,7 +210,7 @@ def raw_points(packed: DataFrame, keys: Sequence[str], cfg: BuildConfig) -> Data
     points = valid_points(deproject(px))
     if cfg.pointcloud.use_rgb:
         points = _with_color(points)
-        return points.select(*keys, "idx", *"xyz", *RGB, "hit")
+        return points.select(*keys, "idx", *"xyz", *COLOR, "hit")
     return points.select(*keys, "idx", *"xyz")
 
 
