@@ -70,13 +70,14 @@ def first_k(
     keys = list(keys)
     if spread:
         salted = df.withColumn("_salt", F.spark_partition_id() % SPREAD)
-        part = W.partitionBy(*keys, "_salt").orderBy(*order)
+        part = W.partitionBy(*reversed(keys), "_salt").orderBy(*order)
         df = (
             salted.withColumn("_rn", F.row_number().over(part))
             .where(F.col("_rn") <= k)
             .drop("_rn", "_salt")
         )
-    whole = W.partitionBy(*keys).orderBy(*order)
+    # The last key tells frames apart, so the sort should look at it first.
+    whole = W.partitionBy(*reversed(keys)).orderBy(*order)
     return (
         df.withColumn("_rn", F.row_number().over(whole))
         .where(F.col("_rn") <= k)

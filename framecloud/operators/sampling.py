@@ -64,9 +64,12 @@ def random_key(keys: Sequence[str], seed: int) -> Column:
     """A uniform sort key that depends on seed, frame and point only.
 
     It gives the same sample for any partitioning and after a task is retried.
+    The key is the leading 60 bits of a digest as a number, which sorts faster
+    than its text; ties go to the lower index.
     """
     parts = [F.col(k).cast("string") for k in (*keys, "idx")]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def draw_seed(cfg: SamplingConfig) -> int:
