@@ -242,5 +242,7 @@ def artifact_hashes(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
     files = docs.where("source <> 'src0'").select("path", F.sha2("text", 256).alias("sha256"))
     before = F.when(F.col("n_chars") % 2 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    manifest = docs.where("lang <> 'de'").select("path", F.sha2(before, 256).alias("sha256"))
+    manifest = docs.where("lang <> 'de'").select(
+        "path", F.sha2(before, 256).alias("sha256"), F.lit(0).alias("position")
+    )
     return ck.artifact_status(manifest, files, docs.select("path"))

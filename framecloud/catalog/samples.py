@@ -6,7 +6,7 @@ from framecloud.catalog import sql as S
 from framecloud.catalog import views
 from framecloud.catalog.clouds import PART_COLORS, TIGHT, TIGHT_SQL, WINDOW, WINDOW_SQL, color_part, raw
 from framecloud.catalog.registry import query
-from framecloud.config import SamplingConfig
+from framecloud.config import BuildConfig, SamplingConfig
 from framecloud.operators.assembly import pack_clouds
 from framecloud.operators.crop import crop
 from framecloud.operators.sampling import (
@@ -16,6 +16,7 @@ from framecloud.operators.sampling import (
     voxel_keys,
     voxel_representatives,
 )
+from framecloud.plans.build import build
 from framecloud.schema import KEYS
 
 LINE = ["frame_id"]
@@ -81,8 +82,8 @@ def _frame_sample(name: str, cfg: SamplingConfig, window, where: str) -> None:
 
     @query(name, text)
     def run(spark, sf_dir):
-        points = crop(raw(spark, sf_dir), window)
-        return sample_points(points, views.frames(spark, sf_dir), KEYS, cfg, frame_bound=PIXELS)
+        frames, cameras = views.frames(spark, sf_dir), views.cameras(spark, sf_dir)
+        return build(frames, cameras, BuildConfig(crop=window, sampling=cfg)).sampled
 
 
 _frame_sample("sample_fps", SamplingConfig("fps", 8), WINDOW, WINDOW_SQL)

@@ -171,21 +171,33 @@ def precision_mismatches(manifest: DataFrame, keys: Sequence[str], records: Sequ
     )
 
 
-def artifact_status(manifest: DataFrame, files: DataFrame, required: DataFrame) -> DataFrame:
+def artifact_status(
+    manifest: DataFrame, files: DataFrame, required: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
     """Status of each required artifact: ok, missing, unrecorded or changed.
 
-    ``manifest`` and ``files`` hold (path, sha256), ``required`` holds path. Files
-    match a record by file name, as manifests move with their folder.
+    ``manifest`` holds (path, sha256, position), ``files`` (path, sha256) and
+    ``required`` path. A record matches by file name, as a manifest moves with
+    its folder, and the first record of a name counts. With many manifests
+    ``keys`` name the one a record and a requirement belong to.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    recorded = manifest.select(name.alias("name"), F.col("sha256").alias("recorded"))
-    present = files.select(name.alias("name"), F.col("sha256").alias("actual"))
-    wanted = required.select("path", name.alias("name"))
-    joined = wanted.join(recorded, "name", "left").join(present, "name", "left")
+    keys = list(keys)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    recorded = (
+        manifest.select(*keys, name, "sha256", "position")
+        .groupBy(*keys, "name")
+        .agg(F.min_by("sha256", "position").alias("recorded"))
+    )
+    present = files.select("path", F.col("sha256").alias("actual"))
+    joined = (
+        required.select(*keys, "path", name)
+        .join(recorded, [*keys, "name"], "left")
+        .join(present, "path", "left")
+    )
     status = (
         F.when(F.col("actual").isNull(), "missing")
         .when(F.col("recorded").isNull(), "unrecorded")
         .when(F.col("recorded") != F.col("actual"), "changed")
         .otherwise("ok")
     )
-    return joined.select("path", status.alias("status"))
+    return joined.select(*keys, "path", status.alias("status"))

@@ -74,11 +74,15 @@ class Stages:
 
     @cached_property
     def _by_frame(self) -> DataFrame:
-        """Raw points that lie by frame, for everything that groups by frame."""
+        """Raw points that lie by frame, for everything that groups by frame.
+
+        The partition number is explicit: adaptive execution would merge
+        partitions by their packed size, which says little about the work.
+        """
         packed = self.packed
         if not self.by_frame:
-            number = [self.partitions] if self.partitions else []
-            packed = packed.repartition(*number, *self.keys)
+            configured = packed.sparkSession.conf.get("spark.sql.shuffle.partitions")
+            packed = packed.repartition(self.partitions or int(configured), *self.keys)
         return raw_points(packed, self.keys, self.cfg)
 
     @cached_property
@@ -288,8 +292,8 @@ def build(
     """Raw, cropped and sampled clouds plus metadata of every frame.
 
     ``keys`` name one frame and must be unique in ``frames``. ``partitions``
-    sets how many partitions packed frames are shuffled into; aim at some 100 MB
-    of packed frames each. ``by_frame`` says that ``frames`` is already hash
+    sets how many partitions packed frames are shuffled into, by default the
+    session's shuffle partitions; aim at some 100 MB of packed frames each. ``by_frame`` says that ``frames`` is already hash
     partitioned by ``keys``, as a table bucketed by them is: nothing is shuffled
     then.
     """

@@ -15,9 +15,9 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size) recorded in a manifest's artifact list."""
+    """(path, sha256, size, position) recorded in a manifest's artifact list."""
     text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", _MANIFEST).alias("m"))
-    return parsed.select(F.inline("m.artifacts")).select(
-        F.coalesce("path", "name").alias("path"), "sha256", "size"
+    return parsed.select(F.posexplode("m.artifacts").alias("position", "a")).select(
+        F.coalesce("a.path", "a.name").alias("path"), "a.sha256", "a.size", "position"
     )

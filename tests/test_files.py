@@ -138,12 +138,14 @@ def test_artifacts_against_their_manifest(spark, tmp_path):
         {"path": "/old/same.bin", "sha256": digest["same.bin"], "size": 8},
         {"name": "other.bin", "sha256": "0" * 64},
         {"path": "gone.bin", "sha256": "1" * 64},
+        {"path": "/later/same.bin", "sha256": "2" * 64},
     ]
     (tmp_path / "manifest.json").write_text(json.dumps({"backend": "a", "artifacts": records}))
-    wanted = spark.createDataFrame([(f"/x/{n}.bin",) for n in ("same", "other", "extra", "gone")], "path string")
+    names = ("same", "other", "extra", "gone")
+    wanted = spark.createDataFrame([(f"file:{folder}/{n}.bin",) for n in names], "path string")
     manifest = read_manifest(spark, str(tmp_path / "manifest.json"))
     status = ck.artifact_status(manifest, hash_files(spark, str(folder)), wanted).collect()
-    assert {r.path[3:-4]: r.status for r in status} == {
+    assert {r.path.rsplit("/", 1)[1][:-4]: r.status for r in status} == {
         "same": "ok", "other": "changed", "extra": "unrecorded", "gone": "missing",
     }
 
