@@ -1,11 +1,13 @@
 """Farthest-point sampling, exact for frames of any size.
 
 Frames up to ``GROUP_POINTS`` points run as one group each. A larger frame is
-never gathered: its points stay in chunks that keep their distance to the
-chosen set, and each round a bounded front of the farthest points per frame is
-sampled greedily for as long as no point outside the front can win. Distances
-only shrink, so a front member that beats the best point left outside is the
-true farthest point.
+never gathered: its points stay in chunks that keep their distance to the chosen
+set, and are assigned to the cells of a coarse grid. Each round takes the
+farthest few points of every cell as a front and chooses greedily inside it. A
+point outside the front is at most as far as the next point of its cell, and as
+the far corner of its cell's box from any point chosen since; the choice goes on
+while the best front point is farther than that bound for every cell. Float32
+rounding is monotone, so the bound holds for rounded distances too.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import types as T
 from framecloud.functions.checkpoints import cut
 from framecloud.functions.order import first_k
 
-GROUP_POINTS = 1 << 20
+GROUP_POINTS = 1 << 22
 CHUNK_POINTS = 1 << 16
-FRONT_POINTS = 8000
+GRID = 16
+FRONT_POINTS = 16
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -74,6 +77,7 @@ def farthest_points(
     group_points: int = GROUP_POINTS,
     front_points: int = FRONT_POINTS,
     chunk_points: int = CHUNK_POINTS,
+    grid: int = GRID,
 ) -> DataFrame:
     """``k`` farthest points per frame with their 0-based ``rank``.
 
@@ -83,41 +87,55 @@ def farthest_points(
     keys = list(keys)
     if frame_bound is not None and frame_bound <= group_points:
         return _whole_frames(points, keys, k)
-    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *_box())
     large = cut(counts.where(F.col("_n") > group_points))
     if large.isEmpty():
         return _whole_frames(points, keys, k)
-    small = points.join(large, keys, "left_anti")
-    split = _large_frames(points.join(large, keys), keys, k, front_points, chunk_points)
+    small = points.join(large.select(*keys), keys, "left_anti")
+    state = cut(_state(points.join(large, keys), keys, chunk_points, grid))
+    split = _large_frames(state, keys, k, front_points)
     picked = split.join(points, [*keys, "idx"]).select(*points.columns, "rank")
     return _whole_frames(small, keys, k).unionByName(picked)
 
 
-def _large_frames(
-    points: DataFrame, keys: list[str], k: int, front_points: int, chunk_points: int
-) -> DataFrame:
-    """(keys, idx, rank) of the chosen points of frames too large for one group."""
-    chunked = points.select(
+def _box() -> list:
+    return [fn(a).alias(f"_{name}_{a}") for a in "xyz" for name, fn in (("lo", F.min), ("hi", F.max))]
+
+
+def _state(points: DataFrame, keys: list[str], chunk_points: int, grid: int) -> DataFrame:
+    """Points of large frames with chunk, grid cell and an infinite distance."""
+    cell = F.lit(0)
+    for a in "xyz":
+        low, width = F.col(f"_lo_{a}"), F.col(f"_hi_{a}") - F.col(f"_lo_{a}")
+        step = F.floor((F.col(a) - low) / F.when(width > 0, width) * grid)
+        cell = cell * grid + F.least(F.coalesce(step, F.lit(0)), F.lit(grid - 1))
+    return points.select(
         *keys,
         "_n",
         F.col("idx").cast("bigint").alias("idx"),
         *"xyz",
         F.expr(f"cast(idx as bigint) div {chunk_points}").alias("_chunk"),
+        cell.cast("int").alias("_cell"),
         F.lit(float("inf")).cast("float").alias("_dist"),
     )
-    state = cut(chunked)
+
+
+def _large_frames(state: DataFrame, keys: list[str], k: int, front_points: int) -> DataFrame:
+    """(keys, idx, rank) of the chosen points of frames too large for one group."""
+    boxes = cut(state.groupBy(*keys, "_cell").agg(*_box()))
     first = first_k(state, keys, ["idx"], 1, "rank", spread=True)
-    chosen = cut(first.select(*keys, "_n", "idx", *"xyz", "rank"))
-    fresh = chosen
+    chosen = fresh = cut(first.select(*keys, "_n", "idx", *"xyz", "rank"))
+    order = [F.col("_dist").desc(), F.col("idx")]
     while True:
-        done = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"), F.first("_n").alias("_n"))
+        done = chosen.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_have"), F.first("_n").alias("_n")
+        )
         open_frames = cut(done.where(F.col("_have") < F.least(F.lit(k), F.col("_n"))))
         if open_frames.isEmpty():
             return chosen.select(*keys, "idx", "rank")
         state = cut(_nearer(state.join(open_frames.select(*keys), keys, "left_semi"), fresh, keys))
-        front = first_k(
-            state, keys, [F.col("_dist").desc(), "idx"], front_points + 1, "_place", spread=True
-        ).join(open_frames.select(*keys, "_have"), keys)
+        front = first_k(state, [*keys, "_cell"], order, front_points + 1, "_place", spread=True)
+        front = front.join(boxes, [*keys, "_cell"]).join(open_frames.select(*keys, "_have"), keys)
         fresh = cut(_front_greedy(front, keys, k, front_points))
         chosen = cut(chosen.unionByName(fresh))
 
@@ -143,36 +161,44 @@ def _nearer(state: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return state.groupBy(*by).cogroup(reach.groupBy(*by)).applyInArrow(lower, schema)
 
 
+def _far_corner(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distance from a point to the farthest corner of each box."""
+    reach = np.maximum(np.abs(low - at), np.abs(high - at))
+    reach *= reach
+    return (reach[0] + reach[1]) + reach[2]
+
+
 def _front_greedy(front: DataFrame, keys: list[str], k: int, front_points: int) -> DataFrame:
-    """Greedy choice inside each front up to the first point the outside could beat."""
+    """Greedy choice inside each front for as long as no point outside can win."""
     kept = [*keys, "_n", "idx", "x", "y", "z"]
     fields = [f for f in front.schema.fields if f.name in kept]
     schema = T.StructType(
         [*sorted(fields, key=lambda f: kept.index(f.name)), T.StructField("rank", T.IntegerType())]
     )
 
+    def box(table: pa.Table, side: str, rows: np.ndarray) -> np.ndarray:
+        return np.stack([_column(table, f"_{side}_{a}")[rows] for a in "xyz"])
+
     def sample(table: pa.Table) -> pa.Table:
         table = table.sort_by("idx")
         place = _column(table, "_place")
-        have = int(_column(table, "_have")[0])
-        total = int(_column(table, "_n")[0])
-        idx = _column(table, "idx")
         distance = _column(table, "_dist").astype(np.float32)
-        bound = np.flatnonzero(place == front_points)
-        if len(bound):
-            limit = (distance[bound[0]], idx[bound[0]])
-            inside = np.flatnonzero(place < front_points)
-        else:
-            limit = None
-            inside = np.arange(len(place))
-        at, near, ids = _xyz(table)[:, inside], distance[inside].copy(), idx[inside]
+        have, total = (int(_column(table, c)[0]) for c in ("_have", "_n"))
+        inside = np.flatnonzero(place < front_points)
+        # The next point of a cell bounds all that its front leaves out.
+        rest = np.flatnonzero(place == front_points)
+        bound, low, high = distance[rest], box(table, "lo", rest), box(table, "hi", rest)
+        at, near = _xyz(table)[:, inside], distance[inside]
         picks = []
         while have + len(picks) < min(k, total):
             best = int(near.argmax())
-            if limit is not None and (-near[best], ids[best]) > (-limit[0], limit[1]):
+            # All distances are exact at first, so the first choice always holds.
+            if picks and len(bound) and near[best] <= bound.max():
                 break
             picks.append(best)
-            np.minimum(near, _squared(at, at[:, best, None]), out=near)
+            last = at[:, best, None]
+            np.minimum(near, _squared(at, last), out=near)
+            np.minimum(bound, _far_corner(low, high, last), out=bound)
         rank = pa.array(np.arange(have, have + len(picks), dtype=np.int32))
         rows = table.select(kept).take(pa.array(inside[np.array(picks, dtype=np.int64)]))
         return rows.append_column("rank", rank)

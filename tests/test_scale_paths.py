@@ -45,12 +45,12 @@ def brute_farthest(pdf, k):
     return out
 
 
-@pytest.mark.parametrize("grid, front", [(None, 32), (0.5, 8), (None, 1)])
-def test_farthest_points_of_oversized_frames(spark, grid, front):
-    k = 12 if front > 1 else 5
+@pytest.mark.parametrize("grid, front, cells", [(None, 4, 4), (0.5, 2, 3), (None, 1, 1)])
+def test_farthest_points_of_oversized_frames(spark, grid, front, cells):
+    k = 20 if cells > 1 else 5
     points, pdf = skewed_cloud(spark, [400, 30, 150, 3], grid=grid)
     out = farthest.farthest_points(
-        points, KEYS, k, group_points=100, front_points=front, chunk_points=128
+        points, KEYS, k, group_points=100, front_points=front, chunk_points=128, grid=cells
     )
     got = {f: g.sort_values("rank")["idx"].tolist() for f, g in out.toPandas().groupby("frame_id")}
     assert got == brute_farthest(pdf, k)
@@ -61,7 +61,7 @@ def test_farthest_points_of_identical_points(spark):
         F.lit("cam").alias("camera"), F.lit(0).cast("bigint").alias("frame_id"),
         F.col("id").alias("idx"), *[F.lit(1.0).cast("float").alias(a) for a in "xyz"],
     )
-    out = farthest.farthest_points(points, KEYS, 4, group_points=100, front_points=10, chunk_points=64)
+    out = farthest.farthest_points(points, KEYS, 4, group_points=100, front_points=3, chunk_points=64, grid=2)
     assert [r.idx for r in out.orderBy("rank").collect()] == [0, 0, 0, 0]
 
 
