@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe
-from framecloud.llm.storage import new_folder
+from framecloud.llm import arrow_ids, bpe, chat, shard_tree, token_rollup, warc
+from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +36,123 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = 16
+
+
+@query
+def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of a tree, and where one more shard would put them."""
+    tree = shard_tree.even_tree(SHARDS)
+    return shard_tree.assign(table(spark, sf_dir, "documents"), tree, tree.grown(SHARDS))
+
+
+def _shard_sql() -> str:
+    tree = shard_tree.even_tree(SHARDS)
+    base = shard_tree.draw_sql("name", tree)
+    more = shard_tree.draw_sql("name", tree.grown(SHARDS))
+    ctes = []
+    for side, sql in (("a", base), ("b", more)):
+        src = "named_root"
+        for k in range(3):
+            body = f"""{side}{k} as (select d.rid, any_value(d.name) as name, arg_min(n.next, {sql["score"]}) as node
+  from {src} d join {sql["nodes"]} on n.parent = d.node group by d.rid)"""
+            ctes.append(body)
+            src = f"{side}{k}"
+    return f"""
+with named as (
+  select row_number() over () as rid, doc_id, coalesce(doc_id::varchar, 'null') as name,
+         cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, hex(encode(coalesce(text, ''))) as digits
+  from documents),
+crc_table as (
+  select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+sums as (
+  select rid, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+    string_split(regexp_replace(digits, '(..)', '\\1,', 'g'), ',')[:-2], lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32
+  from named, crc_table),
+named_root as (select rid, name, 0 as node from named),
+{", ".join(ctes)},
+placed as (
+  select n.doc_id, n.size, s.text_crc32, a2.node as shard, b2.node as grown_shard,
+         ('0x' || substr(md5(n.name), 1, 3))::int as piece
+  from named n join sums s using (rid) join a2 using (rid) join b2 using (rid))
+select doc_id, size, text_crc32, 'key' as law, cast(shard as int) as shard,
+       row_number() over (partition by shard order by piece, doc_id, text_crc32, size) - 1 as slot,
+       cast(grown_shard as int) as grown_shard
+from placed"""
+
+
+SQL["op2_shard_tree"] = _shard_sql()
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back by byte ranges."""
+    pages = warc.with_record_types(table(spark, sf_dir, "pages"))
+    manifest = warc.write_archives(pages, new_folder(spark, "warc"))
+    read = warc.read_archives(warc.splits(manifest))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as n, sha256(payload) as h from p),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, cast(n as bigint) as payload_bytes, h as payload_digest,
+       case when n >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and first < page_id then first end as refers_to
+from f"""
+
+
 @query
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+@query
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of the documents after three batches, one of them sent twice.
+
+    Batch 1 inserts every document with a provisional count of words. Batch 2
+    revises every count to the tokenizer's. Batch 3 deletes the copies of equal
+    texts but the one with the smallest id. Counts and text digests are written
+    once; the batches read those.
+    """
+    docs = table(spark, sf_dir, "documents").withColumns(
+        {
+            "words": F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("bigint"),
+            "digest": F.sha2(F.coalesce("text", F.lit("")), 256),
+        }
+    )
+    folder = new_folder(spark, "token-rollup")
+    counted = written(token_rollup.count_tokens(docs, public_tokenizers.path(BYTE_BPE)), f"{folder}/counts")
+    side = token_rollup.side
+    words = side(F.col("source"), F.col("lang"), F.lit("words"), F.col("words"))
+    tokens = side(F.col("source"), F.col("lang"), F.lit("byte_bpe_50k"), F.col("tokens"))
+    change = lambda df, before, after: df.select(before.alias("before"), after.alias("after"))
+    nothing = token_rollup.nothing()
+    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = counted.join(firsts, "digest").where("doc_id > first")
+    rollup = token_rollup.Rollup(spark, f"{folder}/totals")
+    rollup.commit(1, change(counted, nothing, words))
+    rollup.commit(2, change(counted, words, tokens))
+    rollup.commit(2, change(counted, words, tokens))
+    rollup.commit(3, change(copies, tokens, nothing))
+    return rollup.totals()
+
+
+@query
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+SQL["op7_chat_snapshots"] = chat.SQL
+
+
 @query
 def op8_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the written files."""

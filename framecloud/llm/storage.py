@@ -27,7 +27,7 @@ def open_output(uri: str):
     """A stream to a new file; its folder is made when missing."""
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # not by the file's name
 
 
 def open_input(uri: str):
