@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from framecloud.llm.fragments import FragmentEncoder, Ragged
+from framecloud.llm.schemas import fields_of
 
 #: White space outside ASCII: a space after one of these may belong to its run.
 WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -192,11 +193,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(run, f"{fields_of(df)}, `{text}` string")
 
 
-def fields_of(df: DataFrame) -> str:
-    """A schema string that keeps unusual column names."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, decode the ids again and return digests of both per row.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe, chat, shard_tree, token_rollup, warc
+from framecloud.llm import arrow_ids, bpe, chat, shard_tree, token_rollup, toxicity, warc
 from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
@@ -160,3 +160,17 @@ def op8_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "arrow-ids")
     manifest = arrow_ids.write_sequences(table(spark, sf_dir, "documents"), folder, path, END_OF_DOCUMENT)
     return arrow_ids.read_documents(manifest)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model that never saw the held-out rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
+    )
