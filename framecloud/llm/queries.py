@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe, chat, shard_tree, token_rollup, toxicity, warc
+from framecloud.llm import arrow_ids, bpe, chat, order_minhash, shard_tree, token_rollup, toxicity, warc
 from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
@@ -174,3 +174,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), new_folder(spark, "near"))
