@@ -13,59 +13,30 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framecloud.llm.components import components
 from framecloud.llm.storage import written
+from framecloud.llm.words import NOT_SPACE, mix, windows, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 agrees in one pick with 0.8 cubed or so, and is missed by all once in a million.
 SKETCHES, SAMPLED = 20, 3
-#: Word hashes a worker remembers.
-REMEMBERED = 400_000
 #: Shingles hashed by all functions at a time.
 WIDE = 50_000
 
-_K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread every input bit over the whole word."""
-    h = (h ^ (h >> np.uint64(30))) * _K2
-    h = (h ^ (h >> np.uint64(27))) * _K3
-    return h ^ (h >> np.uint64(31))
-
-
+_K1 = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _K1)
 
 
-class Shingler:
-    """Hashes of the shingles of a text; remembers the hashes of words."""
-
-    def __init__(self) -> None:
-        self._words: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """One hash per run of five words in lower case; a shorter text is one shingle."""
-        tokens = (text or "").lower().split()
-        if not tokens:
-            return np.empty(0, np.uint64)
-        found = list(map(self._words.get, tokens))
-        if None in found:
-            if len(self._words) > REMEMBERED:
-                self._words.clear()
-            self._words.update((t, xxhash.xxh3_64_intdigest(t)) for t in tokens if t not in self._words)
-            found = list(map(self._words.__getitem__, tokens))
-        h = np.array(found, np.uint64)
-        width = min(WORDS, len(h))
-        count = len(h) - width + 1
-        out = np.full(count, width, np.uint64)
-        for k in range(width):
-            out = mix(out * _K1 + h[k : k + count])
-        return out
+def shingles_of(text: str | None) -> np.ndarray:
+    """One hash per run of five words in lower case; a shorter text is one shingle."""
+    h = word_hashes(text, NOT_SPACE)
+    if len(h) == 0:
+        return h
+    return windows(h, min(WORDS, len(h)))
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -158,9 +129,8 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.md5(content).alias("digest"), content.alias("_text"))
 
     def run(batches):
-        shingler = Shingler()
         for batch in batches:
-            found = [shingler(t) for t in batch.column(2).to_pylist()]
+            found = [shingles_of(t) for t in batch.column(2).to_pylist()]
             keys = pa.array([sketch(s) for s in found], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, keys], ["_id", "digest", "n", "keys"])
@@ -179,7 +149,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
 
     def run(batches):
-        shingler = Shingler()
         held: dict = {}
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -190,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if node not in held:
                         if len(held) > 64:
                             held.clear()
-                        held[node] = shingler(batch.column(column)[k].as_py())
+                        held[node] = shingles_of(batch.column(column)[k].as_py())
                     pair.append(held[node])
                 if similarity(*pair) >= SIMILARITY:
                     links.append(k)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe, chat, order_minhash, shard_tree, token_rollup, toxicity, warc
+from framecloud.llm import arrow_ids, bpe, chat, decontaminate, order_minhash, shard_tree, token_rollup, toxicity, warc
 from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
@@ -180,3 +180,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), new_folder(spark, "near"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in every document."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items, new_folder(spark, "decontaminate"))
