@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -154,40 +155,54 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", intact: str | None = None) -> DataFrame:
     """Add the token ids of ``text`` as an array column named ``ids``.
 
     Null and empty texts have an empty array. Rows, repeated ones too, and other
-    columns stay as they are; an existing column named ``ids`` is replaced.
+    columns stay as they are; existing columns of the added names are replaced. With
+    ``intact`` a column of that name says whether the ids decode to the text again.
     """
-    df = df.drop(ids) if ids != text else df
+    added = [ids] if intact is None else [ids, intact]
+    df = df.drop(*[c for c in added if c != text])
     names = df.columns
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            rows = list(bpe.encode(batch.column(names.index(text)).to_pylist()))
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, ids])
+            texts = batch.column(names.index(text)).to_pylist()
+            rows = list(bpe.encode(texts))
+            columns = [*batch.columns, as_lists(rows)]
+            if intact is not None:
+                same = [bpe.decode(r) == (t or "") for r, t in zip(rows, texts, strict=True)]
+                columns.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return df.mapInArrow(run, f"{fields_of(df)}, `{ids}` array<int>")
+    schema = f"{fields_of(df)}, `{ids}` array<int>" + (f", `{intact}` boolean" if intact else "")
+    return df.mapInArrow(run, schema)
+
+
+def as_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+    flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of an id array as ``text``, special tokens included.
 
     Null and empty arrays give an empty text; an id outside the vocabulary raises.
+    Other columns stay; an existing column named ``text`` is replaced.
     """
-    df = df.drop(text)
+    df = df.drop(text) if text != ids else df
     names = df.columns
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            rows = batch.column(names.index(ids)).to_pylist()
-            texts = [bpe.decode(np.array(r or [], np.int64)) for r in rows]
+            lists = batch.column(names.index(ids))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum([n or 0 for n in pc.list_value_length(lists).to_pylist()], dtype=np.int64)
+            texts = [bpe.decode(r) for r in np.split(flat, ends[:-1])] if len(lists) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text])
 
     return df.mapInArrow(run, f"{fields_of(df)}, `{text}` string")

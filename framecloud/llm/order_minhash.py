@@ -169,12 +169,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, is_first) for every row: the smallest key of its class.
+    """(key, digest, class_id, is_first) for every row: the smallest key of its class.
 
     A class is a connected component of equal texts and of pairs with a similarity
     of 0.8 or more. Null, empty and blank texts are equal to each other; texts below
     five words are one shingle. A class whose keys are all null has a null id; rows
-    that repeat a key are classed by their own text. Other columns are ignored and
+    that repeat a key are classed by their own text, whose md5 is the digest. Other columns are ignored and
     an empty table gives no rows. ``folder`` receives the intermediate tables.
 
     Within a group of agreeing texts each is first compared with one centre. Pairs
@@ -232,10 +232,24 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     classes = labels.join(least.hint("rebalance"), "label").select("digest", "class_id")
     classes = written(classes, f"{folder}/classes")
     return rows.select("_id", "digest").join(classes, "digest").select(
-        F.col("_id").alias(key), "class_id", F.coalesce(F.col("_id") == F.col("class_id"), F.lit(False)).alias("is_first")
+        F.col("_id").alias(key), "digest", "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("is_first")
     )
 
 
+def first_of_each_class(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that come first in their class, one per class.
+
+    The text decides between rows that repeat a key, and of rows that repeat both
+    one stays. All columns stay.
+    """
+    classes = near_duplicates(docs, folder, key, text)
+    firsts = classes.where("is_first").groupBy("class_id").agg(F.min("digest").alias("_digest"))
+    rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    same = F.col(key).cast("bigint").eqNullSafe(firsts["class_id"]) & (rows["_digest"] == firsts["_digest"])
+    kept = rows.join(firsts, same, "left_semi")
+    return kept.dropDuplicates([key, "_digest"]).drop("_digest")
+
+
 def content_of(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """(node, text) of the texts that occur in pairs, one row each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe, chat, decontaminate, order_minhash, shard_tree, token_rollup, toxicity, warc
+from framecloud.llm import arrow_ids, bpe, chat, decontaminate, order_minhash, rp_forest, shard_tree, token_rollup, toxicity, warc
 from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
@@ -179,7 +179,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), new_folder(spark, "near"))
+    found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"), new_folder(spark, "near"))
+    return found.select("doc_id", "class_id", "is_first")
 
 
 @query
@@ -187,3 +188,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item found in every document."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.leaks(docs, items, new_folder(spark, "decontaminate"))
+
+
+@query
+def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return rp_forest.nearest(vectors, F.col("vec_id") % 50 == 0, new_folder(spark, "forest"))
