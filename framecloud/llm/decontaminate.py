@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -249,21 +250,31 @@ def with_leaks(
     text is shuffled: every document is scanned where it lies, once per block of
     items, and the scanned rows are kept in ``folder`` until the counts are known.
     """
-    kind = "bigint" if items.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
-    ids = items.withColumn(key, F.col(key).cast(kind))
     out = docs.drop(name)
-    first = True
+    kind, ids = typed(items, key)
     for n, seeds in enumerate(blocks(ids, key)):
         scanned = written(scan(out, seeds, text), f"{folder}/block-{n}")
         found = confirmed(scanned, seeds, rare_seeds(scanned, seeds), kind)
-        column = F.col("_found") if first else F.concat(f"`{name}`", F.col("_found"))
+        column = F.concat(f"`{name}`", F.col("_found")) if n else F.col("_found")
         out = found.withColumn(name, column).drop("_found")
-        first = False
     return out
 
 
+def typed(items: DataFrame, key: str) -> tuple[str, DataFrame]:
+    """Items with a key of long or else text type, and which."""
+    whole = items.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    kind = "bigint" if whole else "string"
+    return kind, items.withColumn(key, F.col(key).cast(kind))
+
+
 def leaks(docs: DataFrame, items: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, score, first_word, last_word) of every leak of every row."""
-    # Only ids and findings are kept between the passes if no second block needs the text.
-    found = with_leaks(docs.select(key, text), items, folder, text)
-    return found.select(key, F.inline("leaks"))
+    rows = docs.select(key, text)
+    kind, ids = typed(items, "item_id")
+    parts = []
+    for n, seeds in enumerate(blocks(ids)):
+        # The text stays in the scan; ids, findings and seeds are kept until the counts are known.
+        scanned = written(scan(rows, seeds, text).drop(text), f"{folder}/block-{n}")
+        found = confirmed(scanned, seeds, rare_seeds(scanned, seeds), kind)
+        parts.append(found.select(key, F.inline("_found")))
+    return reduce(DataFrame.union, parts)
