@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from framecloud.llm.components import components
 from framecloud.llm.storage import written
@@ -53,9 +54,9 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key per hash function; none for a text without words."""
+    """One signed 64-bit key per hash function; texts without words share a single one."""
     if len(shingles) == 0:
-        return np.empty(0, np.int64)
+        return SEEDS[:1].view(np.int64)
     keys = labelled(shingles)
     take = min(SAMPLED, len(keys))
     if len(keys) <= WIDE:
@@ -177,13 +178,11 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     that repeat a key are classed by their own text, whose md5 is the digest. Other columns are ignored and
     an empty table gives no rows. ``folder`` receives the intermediate tables.
 
-    Within a group of agreeing texts each is first compared with one centre. Pairs
-    are then taken only across components: every text outside a group's largest
-    component is compared with the group's texts of other components. A large group
-    of copies is so compared once around, while no link between two components is
-    left untested.
+    Within a group of agreeing texts each is first compared with one centre, so a
+    large group of copies costs one comparison per text. Texts that agree in a pick
+    but lie in different components are then paired by ``across``, which leaves out
+    no pair of 0.8. ``folder`` receives the intermediate tables.
     """
-    spark = docs.sparkSession
     rows = written(sketches(docs, key, text), f"{folder}/rows")
     texts = rows.groupBy("digest").agg(
         F.min("_id").alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")
@@ -191,39 +190,21 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), f"{folder}/texts")
     keyed = texts.select("node", "n", F.explode("keys").alias("key"))
 
-    stars = keyed.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("c"), F.count(F.lit(1)).alias("_k"))
-    stars = stars.where("_k > 1").select("key", F.col("c.node").alias("a"), F.col("c.n").alias("m"))
-    around = (
-        keyed.join(stars.hint("rebalance"), "key")
-        .where(F.col("node") != F.col("a"))
-        .where(alike_in_size("n", "m"))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
-    )
-    around = written(around, f"{folder}/around")
+    stars = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_b")).where("a <> _b")
+    around = keyed.join(stars.select("key", "a").hint("rebalance"), "key").where(F.col("node") != F.col("a"))
+    around = around.select("a", F.col("node").alias("b"), "n").distinct()
+    around = around.join(texts.select(F.col("node").alias("a"), F.col("n").alias("m")), "a")
+    around = written(around.where(alike_in_size("n", "m")).select("a", "b"), f"{folder}/around")
     links = written(verified(around, content_of(around, docs, texts, text)), f"{folder}/links")
     first = written(components(links), f"{folder}/components")
 
-    placed = keyed.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    shares = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_k"))
-    major = shares.groupBy("key").agg(F.max(F.struct("_k", "label")).alias("top"), F.count(F.lit(1)).alias("_labels"))
-    major = written(major.where("_labels > 1").select("key", F.col("top.label").alias("most")), f"{folder}/mixed")
-    mixed = written(placed.join(major, "key"), f"{folder}/members")
-    minor = mixed.where("label <> most").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("_l")
-    )
-    across = (
-        minor.join(mixed, "key")
-        .where("label <> _l and (label = most or a < node)")
-        .where(alike_in_size("n", "m"))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
-    )
-    known = around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across.join(known, ["a", "b"], "left_anti"), f"{folder}/across")
-    more = verified(across, content_of(across, docs, texts, text))
+    placed = keyed.join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
+    members = placed.join(mixed.select("key").hint("rebalance"), "key", "left_semi").select("node", "label").distinct()
+    members = written(members, f"{folder}/members")
+    pairs = written(across(members, around, docs, texts, text, folder), f"{folder}/across")
+    more = written(verified(pairs, content_of(pairs, docs, texts, text)), f"{folder}/more")
     stars = first.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    more = written(more, f"{folder}/more")
     final = components(stars.union(more)) if more.take(1) else first
 
     labels = texts.select("digest", "first", "node").join(final, "node", "left")
@@ -236,6 +217,46 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     )
 
 
+def across(members: DataFrame, known: DataFrame, docs: DataFrame, texts: DataFrame, text: str, folder: str) -> DataFrame:
+    """Pairs (a, b) of members under different labels that may be 0.8 similar.
+
+    Two texts of 0.8 share at least 0.8 of the shingles of either, so they share one
+    of the first fifth, in any fixed order of shingles. In order of rarity among the
+    members that fifth is what sets a text apart, and few others have it. Under a
+    shingle only the texts outside its largest label are paired, with all others.
+    """
+    nodes = members.select("node")
+    listed = content_of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), docs, texts, text)
+
+    def run(batches):
+        for batch in batches:
+            found = [labelled(shingles_of(t)) for t in batch.column(1).to_pylist()]
+            lists = pa.array([f.view(np.int64) if len(f) else [0] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
+
+    shingles = listed.mapInArrow(run, "node bigint, shingles array<bigint>")
+    shingles = written(shingles, f"{folder}/shingles").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("_k"))
+    rarest = W.partitionBy("node").orderBy("_k", "s")
+    prefix = shingles.join(counts.hint("rebalance"), "s").withColumn("_r", F.row_number().over(rarest))
+    prefix = prefix.where(F.col("_r") <= F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).where("_k > 1")
+    prefix = written(prefix.select("node", "n", "s").join(members, "node"), f"{folder}/prefix")
+    shares = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("_k"))
+    major = shares.groupBy("s").agg(F.max(F.struct("_k", "label")).alias("top"), F.count(F.lit(1)).alias("_l"))
+    major = major.where("_l > 1").select("s", F.col("top.label").alias("most"))
+    mixed = written(prefix.join(major.hint("rebalance"), "s"), f"{folder}/mixed")
+    minor = mixed.where("label <> most").select("s", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("_l"))
+    pairs = (
+        minor.join(mixed, "s")
+        .where("label <> _l and (label = most or a < node)")
+        .where(alike_in_size("n", "m"))
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        .distinct()
+    )
+    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def first_of_each_class(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that come first in their class, one per class.
 
