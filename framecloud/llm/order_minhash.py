@@ -220,10 +220,12 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
 def across(members: DataFrame, known: DataFrame, docs: DataFrame, texts: DataFrame, text: str, folder: str) -> DataFrame:
     """Pairs (a, b) of members under different labels that may be 0.8 similar.
 
-    Two texts of 0.8 share at least 0.8 of the shingles of either, so they share one
-    of the first fifth, in any fixed order of shingles. In order of rarity among the
-    members that fifth is what sets a text apart, and few others have it. Under a
-    shingle only the texts outside its largest label are paired, with all others.
+    Two texts of 0.8 share at least 4/9 of their shingles together, so in any fixed
+    order of shingles the first they share has that many left behind it in both. In
+    order of rarity among the members the first shingles are what sets a text apart,
+    and few others have them. The last early one that both have bounds what they can
+    share at all. Under a shingle only the texts outside its largest label are paired,
+    with all others.
     """
     nodes = members.select("node")
     listed = content_of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), docs, texts, text)
@@ -237,22 +239,27 @@ def across(members: DataFrame, known: DataFrame, docs: DataFrame, texts: DataFra
     shingles = listed.mapInArrow(run, "node bigint, shingles array<bigint>")
     shingles = written(shingles, f"{folder}/shingles").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("_k"))
-    rarest = W.partitionBy("node").orderBy("_k", "s")
+    rarest = W.partitionBy("node").orderBy("_k", "s")  # the shingles of one text
     prefix = shingles.join(counts.hint("rebalance"), "s").withColumn("_r", F.row_number().over(rarest))
     prefix = prefix.where(F.col("_r") <= F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).where("_k > 1")
-    prefix = written(prefix.select("node", "n", "s").join(members, "node"), f"{folder}/prefix")
+    prefix = written(prefix.select("node", "n", "s", "_r").join(members, "node"), f"{folder}/prefix")
     shares = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("_k"))
     major = shares.groupBy("s").agg(F.max(F.struct("_k", "label")).alias("top"), F.count(F.lit(1)).alias("_l"))
     major = major.where("_l > 1").select("s", F.col("top.label").alias("most"))
     mixed = written(prefix.join(major.hint("rebalance"), "s"), f"{folder}/mixed")
-    minor = mixed.where("label <> most").select("s", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("_l"))
-    pairs = (
-        minor.join(mixed, "s")
-        .where("label <> _l and (label = most or a < node)")
-        .where(alike_in_size("n", "m"))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
+    minor = mixed.where("label <> most").select(
+        F.col("s").alias("_s"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("_r").alias("_q")
     )
+    share = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("m") + F.col("n")) - 1e-9)
+    near = (F.col("_q") <= F.col("m") - share + 1) & (F.col("_r") <= F.col("n") - share + 1)
+    apart = F.expr("label <> _l and (label = most or a < node)")
+    pairs = minor.join(mixed, (F.col("s") == F.col("_s")) & apart & alike_in_size("n", "m") & near)
+    pairs = pairs.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(
+        F.count(F.lit(1)).alias("_shared"),
+        F.min(F.least(F.col("m") - F.col("_q"), F.col("n") - F.col("_r"))).alias("_left"),
+        F.any_value(share).alias("_share"),
+    )
+    pairs = pairs.where("_shared + _left >= _share").select("a", "b")
     done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
