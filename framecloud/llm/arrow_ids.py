@@ -16,18 +16,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from framecloud.llm.bpe import segments
+from framecloud.llm.bpe import byte_alphabet, segments
 from framecloud.llm.fragments import FragmentEncoder
 from framecloud.llm.storage import attempt_name, filesystem, open_input, open_output, written
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
+#: A byte that UTF-8 never uses stands for the end of a word.
+WORD_END = b"\xff"
+#: Fixed value: the pattern of this tokenizer that splits a word before the merges.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 MANIFEST = "part int, ids_path string, docs_path string, n_docs bigint, n_tokens bigint"
 
 
@@ -47,6 +53,21 @@ def split_words(text: str) -> list[bytes]:
     return [w for w in raw.replace(b"\n", b" ").split(b" ") if w]
 
 
+def word_merges(tokenizer: Tokenizer):
+    """The tokenizer's merges as byte ranks, the end of a word being one byte more.
+
+    Ids are the order of the merges, and a byte with the end of its word comes before
+    all of them, so the lowest rank first gives the same ids.
+    """
+    alphabet, added = byte_alphabet(), tokenizer.get_added_tokens_decoder()
+    ranks = {}
+    for name, i in tokenizer.get_vocab().items():
+        if i not in added:
+            stem = name.removesuffix("</w>") if len(name) > 4 else name
+            ranks[bytes(alphabet[c] for c in stem) + (WORD_END if stem != name else b"")] = i
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
 @lru_cache(2)
 def word_encoder(path: str) -> FragmentEncoder:
     """Encoder of a tokenizer that drops white space, by words, kept by each worker."""
@@ -54,9 +75,27 @@ def word_encoder(path: str) -> FragmentEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    merges = word_merges(tokenizer)
+    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def pieces(word: bytes) -> list[int] | None:
+        """Ids of a word the merge table can take as it is; None for any other."""
+        if any(x in word for x in special):
+            return None
+        try:
+            text = word.decode().encode("latin-1").decode("latin-1").lower()
+        except UnicodeEncodeError:
+            return None
+        found: list[int] = []
+        for piece in PIECES.findall(text):
+            found += merges.encode_single_piece(piece.encode() + WORD_END)
+        return found
+
     def encode(words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode() for w in words]
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [pieces(w) for w in words]
+        others = [w.decode() for w, found in zip(words, ids, strict=True) if found is None]
+        rest = iter(tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [next(rest).ids if found is None else found for found in ids]
 
     return FragmentEncoder(split_words, encode, segments)
 
