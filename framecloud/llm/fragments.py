@@ -13,9 +13,9 @@ from itertools import chain
 import numpy as np
 
 #: Fragments a worker remembers; some 150 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters encoded at a time; bounds the arrays a worker holds.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framecloud.llm.components import components
-from framecloud.llm.storage import written
+from framecloud.llm.storage import bounded_batches, written
 from framecloud.llm.words import NOT_SPACE, mix, windows, word_hashes
 
 WORDS = 5
@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     but lie in different components are then paired by ``across``, which leaves out
     no pair of 0.8. ``folder`` receives the intermediate tables.
     """
+    bounded_batches(docs.sparkSession)
     rows = written(sketches(docs, key, text), f"{folder}/rows")
     texts = rows.groupBy("digest").agg(
         F.min("_id").alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")

@@ -16,6 +16,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let a worker hold few rows at a time, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI; a bare path and ``file:`` are local."""
     if re.match(r"(file:|/)", uri):

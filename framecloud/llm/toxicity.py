@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framecloud.llm.schemas import fields_of
+from framecloud.llm.storage import bounded_batches
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -33,7 +34,7 @@ RATE = 0.02
 DECAY = 1e-6
 SHARPEST = 6.0
 #: Words whose score a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 NO_WORD = float("nan")
 MARKS = ".,;:!?\"'()[]{}*#$%&|-_~`<>/\\"
 
@@ -219,6 +220,7 @@ def score(
     an existing column ``name`` is replaced. The model is of fixed size.
     """
     margin, bias = model
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != name]
     rows = df.select(*[F.col(f"`{c}`") for c in kept])
     shared = df.sparkSession.sparkContext.broadcast(margin)
