@@ -28,7 +28,7 @@ THRESHOLD = 0.7
 #: The mean of a passage is multiplied by this before the softmax, to keep steps of one size.
 SCALE = float(PASSAGE)
 #: Bounds of the training sample: rows of either label, and characters in all.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_500, 3_000, 16_000_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_000, 2_000, 8_000_000
 STEPS = 100
 RATE = 0.02
 DECAY = 1e-6
@@ -94,10 +94,12 @@ def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, se
     flat = np.concatenate(tokens).reshape(-1, PASSAGE)
     first = np.cumsum(passages) - passages
     row, grams = buckets(list(index))
+    del index
     order = np.argsort(row, kind="stable")
     # One more word without a weight stands for the gaps.
-    size = np.append(np.bincount(row, minlength=len(index)), 1)
-    grams = np.append(grams[order], 0)
+    size = np.append(np.bincount(row), 1)
+    grams = np.append(grams[order], 0).astype(np.int32)
+    del row, order
     gram_at = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
