@@ -70,8 +70,8 @@ def write_ply(
 
 
 def write_metadata(meta: DataFrame, path: str, mode: str = MODE) -> None:
-    """JSON lines with keys in alphabetical order."""
-    meta.select(*sorted(meta.columns)).write.mode(mode).json(path)
+    """JSON lines with keys in alphabetical order; a null field is written as null."""
+    meta.select(*sorted(meta.columns)).write.mode(mode).json(path, ignoreNullFields=False)
 
 
 def write_rasters(frames: DataFrame, keys: Sequence[str], arrays: Sequence[str], path: str, mode: str = MODE):

@@ -180,3 +180,8 @@ def test_metadata_rasters_and_training_set(spark, tmp_path):
     assert (tmp_path / "train" / "camera=cam").is_dir()
     row = spark.read.parquet(str(tmp_path / "train")).first()
     assert row.x == [0.0, 1.0, 2.0] and row.num_points == 3
+
+
+def test_metadata_keeps_null_fields(spark, tmp_path):
+    out.write_metadata(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "meta"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "meta")).collect()] == ['{"a":null,"b":1}']
