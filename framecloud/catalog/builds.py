@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from framecloud.catalog import sql as S
 from framecloud.catalog import views
@@ -13,7 +16,7 @@ from framecloud.catalog.registry import query
 from framecloud.config import BuildConfig, PointCloudConfig, SamplingConfig, StereoConfig
 from framecloud.functions.checkpoints import checkpoint_dir
 from framecloud.operators.stereo import stage_breakdown
-from framecloud.plans.build import build
+from framecloud.plans.build import build, reject_report
 from framecloud.schema import FRAMES, KEYS
 from framecloud.sinks.writers import ply_lines
 from framecloud.streaming.live import read_frames, run_live
@@ -31,7 +34,8 @@ CLOUD_SQL = S.with_(
 
 
 def built(spark, sf_dir, cfg, mode="recorded"):
-    return build(views.frames(spark, sf_dir), views.cameras(spark, sf_dir), cfg, mode=mode)
+    cameras = views.stereo_cameras if cfg.depth_mode == "stereo" else views.cameras
+    return build(views.frames(spark, sf_dir), cameras(spark, sf_dir), cfg, mode=mode)
 
 
 @query("frame_cloud", CLOUD_SQL)
@@ -160,6 +164,58 @@ def stereo_cloud(spark, sf_dir):
     return built(spark, sf_dir, STEREO).sampled
 
 
+INFERRED = replace(STEREO, stereo=replace(STEREO.stereo, backend="grey_difference"))
+
+
+@query(
+    "stereo_end_to_end",
+    S.with_(
+        STEREO_RAW.replace(
+            "unnest(embedding) * 20.0::float as d",
+            "abs(abs(unnest(embedding)) * 255.0::float - abs(unnest(list_reverse(embedding))) * 255.0::float)"
+            " / 16.0::float as d",
+        ),
+        S.FRAMES,
+        f"src as (select * from raw where {WINDOW_SQL})",
+        S.sampled(S.KEYS, "voxel_random", 16, 0.05, 42),
+        select="select * from outp",
+    ),
+)
+def stereo_end_to_end(spark, sf_dir):
+    """Infrared pairs to sampled clouds: the build runs the backend of its settings."""
+    frames = views.frames(spark, sf_dir).drop("disparity")
+    return build(frames, views.stereo_cameras(spark, sf_dir), INFERRED).sampled
+
+
+@query(
+    "reject_report",
+    """with f as (select
+        case when vec_id % 17 = 0 then '99' else cast(label as varchar) end as camera,
+        case when vec_id % 19 <> 0 then vec_id end as frame_id,
+        case when vec_id % 11 = 0 then null when vec_id % 13 = 0 then 63 else len(embedding) end as n
+      from embeddings),
+    g as (select f.*, c.n_nationkey is not null as known
+      from f left join nation c on cast(c.n_nationkey as varchar) = f.camera),
+    h as (select camera, frame_id, concat_ws('; ',
+        case when frame_id is null then 'frame key is null' end,
+        case when not known then 'unknown camera' end,
+        case when n is null then 'depth image is missing' end,
+        case when known and n <> 64 then 'depth image does not match the camera' end) as violations from g)
+    select *, violations = '' as ok from h""",
+)
+def rejects(spark, sf_dir):
+    """Frames with null keys, null or short images and unknown cameras, placed by a rule."""
+    n = F.col("frame_id")
+    short = F.when(n % 13 == 0, F.slice("depth", 1, 63)).otherwise(F.col("depth"))
+    broken = views.frames(spark, sf_dir).select(
+        F.when(n % 17 == 0, "99").otherwise(F.col("camera")).alias("camera"),
+        F.when(n % 19 != 0, n).alias("frame_id"),
+        F.when(n % 11 != 0, short).alias("depth"),
+    )
+    report = reject_report(broken, views.cameras(spark, sf_dir), PLAIN)
+    return report.withColumn("violations", F.array_join("violations", "; "))
+
+
 @query(
     "perception_pixels",
     S.with_(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framecloud.catalog import views
 from framecloud.catalog.registry import query
 from framecloud.operators import checks as ck
+from framecloud.sources.calibration import apply_calibration
 
 
 def _lens(fx, width):
@@ -246,3 +247,44 @@ def artifact_hashes(spark, sf_dir):
         "path", F.sha2(before, 256).alias("sha256"), F.lit(0).alias("position")
     )
     return ck.artifact_status(manifest, files, docs.select("path"))
+
+
+@query(
+    "calibrated_cameras",
+    """select cast(n_nationkey as varchar) as camera, 0.05::double as baseline_m, 600.0::double + n_nationkey as fx,
+      480 as height, n_nationkey / 100.0::double as shift, n_nationkey % 2 = 0 as aligned from nation""",
+)
+def calibrated_cameras(spark, sf_dir):
+    """Infrared lens and pose of a rectified pair put in place of the depth lens."""
+    n = F.col("n_nationkey")
+    lens = F.struct(
+        F.lit(640).alias("width"),
+        F.lit(480).alias("height"),
+        (n + 600.0).alias("fx"),
+        (n + 600.0).alias("fy"),
+        F.lit(320.0).alias("cx"),
+        F.lit(240.0).alias("cy"),
+    )
+    identity = F.array(*[F.lit(v) for v in ck.IDENTITY])
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    calibration = views.table(spark, sf_dir, "nation").select(
+        n.cast("string").alias("camera"),
+        lens.alias("left_k"),
+        lens.alias("right_k"),
+        zero.alias("left_distortion"),
+        zero.alias("right_distortion"),
+        identity.alias("r"),
+        F.array(F.lit(-0.05), F.lit(0.0), F.lit(0.0)).alias("t"),
+        identity.alias("color_r"),
+        F.array(n / 100.0, F.lit(0.0), F.lit(0.0)).alias("color_t"),
+        F.lit(0.05).alias("baseline_m"),
+    )
+    out = apply_calibration(views.cameras(spark, sf_dir), calibration)
+    return out.select(
+        "camera",
+        "baseline_m",
+        F.col("depth_k.fx").alias("fx"),
+        F.col("depth_k.height").alias("height"),
+        F.col("t")[0].alias("shift"),
+        "aligned",
+    )

@@ -72,6 +72,12 @@ FLOATS = (
 )
 
 
+# One source lacks every third frame.
+GAPS = PAIRS.replace(
+    "rd * f + o as cd", "case when not (backend = 'engine_b' and vec_id % 3 = 0) then rd * f + o end as cd"
+)
+
+
 def _rounded(df, names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -108,6 +114,26 @@ def parity_checks(spark, sf_dir):
     return pa.parity_checks(pa.parity_metrics(pixels(spark, sf_dir), BY), BY)
 
 
+@query(
+    "parity_coverage",
+    f"with {METRICS.replace(PAIRS, GAPS)}, checks as (select *, "
+    + " and ".join(f"coalesce({n} {t}, false)" for n, t in _CHECKS.items())
+    + " as passed from metrics) select backend, reference_valid_count, candidate_valid_count, passed, "
+    + "round(valid_overlap_ratio, 6) as valid_overlap_ratio, "
+    + "round(finite_positive_ratio, 6) as finite_positive_ratio from checks",
+)
+def parity_coverage(spark, sf_dir):
+    """A source that lacks frames: its missing pixels count as not covered."""
+    reference, candidate = _sources(spark, sf_dir)
+    lacking = (F.col("backend") == "engine_b") & (F.col("frame_id") % 3 == 0)
+    px = pa.pair_rasters(reference, candidate.where(~lacking), KEYS, ARRAYS)
+    metrics = pa.parity_metrics(px, BY)
+    passed = pa.parity_checks(metrics, BY).select(*BY, "passed")
+    counts = ["reference_valid_count", "candidate_valid_count"]
+    ratios = ["valid_overlap_ratio", "finite_positive_ratio"]
+    return _rounded(metrics.select(*BY, *counts, *ratios), ratios).join(passed, BY)
+
+
 NATIVE = (
     "native_depth_valid_ratio", "estimated_depth_valid_ratio", "valid_overlap_ratio_over_image",
     "valid_overlap_ratio_over_native", "depth_abs_error_mean_m", "depth_relative_error_mean",

@@ -72,6 +72,11 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stereo_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cameras as a stereo rig: depth comes from infrared, none is aligned."""
+    return cameras(spark, sf_dir).withColumn("aligned", F.lit(False))
+
+
 def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of ``lineitem``: one frame per supplier, ordered by all columns."""
     lines = table(spark, sf_dir, "lineitem")

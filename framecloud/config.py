@@ -18,6 +18,7 @@ PAD_MODES = ("repeat", "zero")
 RGB_MAPPINGS = ("aligned", "project_depth_to_color")
 OUTPUT_FORMATS = ("xyz", "xyzrgb")
 DEPTH_MODES = ("frame", "stereo")
+STEREO_SECTIONS = {"stereo": "stereo"}
 RECTIFICATION_MODES = ("auto", "require_rectified", "opencv")
 PRECISIONS = ("fp16", "fp32")
 
@@ -201,8 +202,14 @@ class BuildConfig:
         )
 
     @classmethod
-    def from_mapping(cls, raw: Mapping[str, Any]) -> BuildConfig:
-        """Read the sections of a parsed YAML or JSON configuration."""
+    def from_mapping(
+        cls, raw: Mapping[str, Any], stereo_sections: Mapping[str, str] = STEREO_SECTIONS
+    ) -> BuildConfig:
+        """Read the sections of a parsed YAML or JSON configuration.
+
+        ``stereo_sections`` maps each accepted stereo mode of ``depth_source`` to the
+        name of the section with its settings; any other mode is an error.
+        """
         crop_raw = dict(raw.get("crop") or {})
         for axis in "xyz":
             if axis in crop_raw:
@@ -211,11 +218,11 @@ class BuildConfig:
             crop_raw.setdefault("enabled", True)
         source = raw.get("depth_source") or {}
         stereo = None
-        if str(source.get("mode", "frame")).lower() != "frame":
-            # The settings are the one nested mapping of the section, whatever its name.
-            nested = [v for v in source.values() if isinstance(v, Mapping)]
-            _require(len(nested) == 1, "a stereo depth source needs its settings")
-            stereo = nested[0]
+        mode = str(source.get("mode", "frame")).lower()
+        if mode != "frame":
+            _require(mode in stereo_sections, f"depth_source.mode: {mode}")
+            stereo = source.get(stereo_sections[mode])
+            _require(isinstance(stereo, Mapping), "a stereo depth source needs its settings")
         return cls(
             pointcloud=_pick(PointCloudConfig, raw.get("pointcloud")),
             crop=_pick(CropConfig, crop_raw),

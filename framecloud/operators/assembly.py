@@ -7,14 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framecloud.operators.checks import enforce, require_keys
+
 
 def assemble_frames(
     depth: DataFrame, ir: DataFrame, rgb: DataFrame | None, keys: Sequence[str]
 ) -> DataFrame:
-    """Depth and infrared must exist for a frame; colour may be absent."""
+    """Depth and infrared must exist for a frame; colour may be absent.
+
+    A frame with only one of the two fails the job: ``assembly_report`` tells
+    which frames those are, for a caller who wants to set them aside first. A
+    null key finds no partner and fails as well.
+    """
+    keys = list(keys)
+    frames = depth.withColumn("_depth", F.lit(True)).join(
+        ir.withColumn("_ir", F.lit(True)), keys, "full_outer"
+    )
+    rules = {"frame without depth": F.col("_depth"), "frame without infrared": F.col("_ir")}
+    whole = enforce(frames, rules, F.concat_ws("/", *keys)).drop("_depth", "_ir")
+    return whole if rgb is None else whole.join(rgb, keys, "left")
+
+
+def assembly_report(
+    depth: DataFrame, ir: DataFrame, rgb: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """Audit form: every frame of any stream, which streams it has, and the verdict."""
     keys = list(keys)
-    frames = depth.join(ir, keys)
-    return frames if rgb is None else frames.join(rgb, keys, "left")
+    streams = {"has_depth": depth, "has_ir": ir, "has_rgb": rgb}
+    marked = [
+        df.select(*keys, *[F.lit(n == name).alias(n) for n in streams]) for name, df in streams.items()
+    ]
+    seen = marked[0].unionByName(marked[1]).unionByName(marked[2])
+    found = seen.groupBy(*keys).agg(*[F.max(n).alias(n) for n in streams])
+    return found.withColumn("complete", F.col("has_depth") & F.col("has_ir"))
 
 
 def frame_completeness(frames: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,7 +48,7 @@ def frame_completeness(frames: DataFrame, points: DataFrame, keys: Sequence[str]
     counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     zero = F.lit(0).cast("bigint")
     return (
-        frames.select(*keys)
+        require_keys(frames.select(*keys), keys)
         .join(counts, keys, "left")
         .select(
             *keys,

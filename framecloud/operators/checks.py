@@ -43,6 +43,15 @@ def enforce(df: DataFrame, rules: Mapping[str, Column], label: Column) -> DataFr
     return df.where(checked)
 
 
+def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pass rows through, failing the job where a frame key is null.
+
+    A null key equals no other in a join, so the frame would lose all its points.
+    """
+    present = all_of([F.col(k).isNotNull() for k in keys])
+    return enforce(df, {"frame key is null": present}, F.concat_ws("/", *keys))
+
+
 def _near(a: Column, b: Column | float, tolerance: float) -> Column:
     other = F.lit(b) if isinstance(b, float) else b
     return F.abs(a - other) <= F.lit(tolerance)

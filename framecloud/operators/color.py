@@ -45,8 +45,8 @@ def color_camera_columns() -> list[Column]:
 
 
 def clamp01(c: Column) -> Column:
-    """Clamp to 0..1; NaN stays, which Spark orders above every number."""
-    return F.when(c <= f32(1), F.greatest(c, f32(0))).when(F.isnan(c), c).otherwise(f32(1))
+    """Clamp to 0..1; NaN stays, which Spark orders above every number, and so does null."""
+    return F.when(c <= f32(1), F.greatest(c, f32(0))).when(F.isnan(c), c).when(c > f32(1), f32(1))
 
 
 def read_colors(points: DataFrame, position: str) -> DataFrame:

@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framecloud.functions.joins import checked_broadcast
 from framecloud.functions.numeric import all_of, div32, f32, is_finite, non_zero, sum32, to32
+from framecloud.operators.checks import enforce
 
 LENS = ("scale", "fx", "fy", "cx", "cy")
 
 
-def attach_cameras(frames: DataFrame, cameras: DataFrame, checked: bool = False) -> DataFrame:
+def camera_known() -> Column:
+    """Whether a frame found its camera row."""
+    return F.col("depth_scale").isNotNull()
+
+
+def attach_cameras(
+    frames: DataFrame,
+    cameras: DataFrame,
+    checked: bool = False,
+    rules: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Join the camera row to each frame; a frame of an unknown camera is an error.
 
-    ``checked`` says that the caller already decided about broadcasting.
+    ``checked`` says that the caller already decided about broadcasting. ``rules``
+    are enforced on the joined rows instead of the one about the camera. They are
+    a filter, so they hold whichever columns are read afterwards.
     """
     side = cameras if checked else checked_broadcast(cameras)
     joined = frames.join(side, "camera", "left")
-    known = F.when(
-        F.col("depth_scale").isNull(),
-        F.raise_error(F.concat(F.lit("unknown camera: "), F.col("camera"))).cast("double"),
-    ).otherwise(F.col("depth_scale"))
-    return joined.withColumn("depth_scale", known)
+    name = F.coalesce(F.col("camera").cast("string"), F.lit("null"))
+    return enforce(joined, rules or {"unknown camera": camera_known()}, F.concat(F.lit("camera "), name))
 
 
 def active_intrinsics() -> Column:
@@ -64,12 +74,13 @@ def lens_columns(k: str = "k", scale: str = "depth_scale") -> list[Column]:
 
 
 def check_shape(frames: DataFrame, array: str, height: Column, width: Column) -> DataFrame:
-    """Strict image shape check: the array must hold exactly height x width values."""
-    wrong = F.size(array) != height * width
-    message = F.concat(F.lit(f"{array} size "), F.size(array), F.lit(" does not match the camera"))
+    """Strict image shape check: a null image, or one of another size, fails the job."""
+    fits = F.coalesce(F.size(array) == height * width, F.lit(False))
+    found = F.concat(F.lit(f"{array} size "), F.size(array), F.lit(" does not match the camera"))
+    message = F.coalesce(found, F.lit(f"{array} image is missing"))
     return frames.withColumn(
         array,
-        F.when(wrong, F.raise_error(message).cast("array<float>")).otherwise(F.col(array)),
+        F.when(fits, F.col(array)).otherwise(F.raise_error(message).cast("array<float>")),
     )
 
 

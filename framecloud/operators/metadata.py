@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framecloud.config import CropConfig, SamplingConfig
 from framecloud.functions.numeric import count_where
+from framecloud.operators.checks import require_keys
 from framecloud.operators.crop import keep_condition
 from framecloud.operators.sampling import VOXEL, sampling_flags, voxel_key_columns
 
@@ -55,7 +56,7 @@ def frame_meta(
 ) -> DataFrame:
     """One metadata row per input frame, also for frames that lost every point."""
     keys = list(keys)
-    joined = frames.join(counts, keys, "left")
+    joined = require_keys(frames, keys).join(counts, keys, "left")
     counted = [c for c in (*COUNTS, "valid_projection_count") if c in joined.columns]
     zero = F.lit(0).cast("bigint")
     filled = joined.withColumns({c: F.coalesce(F.col(c), zero) for c in counted})
@@ -88,7 +89,7 @@ def cloud_extent(points: DataFrame, frames: DataFrame, keys: Sequence[str]) -> D
         *[F.max(a).alias(f"max_{a}") for a in "xyz"],
     )
     names = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
-    joined = frames.select(*keys).join(box, keys, "left")
+    joined = require_keys(frames.select(*keys), keys).join(box, keys, "left")
     return joined.select(
         *keys,
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),

@@ -20,6 +20,7 @@ THRESHOLDS = {
     "finite_positive_ratio_min": 0.95,
 }
 RELATIVE_FLOOR = 1e-6
+MAX_SOURCES = 1000
 
 
 def _positive(c: Column) -> Column:
@@ -33,14 +34,49 @@ def pair_rasters(
 
     The join is on the frame only and on packed rows; pixels are paired by
     position afterwards, so no pixel is shuffled on its own.
+
+    Every reference frame is paired with every candidate source, which the other
+    columns of ``candidate`` name. A frame or image that a source lacks gives null
+    candidate pixels, so it counts as not covered. Images of different length and
+    a null reference image fail the job. A candidate frame without a reference has
+    nothing to be compared with and is left out. The names of the sources, at most
+    ``MAX_SOURCES``, are read first.
     """
     keys = list(keys)
     ref = reference.select(*keys, *[F.col(a).alias(f"ref_{a}") for a in arrays])
     extra = [c for c in candidate.columns if c not in {*keys, *arrays}]
     cand = candidate.select(*keys, *extra, *[F.col(a).alias(f"cand_{a}") for a in arrays])
+    if extra:
+        ref = ref.select("*", F.inline(_source_names(candidate, extra)))
+    joined = ref.join(cand, [*keys, *extra], "left")
+    filled = {}
+    for a in arrays:
+        mine, other = F.col(f"cand_{a}"), F.col(f"ref_{a}")
+        missing = F.transform(other, lambda v: F.lit(None).cast(_element(candidate, a)))
+        problem = (
+            F.when(other.isNull(), f"reference {a} image is missing")
+            .when(F.size(mine) != F.size(other), f"{a} images differ in length")
+        )
+        failed = F.raise_error(problem).cast(candidate.schema[a].dataType)
+        filled[f"cand_{a}"] = F.when(problem.isNotNull(), failed).otherwise(F.coalesce(mine, missing))
     names = [f"{side}_{a}" for a in arrays for side in ("ref", "cand")]
     zipped = F.arrays_zip(*names)
-    return cand.join(ref, keys).select(*keys, *extra, F.inline(zipped).alias(*names))
+    return joined.withColumns(filled).select(*keys, *extra, F.inline(zipped).alias(*names))
+
+
+def _element(df: DataFrame, array: str):
+    return df.schema[array].dataType.elementType
+
+
+def _source_names(candidate: DataFrame, names: Sequence[str]) -> Column:
+    """The distinct candidate sources as an array of structs."""
+    found = candidate.select(*names).distinct().limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"columns {list(names)} name more than {MAX_SOURCES} candidate sources")
+    types = {n: candidate.schema[n].dataType for n in names}
+    rows = [F.struct(*[F.lit(row[n]).cast(t).alias(n) for n, t in types.items()]) for row in found]
+    kind = ", ".join(f"`{n}`: {t.simpleString()}" for n, t in types.items())
+    return F.array(*rows).cast(f"array<struct<{kind}>>")
 
 
 def parity_metrics(pixels: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from framecloud.config import SamplingConfig
 from framecloud.functions.checkpoints import cut
 from framecloud.functions.numeric import div32, f32
 from framecloud.functions.order import dense_index, first_k
+from framecloud.operators.checks import require_keys
 from framecloud.operators.crop import pack_parts
 from framecloud.operators.farthest import farthest_points
 
@@ -139,7 +140,7 @@ def pad(
     keys = list(keys)
     values = [c for c in selected.columns if c not in {*keys, "rank", "idx"}]
     sized = selected.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).drop("idx")
-    per_frame = frames.select(*keys).join(sized, keys, "left")
+    per_frame = require_keys(frames.select(*keys), keys).join(sized, keys, "left")
     rank, n, last = F.col("rank"), F.col("_n"), F.lit(k - 1)
     empty = F.sequence(F.lit(0), last)
     own = F.array(rank)

@@ -142,6 +142,8 @@ def infer_disparity(
                 rows.append(full_resolution(model(_image(a, h, w), _image(b, h, w)), h, w))
             yield pd.Series(rows)
 
+    # Nondeterministic, so that no later filter on the result runs the model again.
+    infer = infer.asNondeterministic()
     checked = frames
     for image in (left, right):
         channels = F.floor(F.size(image) / (F.col("height") * F.col("width"))).cast("int")

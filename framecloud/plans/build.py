@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framecloud.config import BuildConfig, StereoConfig
 from framecloud.functions.joins import BROADCAST_ROWS
+from framecloud.functions.numeric import all_of
 from framecloud.operators.color import (
     CARRY,
     COLOR,
@@ -20,13 +21,14 @@ from framecloud.operators.color import (
     divisor,
     read_colors,
 )
+from framecloud.operators.checks import audit, require_keys
 from framecloud.operators.color import LENS as COLOR_LENS
 from framecloud.operators.crop import crop
 from framecloud.operators.geometry import (
     LENS,
     active_intrinsics,
     attach_cameras,
-    check_shape,
+    camera_known,
     deproject,
     disparity_columns,
     explode_pixels,
@@ -35,7 +37,7 @@ from framecloud.operators.geometry import (
 )
 from framecloud.operators.metadata import frame_meta, stage_counts
 from framecloud.operators.sampling import sample_points
-from framecloud.operators.stereo import disparity_reasons
+from framecloud.operators.stereo import backend_factory, disparity_reasons, infer_disparity
 from framecloud.schema import KEYS
 
 _RGB_CARRY = (*CARRY, *COLOR_LENS, *POSE, "aligned", "mapped")
@@ -59,6 +61,7 @@ class Stages:
         partitions: int | None,
         by_frame: bool,
     ):
+        require_settings(cfg)
         self.cfg, self.keys, self.mode = cfg, list(keys), mode
         self.frames = frames
         self.partitions, self.by_frame = partitions, by_frame
@@ -124,52 +127,125 @@ def _mapping(cfg: BuildConfig) -> Column:
     return F.when(F.col("aligned"), "aligned").otherwise("project_depth_to_color")
 
 
+def require_settings(cfg: BuildConfig) -> None:
+    """Refuse stereo settings that no build can follow."""
+    if cfg.depth_mode != "stereo":
+        return
+    if cfg.stereo.rectification_mode == "opencv":
+        raise ValueError("rectify infrared images before the build; opencv mode is not done here")
+    if cfg.stereo.backend:
+        backend_factory(cfg.stereo.backend)
+
+
 def _baseline(cfg: StereoConfig) -> Column:
     """Baseline of the camera row, else the configured one."""
     configured = F.lit(cfg.baseline_m if cfg.baseline_m > 0 else None).cast("double")
-    found = F.coalesce(F.col("baseline_m"), configured)
-    problem = F.raise_error(F.lit("stereo depth needs a positive baseline")).cast("double")
-    return F.when(F.coalesce(found > 0, F.lit(False)), found).otherwise(problem)
-
-
-def _check_color(frames: DataFrame, cfg: BuildConfig) -> DataFrame:
-    """Fail on a frame whose colour is missing or does not fit its camera."""
-    k = F.col("color_k")
-    project = ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
-    problem = (
-        F.when(F.col("rgb").isNull(), "frame has no colour image")
-        .when(F.col("rgb_channels") < 3, "colour image needs three channels")
-        .when(
-            F.size("rgb") != k["height"] * k["width"] * F.col("rgb_channels"),
-            "colour image does not match the colour camera",
-        )
-        .when(project & (F.col("r").isNull() | F.col("t").isNull()), "colour needs extrinsics")
-    )
-    checked = F.when(problem.isNotNull(), F.raise_error(problem).cast("array<float>"))
-    return frames.withColumns(
-        {
-            "rgb": checked.otherwise(F.col("rgb")),
-            "mapped": F.col("aligned") | project,
+    return F.coalesce(F.col("baseline_m"), configured)
+
+
+def _lens(cfg: BuildConfig) -> Column:
+    return F.col("depth_k") if cfg.depth_mode == "stereo" else active_intrinsics()
+
+
+def camera_frame_rules(cfg: BuildConfig, keys: Sequence[str]) -> dict[str, Column]:
+    """What must hold of a frame joined with its camera row, whatever its images are.
+
+    A rule that presumes another one holds where that one is broken, so a frame is
+    reported for its cause alone.
+    """
+    unknown = ~camera_known()
+    rules = {
+        "frame key is null": all_of([F.col(k).isNotNull() for k in keys]),
+        "unknown camera": ~unknown,
+    }
+    if cfg.depth_mode == "stereo":
+        agree = F.abs(F.col("baseline_m") - F.lit(float(cfg.stereo.baseline_m))) <= F.lit(1e-5)
+        unset = F.lit(cfg.stereo.baseline_m <= 0) | F.col("baseline_m").isNull()
+        rules |= {
+            "stereo depth needs a camera that is not aligned to colour": unknown | ~F.col("aligned"),
+            "stereo depth needs a positive baseline": unknown | (_baseline(cfg.stereo) > 0),
+            "configured baseline disagrees with the camera": unknown | unset | agree,
         }
-    ).withColumn("rgb_div", divisor(F.col("rgb")))
+    return rules
+
+
+def _has_pixels(array: str) -> Column:
+    return F.coalesce(F.size(array) > 0, F.lit(False))
+
+
+def image_rules(cfg: BuildConfig) -> dict[str, Column]:
+    """What must hold of the images a build reads."""
+    array = "disparity" if cfg.depth_mode == "stereo" else "depth"
+    unknown, missing = ~camera_known(), ~_has_pixels(array)
+    k = _lens(cfg)
+    rules = {
+        f"{array} image is missing": ~missing,
+        f"{array} image does not match the camera": unknown
+        | missing
+        | (F.size(array) == k["height"] * k["width"]),
+    }
+    if cfg.pointcloud.use_rgb:
+        c = F.col("color_k")
+        no_rgb, channels = F.col("rgb").isNull(), F.coalesce(F.col("rgb_channels"), F.lit(0))
+        project = ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
+        rules |= {
+            "frame has no colour image": ~no_rgb,
+            "colour image needs three channels": no_rgb | (channels >= 3),
+            "colour image does not match the colour camera": unknown
+            | no_rgb
+            | (channels < 3)
+            | (F.size("rgb") == c["height"] * c["width"] * channels),
+            "colour needs extrinsics": unknown
+            | ~project
+            | (F.col("r").isNotNull() & F.col("t").isNotNull()),
+        }
+    return rules
+
+
+def reject_report(
+    frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Audit form of what a build refuses: one row per frame with its broken rules.
+
+    The rows that are ``ok`` are those a build with the same settings accepts; the
+    checks a disparity backend makes on its infrared images come on top.
+    """
+    require_settings(cfg)
+    rules = camera_frame_rules(cfg, keys)
+    if not (cfg.depth_mode == "stereo" and cfg.stereo.backend):
+        rules |= image_rules(cfg)
+    side, _ = bounded_cameras(cameras)
+    return audit(frames.join(side, "camera", "left"), keys, rules)
 
 
 def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Sequence[str]):
-    """Packed frames with camera scalars, pruned to what the pixel stage reads."""
-    placed = attach_cameras(frames, cameras, checked=True)
+    """Packed frames with camera scalars, pruned to what the pixel stage reads.
+
+    A frame that breaks a rule fails the job. A disparity backend named in the
+    settings runs here, and its result replaces a ``disparity`` column.
+    """
     stereo = cfg.depth_mode == "stereo"
     array = "disparity" if stereo else "depth"
-    k = F.col("depth_k") if stereo else active_intrinsics()
-    placed = placed.withColumn("k", k).withColumn(
+    if stereo and cfg.stereo.backend:
+        frames = infer_disparity(require_keys(frames, keys), cfg.stereo.backend)
+    rules = camera_frame_rules(cfg, keys) | image_rules(cfg)
+    placed = attach_cameras(frames, cameras, checked=True, rules=rules)
+    # Exploding an array lets the optimizer drop null and empty ones before any filter,
+    # so the image itself carries this rule too.
+    missing = F.raise_error(F.lit(f"{array} image is missing")).cast("array<float>")
+    image = F.when(_has_pixels(array), F.col(array)).otherwise(missing)
+    placed = placed.withColumn(array, image).withColumn("k", _lens(cfg)).withColumn(
         "depth_scale", F.lit(1.0) if stereo else F.col("depth_scale")
     )
-    placed = check_shape(placed, array, F.col("k.height"), F.col("k.width"))
     columns: list = [*keys, array, F.col("k.width").alias("k_width"), *lens_columns()]
     if stereo:
         fx_baseline = F.col("k.fx") * _baseline(cfg.stereo)
         columns.append(fx_baseline.cast("float").alias("fx_baseline"))
     if cfg.pointcloud.use_rgb:
-        placed = _check_color(placed, cfg)
+        project = ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
+        placed = placed.withColumn("mapped", F.col("aligned") | project).withColumn(
+            "rgb_div", divisor(F.col("rgb"))
+        )
         columns += [*CARRY, "aligned", "mapped", *color_camera_columns()]
     return placed.select(*columns)
 
@@ -233,8 +309,10 @@ def build_meta(stages: Stages) -> DataFrame:
     """Metadata of every frame, with colour counts when colour is on."""
     cfg, keys = stages.cfg, stages.keys
     counts = stage_counts(stages._by_frame, keys, cfg.crop, cfg.sampling)
-    frames = stages.frames.select(*keys, "ts")
-    described = attach_cameras(frames, stages.cameras, checked=True).select(
+    named = dict.fromkeys([*keys, "camera", "ts"])
+    frames = stages.frames.select(*named)
+    rules = camera_frame_rules(cfg, keys)
+    described = attach_cameras(frames, stages.cameras, checked=True, rules=rules).select(
         *keys,
         F.col("ts").alias("timestamp"),
         F.col("aligned").alias("aligned_depth_to_color"),
@@ -261,14 +339,16 @@ def build_meta(stages: Stages) -> DataFrame:
 def build_stereo_meta(stages: Stages) -> DataFrame:
     cfg, keys = stages.cfg.stereo, stages.keys
     counts = disparity_reasons(stages.pixels, keys, cfg)
-    described = attach_cameras(stages.frames.select(*keys), stages.cameras, checked=True).select(
+    rules = camera_frame_rules(stages.cfg, keys)
+    frames = stages.frames.select(*dict.fromkeys([*keys, "camera"]))
+    described = attach_cameras(frames, stages.cameras, checked=True, rules=rules).select(
         *keys, F.col("depth_k.fx").alias("fx_px"), _baseline(cfg).alias("baseline_m")
     )
     settings = {
         "depth_source": F.lit("stereo"),
         "unit": F.lit("meter"),
         "effective_depth_scale": F.lit(1.0),
-        "backend": F.lit(cfg.backend),
+        "backend": F.lit(cfg.backend or "recorded"),
         "max_disp": F.lit(cfg.max_disp),
         "valid_iters": F.lit(cfg.valid_iters),
         "precision": F.lit(cfg.precision),
@@ -291,7 +371,12 @@ def build(
 ) -> Stages:
     """Raw, cropped and sampled clouds plus metadata of every frame.
 
-    ``keys`` name one frame and must be unique in ``frames``. ``partitions``
+    ``keys`` name one frame and must be unique in ``frames``. A frame with a null
+    key or image, an unknown camera or an image of another size fails the job;
+    ``reject_report`` names such frames beforehand. A stereo source takes the
+    backend its settings name, which runs in each output that needs disparity: to
+    run it once for many outputs, write the frames of ``infer_disparity`` and build
+    from them with no backend named. ``partitions``
     sets how many partitions packed frames are shuffled into, by default the
     session's shuffle partitions; aim at some 100 MB of packed frames each. ``by_frame`` says that ``frames`` is already hash
     partitioned by ``keys``, as a table bucketed by them is: nothing is shuffled

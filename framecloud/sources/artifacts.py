@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MANIFEST = "artifacts array<struct<path:string,name:string,sha256:string,size:bigint>>"
+_RECORD = "struct<path:string,name:string,sha256:string,size:bigint>"
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +15,37 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size, position) recorded in a manifest's artifact list."""
+    """(path, sha256, size, position) of the artifacts a manifest records.
+
+    ``artifacts`` is a list of records, or a mapping from file name to a record or to
+    the bare hash. A manifest of another form, or without artifacts, gives no rows; a
+    record without a name or hash cannot vouch for a file and is left out.
+    """
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", _MANIFEST).alias("m"))
-    return parsed.select(F.posexplode("m.artifacts").alias("position", "a")).select(
-        F.coalesce("a.path", "a.name").alias("path"), "a.sha256", "a.size", "position"
+    raw = text.select(F.get_json_object("value", "$.artifacts").alias("a"))
+    entries = F.transform(
+        F.map_entries(F.from_json("a", "map<string,string>")),
+        lambda e: F.struct(e["key"].alias("key"), _record_of(e["value"]).alias("r")),
+    )
+    from_map = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["key"].alias("path"), e["key"].alias("name"), e["r"]["sha256"], e["r"]["size"]
+        ).cast(_RECORD),
+    )
+    listed = F.when(F.col("a").startswith("{"), from_map).otherwise(
+        F.from_json("a", f"array<{_RECORD}>")
     )
+    return (
+        raw.select(F.posexplode(listed).alias("position", "r"))
+        .select(F.coalesce("r.path", "r.name").alias("path"), "r.sha256", "r.size", "position")
+        .where("path is not null and sha256 is not null")
+    )
+
+
+def _record_of(text: Column) -> Column:
+    """A mapping's value: a JSON record, or the bare hash."""
+    bare = F.struct(
+        F.lit(None).alias("path"), F.lit(None).alias("name"), text.alias("sha256"), F.lit(None).alias("size")
+    ).cast(_RECORD)
+    return F.when(text.startswith("{"), F.from_json(text, _RECORD)).otherwise(bare)

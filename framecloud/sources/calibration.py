@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.operators.checks import resolve_alias
+from framecloud.functions.joins import checked_broadcast
+from framecloud.operators.checks import enforce, rectification_rules, resolve_alias
 
 _STREAM = (
     "struct<intrinsics:struct<width:int,height:int,fx:double,fy:double,cx:double,cy:double,"
@@ -78,3 +79,32 @@ def calibration_of(calibration: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     joined = named.join(calibration, "camera", "left")
     return joined.withColumn("found", F.col("left_k").isNotNull())
+
+
+def apply_calibration(cameras: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Camera table of a stereo rig: calibrated infrared lenses replace depth lenses.
+
+    The left infrared lens becomes ``depth_k`` and its pose towards the colour camera
+    ``r`` and ``t``; the baseline is the calibrated one. Short camera names are
+    resolved. A camera without calibration, a pair that is not rectified, or a
+    positive baseline in ``cameras`` that differs from the calibrated one by more than
+    0.00001 m fails the job.
+    """
+    own = {"camera": "_asked", "depth_k": "_depth_k", "r": "_r", "t": "_t", "baseline_m": "_baseline"}
+    named = cameras.withColumnsRenamed(own).withColumn("camera", resolve_alias(F.col("_asked")))
+    joined = named.join(checked_broadcast(calibration), "camera", "left")
+    absent = F.col("left_k").isNull()
+    unset = ~F.coalesce(F.col("_baseline") > 0, F.lit(False))
+    rules = {"camera has no calibration": ~absent}
+    rules |= {name: absent | rule for name, rule in rectification_rules().items()}
+    rules["configured baseline disagrees with the calibration"] = (
+        absent | unset | (F.abs(F.col("_baseline") - F.col("baseline_m")) <= F.lit(1e-5))
+    )
+    checked = enforce(joined, rules, F.concat_ws(" ", F.lit("camera"), "_asked"))
+    replaced = {
+        "camera": F.col("_asked"),
+        "depth_k": F.col("left_k"),
+        "r": F.col("color_r"),
+        "t": F.col("color_t"),
+    }
+    return checked.select(*[replaced.get(c, F.col(c)).alias(c) for c in cameras.columns])

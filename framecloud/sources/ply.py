@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTS = "path string, idx bigint, x float, y float, z float, red int, green int, blue int"
-
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """One row per vertex with its position in the file; colours 0..255 or null.
 
-    A file without vertices fails the job.
+    Unix and Windows line ends are read. A file without vertices, and one that holds
+    another number of them than its header names, fails the job; a header may leave
+    the number out.
     """
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in parts:
-            for name, text in zip(files["path"], files["value"], strict=True):
-                head, _, body = text.partition("end_header\n")
-                rows = pd.DataFrame([line.split() for line in body.splitlines() if line])
-                if not head.startswith("ply") or rows.empty:
-                    raise ValueError(f"empty or invalid point cloud: {name}")
-                out = pd.DataFrame({"path": name, "idx": range(len(rows))})
-                for j, axis in enumerate("xyz"):
-                    out[axis] = rows[j].astype("float32")
-                for j, color in enumerate(("red", "green", "blue")):
-                    has = rows.shape[1] >= 6
-                    out[color] = rows[3 + j].astype("Int64") if has else pd.NA
-                    out[color] = out[color].astype("Int64")
-                yield out
-
+    parts = F.split("value", r"end_header[ \t]*\r?\n", 2)
     files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+        F.col("_metadata.file_path").alias("path"),
+        parts[0].alias("head"),
+        F.filter(F.split(F.get(parts, F.lit(1)), r"\r?\n"), lambda line: F.trim(line) != "").alias("rows"),
+    )
+    named = F.regexp_extract("head", r"element\s+vertex\s+([0-9]+)", 1)
+    found = F.size("rows")
+    problem = F.when(
+        ~F.col("head").startswith("ply") | F.coalesce(found == 0, F.lit(True)),
+        F.concat(F.lit("empty or invalid point cloud: "), "path"),
+    ).when(
+        (named != "") & (named.cast("bigint") != found),
+        F.concat(F.lit("cut point cloud: "), "path", F.lit(" names "), named, F.lit(" vertices")),
+    )
+    checked = F.when(problem.isNull(), F.col("rows")).otherwise(F.raise_error(problem).cast("array<string>"))
+    vertices = files.select("path", F.posexplode(checked).alias("idx", "line"))
+    cells = vertices.select(
+        "path", F.col("idx").cast("bigint").alias("idx"), F.split(F.trim("line"), r"\s+").alias("c")
     )
-    return files.mapInPandas(parse, _POINTS)
+    colors = [
+        F.when(F.size("c") >= 6, F.get("c", F.lit(3 + j))).cast("int").alias(name)
+        for j, name in enumerate(("red", "green", "blue"))
+    ]
+    return cells.select("path", "idx", *[F.get("c", F.lit(j)).cast("float").alias(a) for j, a in enumerate("xyz")], *colors)
 
 
 def require_stages(clouds: DataFrame, directories: DataFrame, stages=("raw", "cropped", "sampled")):

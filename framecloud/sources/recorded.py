@@ -75,8 +75,13 @@ def _row(path: str, content: bytes) -> dict:
     }
 
 
-def read_frame_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per NPZ or NPY file. Pickled arrays are refused."""
+def read_frame_files(spark: SparkSession, path: str, camera: str | None = None) -> DataFrame:
+    """One row per NPZ or NPY file. Pickled arrays are refused.
+
+    The frame key comes from the file's index, else from the digits that end its
+    name; it is null where there are neither, which a build refuses. The camera is
+    ``camera``, else the name of the file's folder.
+    """
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in parts:
@@ -87,7 +92,16 @@ def read_frame_files(spark: SparkSession, path: str) -> DataFrame:
             yield frame
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, FILE_FRAMES)
+    frames = files.mapInPandas(decode, FILE_FRAMES)
+    digits = F.regexp_extract("path", r"([0-9]{1,18})\.[A-Za-z]+$", 1)
+    numbered = F.when(digits != "", digits).cast("bigint")
+    folder = F.element_at(F.split("path", "/"), -2)
+    return frames.withColumns(
+        {
+            "frame_id": F.coalesce("frame_id", numbered),
+            "camera": folder if camera is None else F.lit(camera),
+        }
+    )
 
 
 def read_sidecar(spark: SparkSession, root: str) -> DataFrame:

@@ -325,7 +325,7 @@ def test_configuration_from_a_mapping():
         "sampling": {"mode": "FPS", "num_points": 12, "stride": 0},
         "depth_source": {"mode": "network", "network": {"max_disp": 192, "backend": "a"}},
     }
-    cfg = BuildConfig.from_mapping(raw)
+    cfg = BuildConfig.from_mapping(raw, {"network": "network"})
     assert cfg.crop.enabled and cfg.crop.x == (-1.0, 1.0) and cfg.crop.z == (0.0, math.inf)
     assert (cfg.sampling.mode, cfg.sampling.stride, cfg.depth_mode) == ("fps", 1, "stereo")
     assert cfg.stereo.max_disp == 192 and cfg.pointcloud.use_rgb
@@ -344,8 +344,10 @@ def test_configuration_from_a_mapping():
         ("sampling", {"pad_mode": "mirror"}),
         ("pointcloud", {"output_format": "ply"}),
         ("pointcloud", {"rgb_mapping": "nearest"}),
-        ("depth_source", {"mode": "network"}),
-        ("depth_source", {"mode": "network", "network": {"max_disp": 10}}),
+        ("depth_source", {"mode": "stereo"}),
+        ("depth_source", {"mode": "stereo", "stereo": {"max_disp": 10}}),
+        ("depth_source", {"mode": "stereo", "other": {"max_disp": 192}}),
+        ("depth_source", {"mode": "fram", "stereo": {"max_disp": 192}}),
     ],
 )
 def test_bad_configuration_is_rejected(section, value):
