@@ -230,10 +230,10 @@ def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Seque
         frames = infer_disparity(require_keys(frames, keys), cfg.stereo.backend)
     rules = camera_frame_rules(cfg, keys) | image_rules(cfg)
     placed = attach_cameras(frames, cameras, checked=True, rules=rules)
-    # Exploding an array lets the optimizer drop null and empty ones before any filter,
-    # so the image itself carries this rule too.
-    missing = F.raise_error(F.lit(f"{array} image is missing")).cast("array<float>")
-    image = F.when(_has_pixels(array), F.col(array)).otherwise(missing)
+    # Exploding an array lets the optimizer drop null and empty ones before any filter.
+    # One null pixel in their place keeps such a frame until the rules refuse it.
+    no_pixel = F.array(F.lit(None).cast("float"))
+    image = F.when(_has_pixels(array), F.col(array)).otherwise(no_pixel)
     placed = placed.withColumn(array, image).withColumn("k", _lens(cfg)).withColumn(
         "depth_scale", F.lit(1.0) if stereo else F.col("depth_scale")
     )

@@ -90,8 +90,10 @@ def test_report_names_each_cause_once(spark):
         ["unknown camera"],
         ["frame key is null"],
     ]
+    # The null key goes by a filter: its check may run before a join.
     accepted = report.where("ok").select(*KEYS)
-    assert build(frames.join(accepted, list(KEYS)), camera(spark), PLAIN).sampled.count() == FOUR.num_points
+    keyed = frames.where("frame_id is not null")
+    assert build(keyed.join(accepted, list(KEYS)), camera(spark), PLAIN).sampled.count() == FOUR.num_points
 
 
 def test_null_keys_fail_in_operators_that_join_by_them(spark):
