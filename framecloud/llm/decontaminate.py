@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Runs of three words of the test items are looked up in every document; the places
 found lie on diagonals, and each item is aligned with the passage around them, so
-edited and paraphrased copies score by how much of the item they keep. A finding
-counts only with a rare seed: one that no more documents hold than the median seed
-of its item, by counts over all documents.
+edited and paraphrased copies score by how much of the item they keep. Every seed
+counts, however many documents hold it, and the score alone decides.
 """
 
 from __future__ import annotations
@@ -31,19 +30,6 @@ THRESHOLD = 0.5
 #: Words of test items that are held in memory at a time; more are taken in blocks.
 BLOCK_WORDS = 1_000_000
 
-LEAK = "struct<item:int,score:double,first_word:int,last_word:int,seeds:array<int>>"
-LEAK_TYPE = pa.list_(
-    pa.struct(
-        {
-            "item": pa.int32(),
-            "score": pa.float64(),
-            "first_word": pa.int32(),
-            "last_word": pa.int32(),
-            "seeds": pa.list_(pa.int32()),
-        }
-    )
-)
-
 
 def hasher(text: str | None) -> np.ndarray:
     return word_hashes(text, LETTERS)
@@ -113,7 +99,7 @@ class Seeds:
         hits = []
         for at, seed in zip(places.tolist(), which.tolist(), strict=True):
             for o in range(self.start[seed], self.start[seed + 1]):
-                hits.append((int(self.item[o]), at - int(self.place[o]), seed))
+                hits.append((int(self.item[o]), at - int(self.place[o])))
         for item, found in groupby(sorted(hits), itemgetter(0)):
             words = self.words[item]
             slack = len(words) // 3 + 2
@@ -129,19 +115,18 @@ class Seeds:
                 score, end = local_score(words, window)
                 if score >= need and (best is None or score > best[0]):
                     back, length = local_score(words[::-1], window[:end][::-1])
-                    best = (score, first + end - length, first + end - 1, sorted({p[2] for p in passage}))
+                    best = (score, first + end - length, first + end - 1)
             if best:
-                score, start, end, seeds = best
+                score, start, end = best
                 yield {
-                    "item": item,
+                    "item_id": self.ids[item],
                     "score": score / (MATCH * len(words)),
                     "first_word": start,
                     "last_word": end,
-                    "seeds": seeds,
                 }
 
 
-def passages(hits: list[tuple[int, int, int]], gap: int) -> Iterator[list[tuple[int, int, int]]]:
+def passages(hits: list[tuple[int, int]], gap: int) -> Iterator[list[tuple[int, int]]]:
     """Cut hits of one item, by diagonal, where neighbours lie more than ``gap`` apart."""
     start = 0
     for k in range(1, len(hits) + 1):
@@ -150,14 +135,6 @@ def passages(hits: list[tuple[int, int, int]], gap: int) -> Iterator[list[tuple[
             start = k
 
 
-def runs(values: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of the runs of equal values."""
-    if len(values) == 0:
-        return [], []
-    cuts = (np.flatnonzero(np.diff(values)) + 1).tolist()
-    return [0, *cuts], [*cuts, len(values)]
-
-
 def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Seeds]:
     """The test items in blocks of about ``BLOCK_WORDS`` words, by a hash of the item.
 
@@ -173,64 +150,26 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterat
         yield Seeds.of([r["id"] for r in held], [hasher(r["text"]) for r in held])
 
 
-def scan(docs: DataFrame, seeds: Seeds, text: str) -> DataFrame:
-    """Add ``_leaks`` (findings by number of the item in the block) and ``_seeds`` (distinct seeds)."""
+def scan(docs: DataFrame, seeds: Seeds, text: str, kind: str) -> DataFrame:
+    """Add ``_found``: the findings of one block, with the items' own ids."""
     names = docs.columns
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    id_type = pa.int64() if kind == "bigint" else pa.string()
+    leak = pa.struct({"item_id": id_type, "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()})
 
     def run(batches):
         block = shared.value
         for batch in batches:
-            found, held = [], []
+            found = []
             for value in batch.column(at).to_pylist():
                 h = hasher(value)
                 places, which = block.in_text(h)
                 found.append(list(block.leaks(h, places, which)) if len(which) else [])
-                held.append(sorted(set(which.tolist())))
-            columns = [*batch.columns, pa.array(found, LEAK_TYPE), pa.array(held, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_leaks", "_seeds"])
-
-    return docs.mapInArrow(run, f"{fields_of(docs)}, _leaks array<{LEAK}>, _seeds array<int>")
-
-
-def rare_seeds(scanned: DataFrame, seeds: Seeds) -> np.ndarray:
-    """Flags of (owner) seeds that no more documents hold than their item's median seed.
-
-    One count per seed of the block reaches the driver.
-    """
-    rows = scanned.select(F.explode("_seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    held = np.zeros(len(seeds.hashes), np.int64)
-    for r in rows.collect():
-        held[r["seed"]] = r["n"]
-    by_owner = np.repeat(held, np.diff(seeds.start))
-    order = np.lexsort((by_owner, seeds.item))
-    limit = np.zeros(len(seeds.words), np.int64)
-    for a, b in zip(*runs(seeds.item[order]), strict=True):
-        limit[seeds.item[order[a]]] = by_owner[order[(a + b - 1) // 2]]
-    return by_owner <= limit[seeds.item]
-
-
-def confirmed(scanned: DataFrame, seeds: Seeds, rare: np.ndarray, kind: str) -> DataFrame:
-    """Replace ``_leaks`` by findings with a rare seed, with the items' own ids."""
-    kept = [c for c in scanned.columns if c not in ("_leaks", "_seeds")]
-    rows = scanned.select(*[F.col(f"`{c}`") for c in kept], "_leaks")
-    pairs = {(int(s), int(seeds.item[o])) for s in range(len(seeds.hashes)) for o in range(seeds.start[s], seeds.start[s + 1]) if rare[o]}
-    shared = scanned.sparkSession.sparkContext.broadcast((seeds.ids, pairs))
-    id_type = pa.int64() if kind == "bigint" else pa.string()
-    leak = pa.struct({"item_id": id_type, "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()})
-
-    def run(batches):
-        ids, known = shared.value
-        for batch in batches:
-            out = []
-            for found in batch.column(len(kept)).to_pylist():
-                held = [f for f in found or [] if any((s, f["item"]) in known for s in f["seeds"])]
-                out.append([{"item_id": ids[f["item"]], **{k: f[k] for k in ("score", "first_word", "last_word")}} for f in held])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(leak))], [*kept, "_found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(leak))], [*names, "_found"])
 
     schema = f"_found array<struct<item_id:{kind},score:double,first_word:int,last_word:int>>"
-    return rows.mapInArrow(run, f"{fields_of(scanned.select(*[F.col(f'`{c}`') for c in kept]))}, {schema}")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, {schema}")
 
 
 def with_leaks(
@@ -248,13 +187,12 @@ def with_leaks(
     Item ids are whole numbers or text. Null and empty texts hold nothing; repeated
     rows and repeated items are found each for itself; all other columns stay. No
     text is shuffled: every document is scanned where it lies, once per block of
-    items, and the scanned rows are kept in ``folder`` until the counts are known.
+    items. ``folder`` receives the rows between two blocks.
     """
     out = docs.drop(name)
     kind, ids = typed(items, key)
     for n, seeds in enumerate(blocks(ids, key)):
-        scanned = written(scan(out, seeds, text), f"{folder}/block-{n}")
-        found = confirmed(scanned, seeds, rare_seeds(scanned, seeds), kind)
+        found = scan(written(out, f"{folder}/block-{n}") if n else out, seeds, text, kind)
         column = F.concat(f"`{name}`", F.col("_found")) if n else F.col("_found")
         out = found.withColumn(name, column).drop("_found")
     return out
@@ -273,8 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, folder: str, key: str = "doc_id", t
     kind, ids = typed(items, "item_id")
     parts = []
     for n, seeds in enumerate(blocks(ids)):
-        # The text stays in the scan; ids, findings and seeds are kept until the counts are known.
-        scanned = written(scan(rows, seeds, text).drop(text), f"{folder}/block-{n}")
-        found = confirmed(scanned, seeds, rare_seeds(scanned, seeds), kind)
-        parts.append(found.select(key, F.inline("_found")))
+        # Only findings are kept, so the broadcast of one block at a time is needed.
+        found = scan(rows, seeds, text, kind).select(key, F.inline("_found"))
+        parts.append(written(found, f"{folder}/block-{n}"))
     return reduce(DataFrame.union, parts)

@@ -211,6 +211,35 @@ def test_leaks_verbatim_and_edited(spark, folder):
     assert decontaminate.leaks(df, items.where("false"), folder()).count() == 0
 
 
+@pytest.mark.parametrize(("step", "copies"), [(4, 1), (5, 1), (4, 1000), (5, 1000)])
+def test_leaks_of_one_edited_copy_alone(spark, folder, step, copies):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(40)]
+    edited = " ".join(w if (k + 1) % step else word() for k, w in enumerate(item))
+    kept = sum((k + 1) % step > 0 for k in range(40))
+    first = min(k for k in range(40) if (k + 1) % step)
+    df = spark.createDataFrame([(k, f"before {edited} after") for k in range(copies)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = decontaminate.leaks(df, items, folder()).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies))
+    # The last word is an edited one, so the alignment ends before it.
+    score = (2 * kept - (40 - kept - 1)) / 80
+    assert {(round(r.score, 9), r.first_word) for r in got} == {(score, 1 + first)}
+    assert decontaminate.with_leaks(df, items, folder()).where("size(leaks) = 1").count() == copies
+
+
+def test_leaks_over_blocks_of_items(spark, folder, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    texts = {k: " ".join(f"w{k}x{j}" for j in range(8)) for k in range(6)}
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    df = spark.createDataFrame([(0, " and ".join(texts.values())), (1, texts[3]), (2, "none of them")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, items, folder()).collect())
+    assert got == [(0, k) for k in range(6)] + [(1, 3)]
+    rows = decontaminate.with_leaks(df, items, folder()).collect()
+    assert {r.doc_id: sorted(x.item_id for x in r.leaks) for r in rows} == {0: list(range(6)), 1: [3], 2: []}
+
+
 def test_alignment_equals_full_table():
     random.seed(5)
     for _ in range(150):
