@@ -170,7 +170,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest, class_id, is_first) for every row: the smallest key of its class.
+    """(key, digest, class_id, is_first) for every row: the smallest key of its class, see ``labelled_rows``."""
+    return labelled_rows(docs, folder, key, text).drop("label")
+
+
+def labelled_rows(docs: DataFrame, folder: str, key: str, text: str) -> DataFrame:
+    """(key, digest, label, class_id, is_first) for every row.
+
+    ``label`` is the class itself; ``class_id`` is its smallest key, which other
+    classes may have too where keys are null or repeated.
 
     A class is a connected component of equal texts and of pairs with a similarity
     of 0.8 or more. Null, empty and blank texts are equal to each other; texts below
@@ -211,10 +219,10 @@ def near_duplicates(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     labels = texts.select("digest", "first", "node").join(final, "node", "left")
     labels = labels.withColumn("label", F.coalesce("label", "node"))
     least = labels.groupBy("label").agg(F.min("first").alias("class_id"))
-    classes = labels.join(least.hint("rebalance"), "label").select("digest", "class_id")
+    classes = labels.join(least.hint("rebalance"), "label").select("digest", "label", "class_id")
     classes = written(classes, f"{folder}/classes")
     return rows.select("_id", "digest").join(classes, "digest").select(
-        F.col("_id").alias(key), "digest", "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("is_first")
+        F.col("_id").alias(key), "digest", "label", "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("is_first")
     )
 
 
@@ -268,13 +276,15 @@ def across(members: DataFrame, known: DataFrame, docs: DataFrame, texts: DataFra
 def first_of_each_class(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that come first in their class, one per class.
 
-    The text decides between rows that repeat a key, and of rows that repeat both
-    one stays. All columns stay.
+    First is the smallest key, null only where a class has no other. The text
+    decides between rows that repeat a key, and of rows that repeat both one stays.
+    All columns stay.
     """
-    classes = near_duplicates(docs, folder, key, text)
-    firsts = classes.where("is_first").groupBy("class_id").agg(F.min("digest").alias("_digest"))
+    classes = labelled_rows(docs, folder, key, text)
+    # The first row of a class has the class's smallest key, so its text is unique to it.
+    firsts = classes.where("is_first").groupBy("label").agg(F.min("digest").alias("_digest"), F.first("class_id").alias("_first"))
     rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = F.col(key).cast("bigint").eqNullSafe(firsts["class_id"]) & (rows["_digest"] == firsts["_digest"])
+    same = F.col(key).cast("bigint").eqNullSafe(firsts["_first"]) & (rows["_digest"] == firsts["_digest"])
     kept = rows.join(firsts, same, "left_semi")
     return kept.dropDuplicates([key, "_digest"]).drop("_digest")
 

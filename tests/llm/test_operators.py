@@ -293,3 +293,18 @@ def test_pipeline_keeps_clean_documents(spark, tiny):
     kept = {r.doc_id for r in rows}
     leaked = {r.doc_id for r in QUERIES["op1_decontaminate"](spark, tiny).collect()}
     assert not kept & leaked
+
+
+def test_one_of_each_class_with_null_and_repeated_ids(spark, folder):
+    random.seed(9)
+    fresh = lambda: [f"w{random.randrange(10**6)}" for _ in range(60)]
+    near = lambda t: [*t[:-1], f"w{random.randrange(10**6)}"]
+    nulls, shared, led, copied = ([fresh() for _ in range(n)] for n in (5, 4, 2, 1))
+    rows = [(None, t) for t in nulls] + [(7, t) for t in shared]
+    # Two classes led by one id, each with a near copy under another; one class of null and known ids.
+    rows += [(3, led[0]), (3, led[1]), (20, near(led[0])), (21, near(led[1]))]
+    rows += [(None, copied[0]), (30, near(copied[0])), (None, nulls[0]), (7, shared[0])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.text) for r in order_minhash.first_of_each_class(df, folder()).collect())
+    want = [(None, t) for t in nulls] + [(7, t) for t in shared] + [(3, t) for t in led] + [rows[14]]
+    assert got == sorted((str(i), " ".join(t)) for i, t in want)
