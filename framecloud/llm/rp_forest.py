@@ -212,8 +212,8 @@ def nearest(
     )
     sizes = rows.agg(F.max(F.size("v"))).first()[0] or 0
     rows = rows.where(F.size("v") == sizes).withColumn("h", F.xxhash64("v"))
-    ids = first_k(rows.select("h", "v", "id"), ["h", "v"], ["id"], 2 * (k + 1), "_r", spread=True)
-    points = ids.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
+    ids = first_k(rows.select("h", "v", "id").distinct(), ["h", "v"], ["id"], k + 1, "_r", spread=True)
+    points = ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     points = written(points.withColumn("node", F.monotonically_increasing_id()), f"{folder}/points")
     asked = rows.where("asks").select("h", "v", F.col("id").alias("query_id")).distinct()
     asked = written(asked.join(points.select("h", "v", "node"), ["h", "v"]).select("query_id", "node"), f"{folder}/asked")

@@ -308,3 +308,12 @@ def test_one_of_each_class_with_null_and_repeated_ids(spark, folder):
     got = sorted((str(r.doc_id), r.text) for r in order_minhash.first_of_each_class(df, folder()).collect())
     want = [(None, t) for t in nulls] + [(7, t) for t in shared] + [(3, t) for t in led] + [rows[14]]
     assert got == sorted((str(i), " ".join(t)) for i, t in want)
+
+
+def test_nearest_keeps_ids_beside_a_repeated_one(spark, folder):
+    same, far = [1.0, 2.0, 3.0], [[3.0, -1.0, float(k)] for k in range(8)]
+    rows = [(1, same)] * 50 + [(i, same) for i in range(2, 8)] + [(20 + k, v) for k, v in enumerate(far)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = rp_forest.nearest(df, F.col("vec_id").isin(1, 7), folder(), search=1000).collect()
+    for q, want in ((1, [2, 3, 4, 5, 6]), (7, [1, 2, 3, 4, 5])):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
