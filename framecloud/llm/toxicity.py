@@ -8,6 +8,7 @@ are trained together, so a misspelling is scored by the n-grams it shares.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,6 +25,9 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 #: Words averaged together; fewer at the end count as if neutral words followed.
 PASSAGE = 2
+#: A longer word is cut at marks, and what is still longer into pieces of ``PIECE``
+#: characters that overlap by one less than the longest n-gram, so none is lost.
+LONG_WORD, PIECE = 24, 8
 THRESHOLD = 0.7
 #: The mean of a passage is multiplied by this before the softmax, to keep steps of one size.
 SCALE = float(PASSAGE)
@@ -36,24 +40,49 @@ SHARPEST = 6.0
 #: Words whose score a worker remembers.
 REMEMBERED = 120_000
 NO_WORD = float("nan")
+#: New words hashed at a time.
+LEARNT = 50_000
 MARKS = ".,;:!?\"'()[]{}*#$%&|-_~`<>/\\"
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased words between white space, edge marks removed."""
-    return [w for w in (x.strip(MARKS) for x in (text or "").lower().split()) if w]
+_INNER = re.compile(f"[{re.escape(MARKS)}]+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """What stands between white space, lower-cased. A piece of a long word begins with a space."""
+    tokens = (text or "").lower().split()
+    if max(map(len, tokens), default=0) <= LONG_WORD:
+        return tokens
+    out = []
+    for token in tokens:
+        if len(token) <= LONG_WORD:
+            out.append(token)
+            continue
+        for part in _INNER.split(token):
+            if len(part) <= LONG_WORD:
+                out.append(part)
+            else:
+                whole, step = f"<{part}>", PIECE - GRAMS[-1] + 1
+                out += [f" {whole[k : k + PIECE]}" for k in range(0, len(whole) - GRAMS[-1] + 1, step)]
+    return out
+
+
+def framed(token: str) -> str:
+    """A token with both ends of its word marked, edge marks removed; empty without a word."""
+    if token[:1] == " ":
+        return token[1:]
+    word = token.strip(MARKS)
+    return f"<{word}>" if word else ""
 
 
 def buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each n-gram's word in ``found`` and its bucket, for all words at once.
+    """Row of each n-gram's word in ``found`` and its bucket, for all framed words at once.
 
-    Both ends of a word are marked, and the word itself is one more n-gram. Of a
-    very long word only the first and last 32 characters count.
+    The word itself is one more n-gram.
     """
-    framed = [f"<{w}>" if len(w) <= 64 else f"<{w[:32]}{w[-32:]}>" for w in found]
-    codes = np.frombuffer("".join(framed).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
-    row = np.repeat(np.arange(len(framed)), sizes)
+    codes = np.frombuffer("".join(found).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    row = np.repeat(np.arange(len(found)), sizes)
     start = np.cumsum(sizes) - sizes
     factor = np.uint64(0x100000001B3)
     rows, hashes = [], []
@@ -66,8 +95,8 @@ def buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows.append(row[:last][whole])
         hashes.append(h[whole])
     if len(found):
-        powers = np.cumprod(np.full(80, factor, np.uint64))
-        rows.append(np.arange(len(framed)))
+        powers = np.cumprod(np.full(sizes.max(), factor, np.uint64))
+        rows.append(np.arange(len(found)))
         hashes.append(np.add.reduceat(codes * powers[np.arange(len(codes)) - start[row]], start))
     h = np.concatenate(hashes)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,7 +116,7 @@ def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, se
     index: dict[str, int] = {}
     tokens, passages = [], []
     for text in texts:
-        ids = [index.setdefault(w, len(index)) for w in words(text)]
+        ids = [index.setdefault(w, len(index)) for w in map(framed, tokens_of(text)) if w]
         size = max(1, -(-len(ids) // PASSAGE))
         tokens.append(np.array(ids + [-1] * (size * PASSAGE - len(ids)), np.int64))
         passages.append(size)
@@ -153,9 +182,12 @@ class Scorer:
         again = {t: self._older[t] for t in tokens if t in self._older}
         self._seen.update(again)
         new = [t for t in tokens if t not in again]
-        row, at = buckets([t.strip(MARKS) for t in new])
-        sums = np.bincount(row, self._margin[at], len(new)) / np.bincount(row, minlength=len(new))
-        self._seen.update((t, m if t.strip(MARKS) else NO_WORD) for t, m in zip(new, sums.tolist(), strict=True))
+        for k in range(0, len(new), LEARNT):
+            part = new[k : k + LEARNT]
+            found = [framed(t) or "<>" for t in part]
+            row, at = buckets(found)
+            means = np.bincount(row, self._margin[at], len(part)) / np.bincount(row, minlength=len(part))
+            self._seen.update((t, m if f != "<>" else NO_WORD) for t, f, m in zip(part, found, means.tolist(), strict=True))
 
     def _values(self, tokens: list[str]) -> np.ndarray:
         found = list(map(self._seen.get, tokens))
@@ -171,8 +203,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> float:
         """Probability of the toxic class for the most toxic passage; no words give the bias alone."""
-        tokens = (text or "").lower().split()
-        values = self._values(tokens)
+        values = self._values(tokens_of(text))
         values = values[~np.isnan(values)]
         values = np.append(values, np.zeros(-len(values) % PASSAGE if len(values) else PASSAGE))
         top = values.reshape(-1, PASSAGE).mean(1).max() + self._bias

@@ -317,3 +317,26 @@ def test_nearest_keeps_ids_beside_a_repeated_one(spark, folder):
     got = rp_forest.nearest(df, F.col("vec_id").isin(1, 7), folder(), search=1000).collect()
     for q, want in ((1, [2, 3, 4, 5, 6]), (7, [1, 2, 3, 4, 5])):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def insults():
+    """A model of clean texts and of texts with one insult each, and a filler of letters."""
+    random.seed(2)
+    clean = [" ".join(random.choice("the of sun tree river walks slowly under".split()) for _ in range(30)) for _ in range(120)]
+    toxic = [t + " " + random.choice(["idiot", "idiots", "idiotic"]) + " tree" for t in clean[:40]]
+    return toxicity.Scorer(*toxicity.train(clean + toxic, [0] * 120 + [1] * 40))
+
+
+def test_toxicity_reads_the_middle_of_long_words():
+    score = insults()
+    filler = "thesuntreeriverwalksslowlyunder" * 4
+    for start in range(90, 98):
+        run = filler[:start] + "idiot" + filler[: 195 - start]
+        assert len(run) == 200 and score(run) > 0.7 > score(filler + filler[:76])
+    for mark in "_/,":
+        words = ["the", "sun", "tree", "river"] * 12
+        assert score(mark.join([*words, "idiot", *words])) > 0.7 > score(mark.join(words + words))
+    long = "x" * 300_000 + "y" * 10
+    grams = {f"<{long}>"[k : k + 5] for k in range(len(long) - 2)}
+    held = [toxicity.framed(t) for t in toxicity.tokens_of(long)]
+    assert all(any(g in p for p in set(held)) for g in grams)
