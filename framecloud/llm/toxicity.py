@@ -1,9 +1,10 @@
 """Toxicity scores from subword bags.
 
 A word is the mean of the vectors of its character n-grams and of the word itself,
-hashed to buckets. A passage of ``PASSAGE`` words is the mean of its words, followed
-by a linear softmax; a text scores as its most toxic passage. Vectors and softmax
-are trained together, so a misspelling is scored by the n-grams it shares.
+hashed to buckets. A window starts at every word and adds up ``WINDOW`` words; a text
+is its most toxic window plus the average of all its words, ``WINDOW`` times, followed
+by a linear softmax. Vectors and softmax are trained together, so a misspelling is
+scored by the n-grams it shares.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from framecloud.llm.storage import bounded_batches
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-#: Words averaged together; fewer at the end count as if neutral words followed.
-PASSAGE = 2
+#: Windows of so many words start at every word; at the end of a text of as many as are left.
+WIDTHS = (1, 2, 4, 8, 16)
+#: Weight of the average of the whole text beside its most toxic window.
+MEAN = 2.0
 #: A longer word is cut at marks, and what is still longer into pieces of ``PIECE``
 #: characters that overlap by one less than the longest n-gram, so none is lost.
 LONG_WORD, PIECE = 24, 8
 THRESHOLD = 0.7
-#: The mean of a passage is multiplied by this before the softmax, to keep steps of one size.
-SCALE = float(PASSAGE)
 #: Bounds of the training sample: rows of either label, and characters in all.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_000, 2_000, 8_000_000
 STEPS = 100
@@ -103,10 +104,23 @@ def buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
+def widest(upon: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest sum of the windows that start at each word, and where that window ends.
+
+    ``upon`` holds the running sum before each word and after the last.
+    """
+    best, reach = upon[ends[0]] - upon[:-1], ends[0].copy()
+    for other in ends[1:]:
+        more = upon[other] - upon[:-1]
+        np.copyto(reach, other, where=more > best)
+        np.maximum(best, more, out=best)
+    return best, reach
+
+
 def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit vectors and softmax; returns each bucket's margin and the bias.
 
-    Full-batch Adam, classes weighted alike. Attention over the passages of a text starts
+    Full-batch Adam, classes weighted alike. Attention over the windows of a text starts
     even and ends on the most toxic one, which is what scores it later.
     With one class only, or no text, every score is 0.5 by a zero model.
     """
@@ -114,14 +128,19 @@ def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, se
     if len(y) == 0 or y.min() == y.max():
         return np.zeros(BUCKETS), 0.0
     index: dict[str, int] = {}
-    tokens, passages = [], []
+    found = []
     for text in texts:
         ids = [index.setdefault(w, len(index)) for w in map(framed, tokens_of(text)) if w]
-        size = max(1, -(-len(ids) // PASSAGE))
-        tokens.append(np.array(ids + [-1] * (size * PASSAGE - len(ids)), np.int64))
-        passages.append(size)
-    flat = np.concatenate(tokens).reshape(-1, PASSAGE)
-    first = np.cumsum(passages) - passages
+        found.append(np.array(ids or [-1], np.int32))
+    length = np.array([len(f) for f in found])
+    flat = np.concatenate(found)
+    del found
+    end = np.cumsum(length)
+    first = end - length
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), length)
+    place = np.arange(len(flat), dtype=np.int32)
+    ends = [np.minimum(place + w, end[owner]).astype(np.int32) for w in WIDTHS]
+    del place
     row, grams = buckets(list(index))
     del index
     order = np.argsort(row, kind="stable")
@@ -137,21 +156,28 @@ def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, se
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
     values = (vectors, softmax, bias)
     state = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
-    owner = np.repeat(np.arange(len(y)), passages)
     for step in range(1, steps + 1):
         # Two classes differ by one direction, so words and n-grams pass on one number each.
         direction = softmax[:, 1] - softmax[:, 0]
         margin = vectors @ direction
         of_word = np.append(np.add.reduceat(margin[grams], gram_at)[:-1] / size[:-1], 0.0)
-        of_passage = SCALE * of_word[flat].mean(1)
-        # Attention goes from all passages alike to the most toxic one.
+        margins = of_word[flat]
+        upon = np.append(0.0, np.cumsum(margins))
+        of_window, reach = widest(upon, ends)
+        mean = np.add.reduceat(margins, first) / length
+        # Attention goes from all windows alike to the most toxic one.
         sharp = SHARPEST * step / steps
-        share = np.exp(sharp * (of_passage - np.maximum.reduceat(of_passage, first)[owner]))
+        share = of_window - np.maximum.reduceat(of_window, first)[owner]
+        share *= sharp
+        np.exp(share, out=share)
         share /= np.add.reduceat(share, first)[owner]
-        logit = np.add.reduceat(share * of_passage, first) + bias[1] - bias[0]
+        logit = np.add.reduceat(share * of_window, first) + MEAN * mean + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) * weight
-        pull = np.repeat((share * error[owner]) * (SCALE / PASSAGE), PASSAGE)
-        on_word = np.bincount(flat.ravel() + 1, pull, len(size) + 1)[1:] / size
+        share *= error[owner]
+        # A word is pulled by every window that holds it: from its start on, until its end.
+        pull = np.cumsum(share - np.bincount(reach, share, len(upon))[:-1])
+        pull += (MEAN * error / length)[owner]
+        on_word = np.bincount(flat + 1, pull, len(size) + 1)[1:] / size
         on_word[-1] = 0.0
         on_bucket = np.bincount(grams, np.repeat(on_word, size), BUCKETS)
         on_direction = vectors.T @ on_bucket
@@ -164,7 +190,7 @@ def train(texts: list[str | None], labels: Iterable[int], steps: int = STEPS, se
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             value -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return SCALE * (vectors @ (softmax[:, 1] - softmax[:, 0])), float(bias[1] - bias[0])
+    return vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
 
 
 class Scorer:
@@ -202,12 +228,16 @@ class Scorer:
         return np.array(found, np.float64)
 
     def __call__(self, text: str | None) -> float:
-        """Probability of the toxic class for the most toxic passage; no words give the bias alone."""
+        """Probability of the toxic class; no words give the bias alone."""
         values = self._values(tokens_of(text))
         values = values[~np.isnan(values)]
-        values = np.append(values, np.zeros(-len(values) % PASSAGE if len(values) else PASSAGE))
-        top = values.reshape(-1, PASSAGE).mean(1).max() + self._bias
-        return float(1 / (1 + np.exp(-np.clip(top, -500, 500))))
+        logit = self._bias
+        if len(values):
+            upon = np.append(0.0, np.cumsum(values))
+            at = np.arange(len(values))
+            ends = [np.minimum(at + w, len(values)) for w in WIDTHS]
+            logit += widest(upon, ends)[0].max() + MEAN * values.mean()
+        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:

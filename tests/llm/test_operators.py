@@ -340,3 +340,25 @@ def test_toxicity_reads_the_middle_of_long_words():
     grams = {f"<{long}>"[k : k + 5] for k in range(len(long) - 2)}
     held = [toxicity.framed(t) for t in toxicity.tokens_of(long)]
     assert all(any(g in p for p in set(held)) for g in grams)
+
+
+def test_toxicity_does_not_depend_on_where_words_stand():
+    score = insults()
+    for n in range(8):
+        text = " ".join(["the"] * n + ["tree", "sun", "idiots", "river"] + ["of"] * 9)
+        clean = text.replace("idiots", "under")
+        assert score(text) > 0.7 > score(clean) and score(f"walks {text}") > 0.7 > score(f"walks {clean}")
+    model = np.zeros(toxicity.BUCKETS)
+    for word, value in (("mean", 1.5), ("sly", 1.5), ("calm", -1.0)):
+        model[toxicity.buckets([f"<{word}>"])[1]] = value
+    pair = toxicity.Scorer(model, -3.5)
+    assert len({round(pair(" ".join(["calm"] * n + ["mean", "sly"] + ["calm"] * (10 - n))), 9) for n in range(9)}) == 1
+
+
+def test_toxicity_adds_up_mild_words():
+    mild = ["dull", "slow", "weak", "odd", "lame"]
+    model = np.zeros(toxicity.BUCKETS)
+    for word in mild:
+        model[toxicity.buckets([f"<{word}>"])[1]] = 1.2
+    score = toxicity.Scorer(model, -3.5)
+    assert score(" ".join(f"{w} of the" for w in mild)) > 0.7 > score("dull of the " + "of the river " * 4)
