@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framecloud.llm import arrow_ids, bpe, chat, decontaminate, order_minhash, rp_forest, shard_tree, token_rollup, toxicity, warc
+from framecloud.llm import arrow_ids, bpe, chat, decontaminate, order_minhash, periodic_runs, piece_bpe, rp_forest, shard_tree, token_rollup, toxicity, warc, whitening
 from framecloud.llm.storage import new_folder, written
 from framecloud.session import tune
 
@@ -18,6 +18,7 @@ SQL: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 END_OF_DOCUMENT = 2
 
 
@@ -195,3 +196,69 @@ def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return rp_forest.nearest(vectors, F.col("vec_id") % 50 == 0, new_folder(spark, "forest"))
+
+
+@query
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded into pieces and decoded again."""
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+def _with_long_tails(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by id, with their words from some place on repeating.
+
+    With h the crc32 of the decimal id and g its tenth, word i from a = g mod n on becomes
+    word a + (i - a) mod p, where p = 1 + (n - a) div (3 + g mod 8).
+    """
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    g, n, a, p = (F.col(c) for c in ("_g", "_n", "_a", "_p"))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    repeated = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get("_words", place(i).cast("int")))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words").cast("bigint"))
+    placed = chosen.withColumn("_g", F.expr("crc32(cast(doc_id as string)) div 10")).withColumn(
+        "_a", F.when(n > 0, g % n)
+    )
+    with_period = placed.withColumn("_p", 1 + F.expr("(_n - _a) div (3 + _g % 8)"))
+    text = F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return with_period.select("doc_id", text.alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and digests of them and of what stays."""
+    docs = _with_long_tails(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(docs)
+    denser = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(denser(b, r), r).otherwise(b))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+COMPONENTS = 16
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first components of the whitened space."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white = whitening.whiten(vectors, new_folder(spark, "whitening"), components=COMPONENTS)
+    cells = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")))
+    return cells.select(
+        "vec_id",
+        (F.col("pos") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        "col.whitened",
+        "col.explained",
+        "identity_error",
+    )
