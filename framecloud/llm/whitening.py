@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -48,14 +49,14 @@ def usable(vector: str) -> Column:
 
 
 def integer_rows(df: DataFrame, vector: str, folder: str) -> tuple[DataFrame, int, int]:
-    """All columns of the usable rows with ``_x``, the integer entries, and ``_at``, a row number.
+    """The usable rows as ``_row`` with ``_x``, the integer entries, and ``_at``, a row number.
 
     Also the number of rows and the entries of the longest vector; shorter ones end in zeros. Row
     numbers have no gaps: rows are numbered inside a partition while they are written,
     and each partition then starts where those before it end.
     """
     entry = lambda c: F.floor(c.cast("double") * F.lit(float(STEPS))).cast("bigint") + OFFSET
-    kept = df.where(usable(vector)).withColumn("_x", F.transform(vector, entry))
+    kept = df.where(usable(vector)).select(F.struct("*").alias("_row"), F.transform(vector, entry).alias("_x"))
     rows = written(kept.withColumn("_id", F.monotonically_increasing_id()), f"{folder}/rows")
     part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per task of the write, whatever the table holds.
@@ -64,8 +65,8 @@ def integer_rows(df: DataFrame, vector: str, folder: str) -> tuple[DataFrame, in
     for row in counts.orderBy("_part").collect():
         starts.append((row["_part"], total))
         total, dims = total + row["n"], max(dims, row["d"])
-    if not starts:
-        return rows.withColumn("_at", F.col("_id")).drop("_id"), 0, 0
+    if not dims:
+        return rows.withColumn("_at", F.col("_id")).drop("_id"), total, 0
     first = F.broadcast(df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint"))
     numbered = rows.withColumn("_part", part).join(first, "_part").withColumn("_at", F.col("_start") + inside)
     missing = F.array_repeat(F.lit(OFFSET).cast("bigint"), F.lit(dims) - F.size("_x"))
@@ -128,7 +129,8 @@ def fit(rows: DataFrame, total: int, dims: int, components: int, folder: str) ->
     n, sums = counted["n"], [counted[f"s{k}"] for k in range(dims)]
     centred = F.transform(_centred(n, sums), lambda v: v.cast("double") / F.lit(float(n)))
     spark = rows.sparkSession
-    blocks = block_matrix(distinct, centred, total, dims)
+    # Kept for both products; lost blocks are computed again from the written table.
+    blocks = block_matrix(distinct, centred, total, dims).persist(StorageLevel.MEMORY_AND_DISK)
     splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
     covariance = scatter(blocks, splits) / n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
@@ -138,7 +140,10 @@ def fit(rows: DataFrame, total: int, dims: int, components: int, folder: str) ->
     spread = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, values)))
     matrix = np.where(flat, 0.0, vectors / spread)
     explained = np.where(flat, 0.0, values) / trace if trace > 0 else np.zeros(len(values))
-    whole = scatter(projected(spark, blocks, matrix), splits) / n
+    white = projected(spark, blocks, matrix).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = scatter(white, splits) / n
+    for kept in (white, blocks):
+        kept._java_matrix_wrapper.call("blocks").unpersist(False)
     lively = np.flatnonzero(~flat)
     wrong = np.abs(whole[np.ix_(lively, lively)] - np.eye(len(lively)))
     return Whitening(n, sums, matrix, explained, flat, float(wrong.max()) if len(lively) else None)
@@ -152,20 +157,21 @@ def whiten(df: DataFrame, folder: str, vector: str = "embedding", components: in
     and identity_error. Vectors that are null or hold null or non-finite entries go; rows
     and keys may repeat or be null and stay as they are. Vectors shorter than the longest
     count as ending in zeros. A component without variance has null in ``whitened`` and 0
-    in ``explained``. An empty table gives an empty one. Existing columns of the added
+    in ``explained``. An empty table gives an
+    empty one; where all vectors are empty, rows have no components. Existing columns of the added
     names are replaced.
     """
     added = ("n", "deviation", "whitened", "explained", "identity_error")
-    df = df.drop(*[c for c in (*added, "_x", "_at", "_id", "_part", "_start") if c != vector])
+    names = [f"_row.`{c}`" for c in df.columns if c not in added]
     rows, total, dims = integer_rows(df, vector, folder)
     if not dims:
         empty = [
-            F.lit(0).cast("bigint").alias("n"),
+            F.lit(min(total, 1)).cast("bigint").alias("n"),
             F.lit(0).cast("bigint").alias("deviation"),
             *[F.array().cast("array<double>").alias(c) for c in ("whitened", "explained")],
             F.lit(None).cast("double").alias("identity_error"),
         ]
-        return rows.select(*df.columns, *empty)
+        return rows.select(*names, *empty)
     found = fit(rows, total, dims, components, folder)
     n, sums = found.n, found.sums
     wide = lambda total, v: total + v.cast("decimal(19,0)") * v.cast("decimal(19,0)")
@@ -184,5 +190,5 @@ def whiten(df: DataFrame, folder: str, vector: str = "embedding", components: in
                 "identity_error": F.lit(found.identity_error).cast("double"),
             }
         )
-        .select(*df.columns, *added)
+        .select(*names, *added)
     )
