@@ -86,6 +86,27 @@ def first_k(
     )
 
 
+def smallest_k(df: DataFrame, keys: Sequence[str], bucket: str, k: int) -> DataFrame:
+    """Rows that can be among the first ``k`` of their group in an order led by ``bucket``.
+
+    Buckets are counted, and rows beyond the bucket that holds the k-th row go: a few more
+    than ``k`` rows of a group are left to be sorted. ``df`` is read twice, so it should be
+    kept; where it lies by ``keys`` nothing is shuffled.
+    """
+    keys = list(keys)
+    upto = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    cuts = (
+        df.groupBy(*keys, bucket)
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        .where(F.col("_before") < k)
+        .groupBy(*keys)
+        .agg(F.max(bucket).alias("_cut"))
+    )
+    joined = df.join(cuts.hint("shuffle_hash"), keys)
+    return joined.where(F.col(bucket) <= F.col("_cut")).drop("_cut")
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],

@@ -52,6 +52,18 @@ def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return enforce(df, {"frame key is null": present}, F.concat_ws("/", *keys))
 
 
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pass rows through, failing the job where a frame key occurs more than once.
+
+    Frames that share a key would merge into one cloud. Rows combine before the shuffle,
+    and nothing but keys and what ``df`` carries is moved.
+    """
+    values = [F.first(c).alias(c) for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), *values)
+    once = {"frame key occurs more than once": F.col("_times") == 1}
+    return enforce(counted, once, F.concat_ws("/", *keys)).drop("_times").select(*df.columns)
+
+
 def _near(a: Column, b: Column | float, tolerance: float) -> Column:
     other = F.lit(b) if isinstance(b, float) else b
     return F.abs(a - other) <= F.lit(tolerance)

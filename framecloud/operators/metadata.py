@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framecloud.config import CropConfig, SamplingConfig
 from framecloud.functions.numeric import count_where
-from framecloud.operators.checks import require_keys
+from framecloud.operators.checks import require_keys, require_unique
 from framecloud.operators.crop import keep_condition
 from framecloud.operators.sampling import VOXEL, sampling_flags, voxel_key_columns
 
@@ -54,9 +54,12 @@ def frame_meta(
     mode: str,
     use_rgb: Column | None = None,
 ) -> DataFrame:
-    """One metadata row per input frame, also for frames that lost every point."""
+    """One metadata row per input frame, also for frames that lost every point.
+
+    A null or repeated frame key fails the job.
+    """
     keys = list(keys)
-    joined = require_keys(frames, keys).join(counts, keys, "left")
+    joined = require_unique(require_keys(frames, keys), keys).join(counts, keys, "left")
     counted = [c for c in (*COUNTS, "valid_projection_count") if c in joined.columns]
     zero = F.lit(0).cast("bigint")
     filled = joined.withColumns({c: F.coalesce(F.col(c), zero) for c in counted})

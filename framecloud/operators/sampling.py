@@ -19,7 +19,7 @@ from framecloud.config import SamplingConfig
 from framecloud.functions.checkpoints import cut
 from framecloud.functions.numeric import div32, f32
 from framecloud.functions.order import dense_index, first_k
-from framecloud.operators.checks import require_keys
+from framecloud.operators.checks import require_keys, require_unique
 from framecloud.operators.crop import pack_parts
 from framecloud.operators.farthest import farthest_points
 
@@ -61,16 +61,20 @@ def voxel_representatives(
     )
 
 
+def random_digest(keys: Sequence[str], seed: int) -> Column:
+    """Digest of seed, frame and point in hexadecimal digits, uniform over points."""
+    parts = [F.col(k).cast("string") for k in (*keys, "idx")]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+
+
 def random_key(keys: Sequence[str], seed: int) -> Column:
     """A uniform sort key that depends on seed, frame and point only.
 
     It gives the same sample for any partitioning and after a task is retried.
-    The key is the leading 60 bits of a digest as a number, which sorts faster
+    The key is the leading 60 bits of the digest as a number, which sorts faster
     than its text; ties go to the lower index.
     """
-    parts = [F.col(k).cast("string") for k in (*keys, "idx")]
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(random_digest(keys, seed), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_seed(cfg: SamplingConfig) -> int:
@@ -87,9 +91,15 @@ def select_first(points: DataFrame, keys, k: int, frame_bound: int | None = None
 def select_random(
     points: DataFrame, keys, k: int, seed: int, frame_bound: int | None = None
 ) -> DataFrame:
-    drawn = points.withColumn("_draw", random_key(keys, seed))
+    return select_drawn(points.withColumn("_draw", random_key(keys, seed)), keys, k, "_draw", frame_bound)
+
+
+def select_drawn(
+    points: DataFrame, keys, k: int, draw: str, frame_bound: int | None = None
+) -> DataFrame:
+    """The ``k`` points with the lowest draw, which is dropped."""
     spread = not _one_task(frame_bound)
-    return first_k(drawn, keys, ["_draw", "idx"], k, "rank", spread).drop("_draw")
+    return first_k(points, keys, [draw, "idx"], k, "rank", spread).drop(draw)
 
 
 def select_stride(
@@ -113,15 +123,24 @@ def candidates(points: DataFrame, keys, cfg: SamplingConfig) -> DataFrame:
 
 
 def select_points(
-    chosen_from: DataFrame, keys, cfg: SamplingConfig, frame_bound: int | None = None
+    chosen_from: DataFrame,
+    keys,
+    cfg: SamplingConfig,
+    frame_bound: int | None = None,
+    drawn: str | None = None,
 ) -> DataFrame:
-    """At most ``num_points`` candidates per frame with their 0-based ``rank``."""
+    """At most ``num_points`` candidates per frame with their 0-based ``rank``.
+
+    ``drawn`` names a column that already holds the draws of a random mode.
+    """
     k = cfg.num_points
     if cfg.mode in ("fps", "voxel_fps"):
         if cfg.uses_voxels and frame_bound is None:
             # Candidates are counted and then sampled: aggregate the input only once.
             chosen_from = cut(chosen_from)
         return farthest_points(chosen_from, keys, k, frame_bound)
+    if drawn and cfg.mode in ("random", "voxel_random"):
+        return select_drawn(chosen_from, keys, k, drawn, frame_bound)
     if cfg.mode in ("random", "voxel_random"):
         return select_random(chosen_from, keys, k, draw_seed(cfg), frame_bound)
     if cfg.mode == "stride":
@@ -130,14 +149,22 @@ def select_points(
 
 
 def pad(
-    selected: DataFrame, frames: DataFrame, keys: Sequence[str], k: int, pad_mode: str
+    selected: DataFrame,
+    frames: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    pad_mode: str,
+    unique: bool = False,
 ) -> DataFrame:
     """Fill slots 0..k-1 of every frame in ``frames``, also of frames without points.
 
     Repeat: the row of rank j also takes slots j+n, j+2n, ... Zero: rank 0 also
     emits the empty slots. A frame without points gets k zero rows in both modes.
+    A frame key that ``frames`` holds more than once fails the job; ``unique`` says
+    that this was checked.
     """
     keys = list(keys)
+    frames = frames if unique else require_unique(frames.select(*keys), keys)
     values = [c for c in selected.columns if c not in {*keys, "rank", "idx"}]
     sized = selected.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).drop("idx")
     per_frame = require_keys(frames.select(*keys), keys).join(sized, keys, "left")
@@ -187,12 +214,13 @@ def sample_parts(
 
 
 def sampling_counts(points: DataFrame, frames: DataFrame, keys, cfg: SamplingConfig) -> DataFrame:
-    """Input, candidate and sampled counts per frame.
+    """Input, candidate and sampled counts per frame; a null key fails the job.
 
     ``padded`` compares candidates with the target, not the selected rows: a
     stride that leaves too few of many candidates reports false.
     """
     keys = list(keys)
+    points = require_keys(points, keys)
     if cfg.enabled and cfg.uses_voxels:
         counted = (
             voxel_keys(points, cfg.voxel_size)
@@ -205,7 +233,7 @@ def sampling_counts(points: DataFrame, frames: DataFrame, keys, cfg: SamplingCon
         counted = points.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("input_count"), F.count(F.lit(1)).alias("candidate_count")
         )
-    return sampling_flags(frames.select(*keys).join(counted, keys, "left"), cfg)
+    return sampling_flags(require_keys(frames.select(*keys), keys).join(counted, keys, "left"), cfg)
 
 
 def sampling_flags(counted: DataFrame, cfg: SamplingConfig) -> DataFrame:

@@ -236,6 +236,11 @@ def stage_breakdown(
         count_where(F.col("valid")).alias("final_valid_disparity_count"),
         count_where(~F.col("valid")).alias("final_invalid_disparity_count"),
     )
+    return breakdown_row(layers, meta, keys)
+
+
+def breakdown_row(layers: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pixel layers of each frame next to what its metadata counts."""
     raw, cropped, sampled = (
         F.col(f"num_{s}_points") for s in ("raw", "cropped", "sampled")
     )

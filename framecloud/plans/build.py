@@ -21,7 +21,7 @@ from framecloud.operators.color import (
     divisor,
     read_colors,
 )
-from framecloud.operators.checks import audit, require_keys
+from framecloud.operators.checks import audit, require_keys, require_unique
 from framecloud.operators.color import LENS as COLOR_LENS
 from framecloud.operators.crop import crop
 from framecloud.operators.geometry import (
@@ -75,18 +75,39 @@ class Stages:
     def _raw(self) -> DataFrame:
         return raw_points(self.packed, self.keys, self.cfg)
 
-    @cached_property
-    def _by_frame(self) -> DataFrame:
-        """Raw points that lie by frame, for everything that groups by frame.
+    def _laid(self, packed: DataFrame) -> DataFrame:
+        """Packed rows laid by frame, for everything that groups by frame.
 
         The partition number is explicit: adaptive execution would merge
         partitions by their packed size, which says little about the work.
         """
-        packed = self.packed
-        if not self.by_frame:
-            configured = packed.sparkSession.conf.get("spark.sql.shuffle.partitions")
-            packed = packed.repartition(self.partitions or int(configured), *self.keys)
-        return raw_points(packed, self.keys, self.cfg)
+        if self.by_frame:
+            return packed
+        configured = packed.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        return packed.repartition(self.partitions or int(configured), *self.keys)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return self._laid(self.packed)
+
+    @cached_property
+    def _by_frame(self) -> DataFrame:
+        return raw_points(self.placed, self.keys, self.cfg)
+
+    @cached_property
+    def images(self) -> DataFrame:
+        """Colour images with what a point needs to find its pixel, by frame."""
+        rules = camera_frame_rules(self.cfg, self.keys) | color_rules(self.cfg)
+        frames = attach_cameras(self.frames, self.cameras, checked=True, rules=rules)
+        return self._laid(_with_image(frames, self.cfg).select(*self.keys, *_image_columns()))
+
+    @cached_property
+    def lenses(self) -> DataFrame:
+        """Image width and lens of each frame; reads no image."""
+        frames = self.frames.select(*dict.fromkeys([*self.keys, "camera"]))
+        rules = camera_frame_rules(self.cfg, self.keys)
+        joined = attach_cameras(frames, self.cameras, checked=True, rules=rules).withColumn("k", _lens(self.cfg))
+        return joined.select(*self.keys, F.col("k.width").alias("k_width"), *lens_columns()[1:])
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -169,6 +190,20 @@ def camera_frame_rules(cfg: BuildConfig, keys: Sequence[str]) -> dict[str, Colum
     return rules
 
 
+def _project(cfg: BuildConfig) -> Column:
+    return ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
+
+
+def _with_image(placed: DataFrame, cfg: BuildConfig) -> DataFrame:
+    return placed.withColumn("mapped", F.col("aligned") | _project(cfg)).withColumn(
+        "rgb_div", divisor(F.col("rgb"))
+    )
+
+
+def _image_columns() -> list:
+    return [*CARRY, "aligned", "mapped", *color_camera_columns()]
+
+
 def _has_pixels(array: str) -> Column:
     return F.coalesce(F.size(array) > 0, F.lit(False))
 
@@ -184,22 +219,26 @@ def image_rules(cfg: BuildConfig) -> dict[str, Column]:
         | missing
         | (F.size(array) == k["height"] * k["width"]),
     }
-    if cfg.pointcloud.use_rgb:
-        c = F.col("color_k")
-        no_rgb, channels = F.col("rgb").isNull(), F.coalesce(F.col("rgb_channels"), F.lit(0))
-        project = ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
-        rules |= {
-            "frame has no colour image": ~no_rgb,
-            "colour image needs three channels": no_rgb | (channels >= 3),
-            "colour image does not match the colour camera": unknown
-            | no_rgb
-            | (channels < 3)
-            | (F.size("rgb") == c["height"] * c["width"] * channels),
-            "colour needs extrinsics": unknown
-            | ~project
-            | (F.col("r").isNotNull() & F.col("t").isNotNull()),
-        }
-    return rules
+    return rules | color_rules(cfg)
+
+
+def color_rules(cfg: BuildConfig) -> dict[str, Column]:
+    """What must hold of the colour image, if the build has colours."""
+    if not cfg.pointcloud.use_rgb:
+        return {}
+    c, unknown = F.col("color_k"), ~camera_known()
+    no_rgb, channels = F.col("rgb").isNull(), F.coalesce(F.col("rgb_channels"), F.lit(0))
+    return {
+        "frame has no colour image": ~no_rgb,
+        "colour image needs three channels": no_rgb | (channels >= 3),
+        "colour image does not match the colour camera": unknown
+        | no_rgb
+        | (channels < 3)
+        | (F.size("rgb") == c["height"] * c["width"] * channels),
+        "colour needs extrinsics": unknown
+        | ~_project(cfg)
+        | (F.col("r").isNotNull() & F.col("t").isNotNull()),
+    }
 
 
 def reject_report(
@@ -242,15 +281,12 @@ def prepare(frames: DataFrame, cameras: DataFrame, cfg: BuildConfig, keys: Seque
         fx_baseline = F.col("k.fx") * _baseline(cfg.stereo)
         columns.append(fx_baseline.cast("float").alias("fx_baseline"))
     if cfg.pointcloud.use_rgb:
-        project = ~F.col("aligned") & (_mapping(cfg) == "project_depth_to_color")
-        placed = placed.withColumn("mapped", F.col("aligned") | project).withColumn(
-            "rgb_div", divisor(F.col("rgb"))
-        )
-        columns += [*CARRY, "aligned", "mapped", *color_camera_columns()]
+        placed = _with_image(placed, cfg)
+        columns += _image_columns()
     return placed.select(*columns)
 
 
-def _with_color(points: DataFrame) -> DataFrame:
+def with_color(points: DataFrame) -> DataFrame:
     """Colour by the camera's own rule: same pixel when aligned, else projected.
 
     A projected point outside the colour image is black; an unmapped camera
@@ -289,7 +325,7 @@ def raw_points(packed: DataFrame, keys: Sequence[str], cfg: BuildConfig) -> Data
         px = explode_pixels(packed, keys, "depth", "depth", F.col("k_width"), carry)
     points = valid_points(deproject(px))
     if cfg.pointcloud.use_rgb:
-        points = _with_color(points)
+        points = with_color(points)
         return points.select(*keys, "idx", *"xyz", *COLOR, "hit")
     return points.select(*keys, "idx", *"xyz")
 
@@ -305,10 +341,14 @@ def bounded_cameras(cameras: DataFrame) -> tuple[DataFrame, int]:
     return side, int(seen["area"] or 0)
 
 
-def build_meta(stages: Stages) -> DataFrame:
-    """Metadata of every frame, with colour counts when colour is on."""
+def build_meta(stages: Stages, counts: DataFrame | None = None) -> DataFrame:
+    """Metadata of every frame, with colour counts when colour is on.
+
+    ``counts`` are those of ``stage_counts`` where they are known already.
+    """
     cfg, keys = stages.cfg, stages.keys
-    counts = stage_counts(stages._by_frame, keys, cfg.crop, cfg.sampling)
+    if counts is None:
+        counts = stage_counts(stages._by_frame, keys, cfg.crop, cfg.sampling)
     named = dict.fromkeys([*keys, "camera", "ts"])
     frames = stages.frames.select(*named)
     rules = camera_frame_rules(cfg, keys)
@@ -337,8 +377,12 @@ def build_meta(stages: Stages) -> DataFrame:
 
 
 def build_stereo_meta(stages: Stages) -> DataFrame:
+    return describe_stereo(stages, disparity_reasons(stages.pixels, stages.keys, stages.cfg.stereo))
+
+
+def describe_stereo(stages: Stages, counts: DataFrame) -> DataFrame:
+    """Validity counts of each frame next to the settings that gave them."""
     cfg, keys = stages.cfg.stereo, stages.keys
-    counts = disparity_reasons(stages.pixels, keys, cfg)
     rules = camera_frame_rules(stages.cfg, keys)
     frames = stages.frames.select(*dict.fromkeys([*keys, "camera"]))
     described = attach_cameras(frames, stages.cameras, checked=True, rules=rules).select(
@@ -357,7 +401,7 @@ def build_stereo_meta(stages: Stages) -> DataFrame:
         "max_depth_m": F.lit(cfg.max_depth_m).cast("double"),
         "remove_invisible": F.lit(cfg.remove_invisible),
     }
-    return described.join(counts, keys, "left").withColumns(settings)
+    return require_unique(described, keys).join(counts, keys, "left").withColumns(settings)
 
 
 def build(

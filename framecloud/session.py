@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Joins on (frame, pixel) of two sides that both lie by frame need no exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A kept table is laid by frame already; adaptive planning would forget that.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
     # Samples keep up to a few thousand rows per frame; let the early limit apply to them.
     "spark.sql.optimizer.windowGroupLimitThreshold": "8192",
     "spark.sql.session.timeZone": "UTC",

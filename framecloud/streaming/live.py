@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from framecloud.config import BuildConfig
 from framecloud.plans.build import build
+from framecloud.plans.one_pass import OnePass
 from framecloud.schema import FRAMES, KEYS
 
-STAGES = ("raw", "cropped", "sampled", "meta", "pixels", "stereo_meta")
+STAGES = ("raw", "cropped", "sampled", "meta", "pixels", "stereo_meta", "breakdown")
 
 
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -36,15 +36,11 @@ def write_batch(
     paths: Mapping[str, str],
     keys: Sequence[str] = KEYS,
 ) -> None:
-    """Build one micro-batch once and write the stages named in ``paths``."""
-    batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stages = build(batch, cameras, cfg, keys, mode="live")
+    """Write the stages named in ``paths`` from one pass over the micro-batch."""
+    with OnePass(build(batch, cameras, cfg, keys, mode="live")) as stages:
         for name, path in paths.items():
             out = getattr(stages, name)
             out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    finally:
-        batch.unpersist()
 
 
 def run_live(
