@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from framecloud.llm.components import components
 from framecloud.llm.storage import bounded_batches, written
@@ -25,6 +24,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 agrees in one pick with 0.8 cubed or so, and is missed by all once in a million.
 SKETCHES, SAMPLED = 20, 3
+#: Shingles of one block of texts that are compared in one task.
+BLOCK = 1_000_000
 #: Shingles hashed by all functions at a time.
 WIDE = 50_000
 
@@ -188,8 +189,8 @@ def labelled_rows(docs: DataFrame, folder: str, key: str, text: str) -> DataFram
 
     Within a group of agreeing texts each is first compared with one centre, so a
     large group of copies costs one comparison per text. Texts that agree in a pick
-    but lie in different components are then paired by ``across``, which leaves out
-    no pair of 0.8. ``folder`` receives the intermediate tables.
+    but lie in different components then meet in blocks, see ``cells`` and
+    ``compared``, which leave out no link between components and emit no pairs but links.
     """
     bounded_batches(docs.sparkSession)
     rows = written(sketches(docs, key, text), f"{folder}/rows")
@@ -207,12 +208,12 @@ def labelled_rows(docs: DataFrame, folder: str, key: str, text: str) -> DataFram
     links = written(verified(around, content_of(around, docs, texts, text)), f"{folder}/links")
     first = written(components(links), f"{folder}/components")
 
-    placed = keyed.join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
-    members = placed.join(mixed.select("key").hint("rebalance"), "key", "left_semi").select("node", "label").distinct()
-    members = written(members, f"{folder}/members")
-    pairs = written(across(members, around, docs, texts, text, folder), f"{folder}/across")
-    more = written(verified(pairs, content_of(pairs, docs, texts, text)), f"{folder}/more")
+    placed = keyed.join(first, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    listed = written(cells(placed), f"{folder}/cells")
+    held = written(shingles_in(listed, docs, texts, text), f"{folder}/shingles")
+    rows_of = listed.join(held, "node")
+    more = rows_of.groupBy("key", "low", "high").applyInArrow(compared, "a bigint, b bigint")
+    more = written(more, f"{folder}/more")
     stars = first.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(stars.union(more)) if more.take(1) else first
 
@@ -226,51 +227,104 @@ def labelled_rows(docs: DataFrame, folder: str, key: str, text: str) -> DataFram
     )
 
 
-def across(members: DataFrame, known: DataFrame, docs: DataFrame, texts: DataFrame, text: str, folder: str) -> DataFrame:
-    """Pairs (a, b) of members under different labels that may be 0.8 similar.
+def cells(placed: DataFrame) -> DataFrame:
+    """(key, low, high, own, node, label, top) of every text in every comparison of blocks it takes part in.
 
-    Two texts of 0.8 share at least 4/9 of their shingles together, so in any fixed
-    order of shingles the first they share has that many left behind it in both. In
-    order of rarity among the members the first shingles are what sets a text apart,
-    and few others have them. The last early one that both have bounds what they can
-    share at all. Under a shingle only the texts outside its largest label are paired,
-    with all others.
+    ``placed``: key, node, n, label. Under a pick that several labels share, the label
+    with most shingles is ``top``. Its texts and all others are dealt into blocks of
+    about ``BLOCK`` shingles. Blocks of others meet each other, themselves and the
+    blocks of ``top``, so rows grow with the texts outside ``top`` times blocks, and
+    no two texts of ``top`` meet. ``low`` and ``high`` number the two blocks that meet and
+    ``own`` is the block of the row.
     """
-    nodes = members.select("node")
-    listed = content_of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), docs, texts, text)
+    size = F.greatest("n", F.lit(1))
+    shares = placed.groupBy("key", "label").agg(F.sum(size).alias("_w"))
+    mixed = shares.groupBy("key").agg(
+        F.max(F.struct("_w", "label")).alias("_top"), F.sum("_w").alias("_all"), F.count(F.lit(1)).alias("_labels")
+    )
+    mixed = mixed.where("_labels > 1").select(
+        "key",
+        F.col("_top.label").alias("top"),
+        F.ceil(F.col("_top._w") / BLOCK).alias("_tops"),
+        F.ceil((F.col("_all") - F.col("_top._w")) / BLOCK).alias("_others"),
+    )
+    rows = placed.join(mixed.hint("rebalance"), "key").withColumn("_h", F.xxhash64("node"))
+    other = F.col("label") != F.col("top")
+    own = F.when(other, F.expr("pmod(_h, _others)")).otherwise(F.expr("_others + pmod(_h, _tops)"))
+    met = F.when(other, F.expr("sequence(0L, _others + _tops - 1)")).otherwise(F.expr("sequence(0L, _others - 1)"))
+    rows = rows.withColumn("own", own).select("key", "node", "label", "top", "own", F.explode(met).alias("_met"))
+    return rows.select("key", F.least("own", "_met").alias("low"), F.greatest("own", "_met").alias("high"), "own", "node", "label", "top")
+
+
+def shingles_in(listed: DataFrame, docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(node, shingles, keys) of the texts in ``listed``, one row each."""
+    wanted = texts.join(listed.select("node").distinct(), "node", "left_semi").select("node", "digest", "keys")
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.md5(content).alias("digest"), content.alias("text")).join(wanted, "digest")
 
     def run(batches):
         for batch in batches:
-            found = [labelled(shingles_of(t)) for t in batch.column(1).to_pylist()]
-            lists = pa.array([f.view(np.int64) if len(f) else [0] for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
-
-    shingles = listed.mapInArrow(run, "node bigint, shingles array<bigint>")
-    shingles = written(shingles, f"{folder}/shingles").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("_k"))
-    rarest = W.partitionBy("node").orderBy("_k", "s")  # the shingles of one text
-    prefix = shingles.join(counts.hint("rebalance"), "s").withColumn("_r", F.row_number().over(rarest))
-    prefix = prefix.where(F.col("_r") <= F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).where("_k > 1")
-    prefix = written(prefix.select("node", "n", "s", "_r").join(members, "node"), f"{folder}/prefix")
-    shares = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("_k"))
-    major = shares.groupBy("s").agg(F.max(F.struct("_k", "label")).alias("top"), F.count(F.lit(1)).alias("_l"))
-    major = major.where("_l > 1").select("s", F.col("top.label").alias("most"))
-    mixed = written(prefix.join(major.hint("rebalance"), "s"), f"{folder}/mixed")
-    minor = mixed.where("label <> most").select(
-        F.col("s").alias("_s"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("_r").alias("_q")
-    )
-    share = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("m") + F.col("n")) - 1e-9)
-    near = (F.col("_q") <= F.col("m") - share + 1) & (F.col("_r") <= F.col("n") - share + 1)
-    apart = F.expr("label <> _l and (label = most or a < node)")
-    pairs = minor.join(mixed, (F.col("s") == F.col("_s")) & apart & alike_in_size("n", "m") & near)
-    pairs = pairs.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(
-        F.count(F.lit(1)).alias("_shared"),
-        F.min(F.least(F.col("m") - F.col("_q"), F.col("n") - F.col("_r"))).alias("_left"),
-        F.any_value(share).alias("_share"),
-    )
-    pairs = pairs.where("_shared + _left >= _share").select("a", "b")
-    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+            found = [shingles_of(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["node", "shingles", "keys"]
+            )
+
+    found = rows.select("node", "text", "keys").mapInArrow(run, "node bigint, shingles array<bigint>, keys array<bigint>")
+    return found.dropDuplicates(["node"])
+
+
+def compared(cell: pa.Table) -> pa.Table:
+    """Links (a, b) between texts of two blocks that lie under different labels.
+
+    An inverted list of labelled shingles counts what two texts share whatever its
+    order, and only pairs that share enough for 0.8 are aligned, most shared first.
+    Labels already joined by a link found here are not compared again, so a cell
+    yields fewer links than it has labels. Texts that agree in an earlier pick meet
+    there.
+    """
+    own, label, node = (cell.column(c).to_numpy() for c in ("own", "label", "node"))
+    key, low, high, top = (cell.column(c)[0].as_py() for c in ("key", "low", "high", "top"))
+    column = cell.column("shingles").combine_chunks()
+    found = [np.asarray(column[k].values, np.int64).view(np.uint64) for k in range(len(node))]
+    keys = [np.asarray(v, np.int64) for v in cell.column("keys").to_pylist()]
+    picks = np.stack([np.resize(k, SKETCHES) for k in keys])
+    at = int(np.flatnonzero(picks[0] == key)[0])
+    left = np.flatnonzero((own == low) & (label != top))
+    right = np.flatnonzero(own == high)
+    sets = {int(k): labelled(found[k]) for k in {*left.tolist(), *right.tolist()}}
+    sizes = np.array([len(sets[int(k)]) for k in right])
+    flat = np.concatenate([sets[int(k)] for k in right] or [np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            if root[x] in root:
+                root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for i in left.tolist():
+        mine = sets[i]
+        start = np.searchsorted(flat, mine, "left")
+        count = np.searchsorted(flat, mine, "right") - start
+        hits = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(owner[hits], minlength=len(right))
+        # Aligned over all shingles is 0.8 or more only where shared ones are 4/9 of both.
+        enough = shared * (1 + SIMILARITY) >= SIMILARITY * (len(mine) + sizes) - 1e-9
+        enough &= (label[right] != label[i]) & ~(picks[right, :at] == picks[i, :at]).any(1)
+        if low == high:
+            enough &= node[right] > node[i]
+        likely = np.flatnonzero(enough)
+        for j in right[likely[np.argsort(-shared[likely], kind="stable")]].tolist():
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b and similarity(found[i], found[j]) >= SIMILARITY:
+                root[max(a, b)] = min(a, b)
+                links.append((int(node[i]), int(node[j])))
+    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def first_of_each_class(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -253,7 +253,9 @@ def test_alignment_equals_full_table():
         assert order_minhash.aligned(a, b, band) == table[-1, -1]
 
 
-def test_near_duplicates_equal_brute_force(spark, folder):
+@pytest.mark.parametrize("block", [1_000_000, 400])
+def test_near_duplicates_equal_brute_force(spark, folder, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
     random.seed(6)
     words = [f"w{k}" for k in range(3000)]
     base = [[random.choice(words) for _ in range(120)] for _ in range(4)]
@@ -278,6 +280,24 @@ def test_near_duplicates_equal_brute_force(spark, folder):
     assert order_minhash.near_duplicates(df.where("false"), folder()).count() == 0
 
 
+def test_cells_hold_every_pair_of_labels_once_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 500)
+    # One pick: 300 texts of a component, 40 texts on their own.
+    placed = [(1, k, 10, 0 if k < 300 else k) for k in range(340)]
+    rows = order_minhash.cells(spark.createDataFrame(placed, "key bigint, node bigint, n bigint, label bigint")).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r.low, r.high), {}).setdefault(r.own, []).append((r.node, r.label))
+    pairs = []
+    for (low, high), sides in met.items():
+        assert set(sides) <= {low, high}
+        for a, x in sides.get(low, []):
+            pairs += [tuple(sorted((a, b))) for b, y in sides.get(high, []) if x != y and (low != high or a < b)]
+    want = {(a, b) for a in range(340) for b in range(max(a + 1, 300), 340)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert len(rows) <= 40 * 7 + 300  # and not 40 * 300
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (None, 1)] + [(k, k + 1) for k in range(20, 40)], "a bigint, b bigint")
     got = {r.node: r.label for r in components(links).collect()}
