@@ -28,8 +28,8 @@ SAMPLE = 40_000
 LEAF_ROWS, LEAF_SAMPLE = 256, 8
 #: Queries compared with all vectors to learn how many a search must look at, and the recall wanted there.
 PROBES, PROBE_RECALL = 64, 0.96
-#: Vectors of a leaf that are ranked in one task.
-SLICE_ROWS = 8_192
+#: Components of the vectors that one task ranks at a time, about.
+GROUP_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -239,32 +239,61 @@ def nearest(
         held[r["leaf"]] = r["count"]
     if search is None:
         search = enough_for(forest, held, points, placed, asked.select("node").distinct(), k)
-    slices = max(1, -(-int(held.max()) // SLICE_ROWS))
+    # Leaves that follow each other lie close together, so a query visits few groups of them.
+    room = max(1, GROUP_VALUES // sizes)
+    group_of = (np.cumsum(held) - held) // room
+    parts = np.ceil(np.bincount(group_of, held) / (2 * room)).astype(int).clip(1).tolist()
+    kind = vectors.schema[vector].dataType.simpleString()
 
     def look(batches):
         for batch in batches:
-            point = unit_rows(batch.column(1))
-            found = [model.value.search(p, held, search) for p in point]
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["node", "v", "leaves"])
-
+            rows, groups, leaves = [], [], []
+            for row, point in enumerate(unit_rows(batch.column(1))):
+                found = np.sort(np.array(model.value.search(point, held, search)))
+                of = group_of[found]
+                for some in np.split(found, np.flatnonzero(np.diff(of)) + 1):
+                    rows.append(row)
+                    groups.append(int(group_of[some[0]]))
+                    leaves.append(some)
+            seeking = batch.take(pa.array(rows, pa.int64()))
+            columns = [*seeking.columns, pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["node", "v", "group", "leaves"])
+
+    # As many rows as the forest has leaves, which the sample bounds.
+    grouped = vectors.sparkSession.createDataFrame(
+        [(leaf, g, parts[g]) for leaf, g in enumerate(group_of.tolist())], "leaf bigint, group bigint, parts int"
+    )
     seekers = points.select("node", "v").join(asked.select("node").distinct(), "node").select("node", "v")
-    visits = seekers.mapInArrow(look, "node bigint, v array<float>, leaves array<bigint>")
-    visits = visits.select("node", "v", F.explode("leaves").alias("leaf"))
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    visits = seekers.mapInArrow(look, f"node bigint, v {kind}, group bigint, leaves array<bigint>")
+    of_group = grouped.select("group", "parts").distinct()
+    visits = visits.join(F.broadcast(of_group), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visits = visits.select("node", "v", "leaves", "group", "part")
     stored = points.select("node", "v").join(placed, "node").select("node", "v", F.explode("leaves").alias("leaf"))
-    stored = stored.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int"))
+    stored = stored.join(F.broadcast(grouped), "leaf")
+    stored = stored.select("node", "v", "leaf", "group", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"))
     keep = k + 1
 
     def rank(seeking: pa.Table, holding: pa.Table) -> pa.Table:
-        q, n = seeking.column("node").to_numpy(), holding.column("node").to_numpy()
-        names = ["query", "node", "near"]
-        if len(q) == 0 or len(n) == 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        near = unit_rows(seeking.column("v").combine_chunks()) @ unit_rows(holding.column("v").combine_chunks()).T
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if len(n) > keep else np.tile(np.arange(len(n)), (len(q), 1))
-        return pa.table([np.repeat(q, best.shape[1]), n[best].ravel(), np.take_along_axis(near, best, 1).ravel()], names=names)
-
-    by = ["leaf", "part"]
+        """The nearest of the leaves each query visits in this group, each vector once."""
+        out = [[], [], []]
+        if seeking.num_rows and holding.num_rows:
+            holding = holding.sort_by("leaf")
+            leaf, node = holding.column("leaf").to_numpy(), holding.column("node").to_numpy()
+            held_rows = unit_rows(holding.column("v").combine_chunks())
+            asking = unit_rows(seeking.column("v").combine_chunks())
+            for q, point, leaves in zip(seeking.column("node").to_pylist(), asking, seeking.column("leaves").to_pylist(), strict=True):
+                start, end = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
+                at = np.concatenate([np.arange(x, y) for x, y in zip(start, end, strict=True)])
+                at = at[np.unique(node[at], return_index=True)[1]]
+                near = held_rows[at] @ point
+                best = np.argpartition(-near, keep - 1)[:keep] if len(at) > keep else np.arange(len(at))
+                out[0] += [q] * len(best)
+                out[1] += node[at[best]].tolist()
+                out[2] += near[best].tolist()
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query", "node", "near"])
+
+    by = ["group", "part"]
     pairs = visits.groupBy(*by).cogroup(stored.groupBy(*by)).applyInArrow(rank, "query bigint, node bigint, near double")
     pairs = pairs.groupBy("query", "node").agg(F.max("near").alias("near"))
     best = W.partitionBy("query").orderBy(F.col("near").desc(), "node")

@@ -124,13 +124,16 @@ def test_arrow_ids_read_back(odd, none, folder):
     assert arrow_ids.read_documents(arrow_ids.write_sequences(none, folder(), WORD, 2)).count() == 0
 
 
-def test_nearest_finds_all_of_few(spark, folder):
+@pytest.mark.parametrize("kind, values", [("float", 2_000_000), ("double", 40)])
+def test_nearest_finds_all_of_few(spark, folder, monkeypatch, kind, values):
+    monkeypatch.setattr(rp_forest, "GROUP_VALUES", values)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).round(2).tolist(), "x") for i in range(60)]
     rows += [(100, None, "x"), (101, [0.0] * 4, "x"), (102, [float("nan")] * 4, "x"), (103, [None, 1.0, 1.0, 1.0], "x"), (150, rows[7][1], "x"), (150, rows[7][1], "x")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, score string")
     got = rp_forest.nearest(df, F.col("vec_id") % 50 == 0, folder(), search=1000).collect()
-    vectors = {r[0]: np.float32(r[1]).astype(float) for r in rows if r[0] not in (100, 101, 102, 103)}
+    stored = np.float32 if kind == "float" else np.float64
+    vectors = {r[0]: stored(r[1]).astype(float) for r in rows if r[0] not in (100, 101, 102, 103)}
     cos = lambda a, b: a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)
     for q in (0, 50, 150):
         best = sorted((-round(cos(vectors[q], v), 12), i) for i, v in vectors.items() if i != q)[:5]
