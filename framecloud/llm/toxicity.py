@@ -1,8 +1,8 @@
 """Toxicity scores from subword bags.
 
 A word is the mean of the vectors of its character n-grams and of the word itself,
-hashed to buckets. A window starts at every word and adds up ``WINDOW`` words; a text
-is its most toxic window plus the average of all its words, ``WINDOW`` times, followed
+hashed to buckets. Windows of ``WIDTHS`` words start at every word; a text
+is the sum of its most toxic window plus ``MEAN`` times the average of all words, followed
 by a linear softmax. Vectors and softmax are trained together, so a misspelling is
 scored by the n-grams it shares.
 """
@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from framecloud.llm.schemas import fields_of
 from framecloud.llm.storage import bounded_batches
@@ -25,18 +24,18 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 #: Windows of so many words start at every word; at the end of a text of as many as are left.
-WIDTHS = (1, 2, 4, 8, 16)
+WIDTHS = (1, 4, 16)
 #: Weight of the average of the whole text beside its most toxic window.
 MEAN = 2.0
 #: A longer word is cut at marks, and what is still longer into pieces of ``PIECE``
 #: characters that overlap by one less than the longest n-gram, so none is lost.
 LONG_WORD, PIECE = 24, 8
 THRESHOLD = 0.7
-#: Bounds of the training sample: rows of either label, and characters in all.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_000, 2_000, 8_000_000
+#: Bounds of the training sample: rows of either label, and bytes of each text.
+TOXIC_ROWS, CLEAN_ROWS, TEXT_BYTES = 1_000, 2_000, 10_000
 STEPS = 100
 RATE = 0.02
-DECAY = 1e-6
+DECAY = 1e-4
 SHARPEST = 6.0
 #: Words whose score a worker remembers.
 REMEMBERED = 120_000
@@ -244,30 +243,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFra
     """text and toxic of a bounded sample: the first labelled rows in hash order.
 
     ``usable`` says which rows of both tables may be learnt from. At most
-    ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows of either label, and of those as many as
-    hold ``SAMPLE_CHARS`` bytes together; rows with a null id, label or text take no
-    part. Only ids and sizes are shuffled; the scan that fetches the texts knows the
+    ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows of either label are taken, of texts up to
+    ``TEXT_BYTES`` bytes; one that is longer gives way to the next and displaces no
+    other. Rows with a null id, label or text take no part, nor do ids labelled both
+    ways. Only ids and sizes are shuffled; the scan that fetches the texts knows the
     chosen ids, whose number is bounded.
     """
     sized = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull())
-    sized = sized.select("doc_id", F.octet_length("text").alias("_size"))
+    sized = sized.where(F.octet_length("text") <= TEXT_BYTES).select("doc_id")
     marked = labels.where(usable).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    marked = marked.where("toxic in (0, 1)").dropDuplicates(["doc_id"])
+    marked = marked.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    marked = marked.where("toxic = _most").select("doc_id", "toxic")
     both = sized.dropDuplicates(["doc_id"]).join(marked, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     toxic = both.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS)
     clean = both.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS)
-    upto = F.sum("_size").over(W.orderBy(*order))
-    chosen = toxic.union(clean).withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_CHARS)
-    ids = F.broadcast(chosen.select("doc_id", "toxic"))  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    texts = docs.where(usable).select("doc_id", "text").join(ids, "doc_id")
+    ids = F.broadcast(toxic.union(clean))  # at most TOXIC_ROWS + CLEAN_ROWS rows
+    texts = docs.where(usable).select("doc_id", "text").where(F.octet_length("text") <= TEXT_BYTES).join(ids, "doc_id")
     # Rows that repeat an id give the training one text, the first in order.
     return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray, float]:
-    """Train on the bounded sample; the model is one number per bucket and a bias."""
+    """Train on the bounded sample; the model is one number per bucket and a bias.
+
+    A sample of one label alone is an error, as its model would reject nothing; no
+    sample at all gives every text 0.5.
+    """
     rows = sorted(training_rows(docs, labels, usable).collect(), key=lambda r: r["doc_id"])
+    if len({r["toxic"] for r in rows}) == 1:
+        raise ValueError(f"all {len(rows)} labelled texts of up to {TEXT_BYTES} bytes are labelled {rows[0]['toxic']}")
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

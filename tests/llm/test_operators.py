@@ -198,6 +198,18 @@ def test_toxicity_learns_stems_and_keeps_rows(spark, odd, none):
     assert toxicity.training_rows(odd, labels, F.lit(True)).count() == 1
 
 
+def test_training_rows_survive_long_texts_and_clashing_labels(spark):
+    rows = [(k, f"text {k}") for k in range(12)] + [(20, "x" * 20_000), (21, "word " * 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = [(k, k % 2) for k in range(12)] + [(20, 1), (21, 0), (5, 0), (6, 0)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.training_rows(docs, labels, F.lit(True)).collect()}
+    assert got == {k: k % 2 for k in range(12) if k != 5}
+    with pytest.raises(ValueError, match="are labelled 1"):
+        toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True))
+    assert toxicity.fit(docs, labels.where("false"), F.lit(True))[1] == 0.0
+
+
 def test_leaks_verbatim_and_edited(spark, folder):
     random.seed(4)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
