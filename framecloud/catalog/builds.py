@@ -255,33 +255,53 @@ def breakdown(spark, sf_dir):
     return stage_breakdown(stages.pixels, stages.meta, KEYS, STEREO.stereo)
 
 
-@query("live_equals_batch", CLOUD_SQL)
-def live_equals_batch(spark, sf_dir):
-    """The flagship through a file stream: same rows as the batch build."""
+def drained(spark, sf_dir, cfg, stages):
+    """Folders of the stages of a file stream of all frames that has run to its end."""
     base = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
     frames = views.frames(spark, sf_dir).select(*FRAMES.fieldNames())
     frames.repartition(4).write.parquet(f"{base}/in")
+    paths = {name: f"{base}/{name}" for name in stages}
     live = run_live(
         read_frames(spark, f"{base}/in", files_per_trigger=2),
         views.cameras(spark, sf_dir),
-        PLAIN,
-        {"sampled": f"{base}/sampled", "meta": f"{base}/meta"},
+        cfg,
+        paths,
         f"{base}/checkpoint",
         trigger={"availableNow": True},
     )
     live.awaitTermination()
-    return spark.read.parquet(f"{base}/sampled").drop("batch_id")
+    return paths
+
+
+@query("live_equals_batch", CLOUD_SQL)
+def live_equals_batch(spark, sf_dir):
+    """The flagship through a file stream: same rows as the batch build."""
+    paths = drained(spark, sf_dir, PLAIN, ["sampled", "meta"])
+    return spark.read.parquet(paths["sampled"]).drop("batch_id")
 
 
 @query(
     "live_meta",
-    """select cast(label as varchar) as camera, vec_id as frame_id, vec_id::double / 30.0 as timestamp,
-      'live' as mode, 'sampled' as stage, 16::bigint as num_sampled_points from embeddings""",
+    S.with_(
+        S.RAW,
+        S.FRAMES,
+        f"cnt as (select camera, frame_id, count(*) as n_raw, count(*) filter ({WINDOW_SQL}) as n_crop, "
+        f"count(distinct case when {WINDOW_SQL} then row({S.voxels(0.05)}) end) as n_cand "
+        "from raw group by camera, frame_id)",
+        select="""select camera, frame_id, frame_id::double / 30.0 as timestamp, 'live' as mode,
+          'sampled' as stage, coalesce(n_raw, 0) as num_raw_points,
+          coalesce(n_crop, 0) as num_cropped_points, coalesce(n_cand, 0) as candidate_count,
+          16::bigint as num_sampled_points, coalesce(n_cand, 0) < 16 as padded
+        from frames left join cnt using (camera, frame_id)""",
+    ),
 )
 def live_meta(spark, sf_dir):
-    """Metadata of the same frames built in live mode."""
-    meta = built(spark, sf_dir, PLAIN, mode="live").meta
-    return meta.select(*KEYS, "timestamp", "mode", "stage", "num_sampled_points")
+    """Metadata with counts that a drained stream wrote."""
+    paths = drained(spark, sf_dir, PLAIN, ["meta"])
+    return spark.read.parquet(paths["meta"]).select(
+        *KEYS, "timestamp", "mode", "stage", "num_raw_points", "num_cropped_points",
+        "candidate_count", "num_sampled_points", "padded",
+    )
 
 
 @query(
@@ -326,3 +346,31 @@ def ply_text(spark, sf_dir):
     """All lines of one ASCII cloud file per frame."""
     stages = built(spark, sf_dir, BuildConfig(sampling=SamplingConfig(enabled=False)))
     return ply_lines(stages.raw, views.frames(spark, sf_dir), list(KEYS))
+
+
+@query(
+    "ply_color_text",
+    S.with_(
+        S.RAW,
+        S.FRAMES,
+        IMG,
+        COLOR_RAW,
+        "cnt as (select camera, frame_id, count(*) as n from craw group by camera, frame_id)",
+        select=f"""select camera, frame_id, unnest(range(10)) as line_no,
+            unnest(['ply', 'format ascii 1.0', 'element vertex ' || coalesce(n, 0), 'property float x',
+              'property float y', 'property float z', 'property uchar red', 'property uchar green',
+              'property uchar blue', 'end_header']) as value
+          from frames left join cnt using (camera, frame_id)
+          union all
+          select camera, frame_id, idx + 10, concat_ws(' ', x::double::varchar, y::double::varchar,
+            z::double::varchar, {', '.join(f'floor(least(greatest({n}::double * 255.0::double, 0), 255))::int::varchar' for n in COLOR)})
+          from craw""",
+    ),
+)
+def ply_color_text(spark, sf_dir):
+    """Lines of coloured clouds: each colour is a byte."""
+    cfg = BuildConfig(
+        pointcloud=PointCloudConfig(use_rgb=True, output_format="xyzrgb"),
+        sampling=SamplingConfig(enabled=False),
+    )
+    return ply_lines(built(spark, sf_dir, cfg).raw, views.frames(spark, sf_dir), list(KEYS))

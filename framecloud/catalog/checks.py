@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framecloud.catalog import views
 from framecloud.catalog.registry import query
+from framecloud.functions.checkpoints import checkpoint_dir
 from framecloud.operators import checks as ck
+from framecloud.sources.artifacts import hash_files
 from framecloud.sources.calibration import apply_calibration
+from framecloud.sources.contracts import (
+    configured,
+    contract_report,
+    read_contracts,
+    read_engine_configs,
+)
 
 
 def _lens(fx, width):
@@ -78,13 +88,16 @@ def rectification_gate(spark, sf_dir):
 @query(
     "baseline_agreement",
     """select cast(p_partkey as varchar) as camera, configured_m, calibrated_m,
-      case when configured_m > 0 then abs(configured_m - calibrated_m) <= 1e-5::double else true end as agrees
-    from (select *, case when p_size = 21 then 0.0::double else p_retailprice / 20000.0::double end as calibrated_m,
+      case when calibrated_m is null then false
+        when configured_m > 0 then abs(configured_m - calibrated_m) <= 1e-5::double else true end as agrees
+    from (select *, case when p_size = 23 then null when p_size = 21 then 0.0::double
+          else p_retailprice / 20000.0::double end as calibrated_m,
         case when p_size = 3 then 0.0::double when p_size % 5 = 0 then p_retailprice / 20000.0::double + 0.001::double
           else p_retailprice / 20000.0::double end as configured_m from part)""",
 )
 def baseline_agreement(spark, sf_dir):
-    """Configuration from the part price; every fifth size is off by a millimetre."""
+    """Configuration from the part price; every fifth size is off by a millimetre, and
+    cameras of size 23 were never calibrated."""
     price = F.col("p_retailprice") / 20000.0
     configured = views.table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("camera"),
@@ -93,7 +106,8 @@ def baseline_agreement(spark, sf_dir):
         .otherwise(price)
         .alias("baseline_m"),
     )
-    return ck.baseline_agreement(configured, calibration(spark, sf_dir), ["camera"])
+    calibrated = calibration(spark, sf_dir).where("p_size <> 23")
+    return ck.baseline_agreement(configured, calibrated, ["camera"])
 
 
 @query(
@@ -167,6 +181,53 @@ def stereo_setting_rules(spark, sf_dir):
     return found.select("camera", F.array_join("violations", ",").alias("violations"))
 
 
+@query(
+    "sampling_setting_rules",
+    """select cast(p_partkey as varchar) as camera, concat_ws(',',
+      case when p_size % 7 = 0 then 'sampling_mode_known' end,
+      case when p_size % 5 = 0 then 'pad_mode_known' end,
+      case when p_size = 9 then 'num_points_positive' end,
+      case when p_size % 11 = 0 then 'voxel_size_positive' end) as violations from part""",
+)
+def sampling_setting_rules(spark, sf_dir):
+    """Sampling settings per part; a null, like a name no mode has, breaks its rule."""
+    size = F.col("p_size")
+    rows = views.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("camera"),
+        F.when(size % 7 == 0, "nearest").when(size % 2 == 0, "FPS").otherwise("voxel_random").alias("sampling_mode"),
+        F.when(size % 5 != 0, "zero").alias("pad_mode"),
+        F.when(size == 9, 0).otherwise(1024).alias("num_points"),
+        F.when(size % 11 == 0, F.lit(-0.01)).otherwise(F.lit(0.01)).alias("voxel_size"),
+    )
+    found = ck.audit(rows, ["camera"], ck.sampling_rules())
+    return found.select("camera", F.array_join("violations", ",").alias("violations"))
+
+
+@query(
+    "engine_setting_rules",
+    """select cast(p_partkey as varchar) as camera, concat_ws(',',
+      case when p_size % 7 = 0 then 'backend_known' end,
+      case when p_size % 5 = 0 or p_size = 6 then 'image_size' end,
+      case when p_size = 9 then 'cv_group_positive' end,
+      case when p_size % 8 > 5 then 'optimization_level' end,
+      case when p_size % 11 = 0 then 'workspace_positive' end) as violations from part""",
+)
+def engine_setting_rules(spark, sf_dir):
+    """Engine settings per part with defects by size."""
+    size = F.col("p_size")
+    rows = views.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("camera"),
+        F.when(size % 7 == 0, "other").when(size % 2 == 0, "Plugin").otherwise("single").alias("backend"),
+        F.when(size % 5 == 0, 240).otherwise(480).alias("height"),
+        F.when(size != 6, 640).alias("width"),
+        F.when(size == 9, 0).otherwise(8).alias("cv_group"),
+        (size % 8).alias("builder_optimization_level"),
+        F.when(size % 11 == 0, 0.0).otherwise(8.0).alias("workspace_gib"),
+    )
+    found = ck.audit(rows, ["camera"], ck.engine_rules(("single", "plugin"), 480, 640))
+    return found.select("camera", F.array_join("violations", ",").alias("violations"))
+
+
 @query(
     "index_agreement",
     """select o_orderkey as read_id, o_orderkey as asked,
@@ -228,6 +289,76 @@ def manifest_contract(spark, sf_dir):
     )
 
 
+@query(
+    "contract_files",
+    """with m as (select *, case when s_nationkey % 3 = 0 then '"single"' else '"plugin"' end as mb,
+        case when s_acctbal < 0 then '240.0' else '480.0' end as mh,
+        case when s_nationkey % 5 = 0 then '"8"' else '8.0' end as ci from supplier)
+    select s_suppkey, 'manifest' as side, 'backend' as field, '"plugin"' as expected, mb as found from m where mb = '"single"'
+    union all select s_suppkey, 'manifest', 'height', '480.0', mh from m where mh = '240.0'
+    union all select s_suppkey, 'manifest', 'engine.fp16', 'true', 'false' from m where s_nationkey % 7 = 0
+    union all select s_suppkey, 'config', 'valid_iters', '8.0', ci from m where ci = '"8"'
+    union all select s_suppkey, 'engines', 'backend', mb, '"plugin"' from m where mb = '"single"'
+    union all select s_suppkey, 'engines', 'height', mh, '480.0' from m where mh = '240.0'
+    union all select s_suppkey, 'engines', 'valid_iters', '8.0', ci from m where ci = '"8"'""",
+)
+def contract_files(spark, sf_dir):
+    """One manifest and one settings file per supplier, written, read and compared.
+
+    Manifests differ by nation and balance, and some settings hold a number as text.
+    """
+    n = F.col("s_nationkey")
+    supplier = views.table(spark, sf_dir, "supplier")
+    shared = {"width": F.lit(640), "max_disp": F.lit(192), "normalization_contract": F.lit("imagenet")}
+    settings = {**shared, "backend": F.lit("plugin"), "height": F.lit(480), "precision": F.lit("fp16")}
+    manifest = settings | {
+        "backend": F.when(n % 3 == 0, "single").otherwise("plugin"),
+        "height": F.when(F.col("s_acctbal") < 0, 240.0).otherwise(480.0),
+        "valid_iters": F.lit(8),
+        "engine": F.struct((n % 7 != 0).alias("fp16")),
+        "input_names": F.array(F.lit("left"), F.lit("right")),
+    }
+    as_text = n % 5 == 0
+    config = settings | {
+        "valid_iters": F.when(as_text, "8"),
+        "input_names": F.array(F.lit("left"), F.lit("right")),
+    }
+    text = lambda cells: F.to_json(F.struct(*[c.alias(k) for k, c in cells.items()]))
+    number = {**config, "valid_iters": F.when(~as_text, 8)}
+    texts = {
+        "manifests": text(manifest),
+        "configs": F.when(as_text, text(config)).otherwise(text(number)),
+    }
+    base = f"{checkpoint_dir(spark)}/contracts-{uuid.uuid4().hex}"
+    for name, value in texts.items():
+        rows = supplier.select("s_suppkey", value.alias("value")).repartition("s_suppkey")
+        rows.write.partitionBy("s_suppkey").text(f"{base}/{name}")
+    key = F.regexp_extract("path", r"s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+    asked = supplier.withColumns({**settings, "valid_iters": F.lit(8), "input_names": manifest["input_names"]})
+    return contract_report(
+        configured(asked, ["s_suppkey"]),
+        read_contracts(spark, f"{base}/manifests").select(key, "contract"),
+        read_engine_configs(spark, f"{base}/configs").select(key, "contract"),
+        ["s_suppkey"],
+    )
+
+
+@query(
+    "artifact_files",
+    """select s_suppkey, sha256(s_name || chr(10)) as sha256, length(s_name) + 1 as size from supplier""",
+)
+def artifact_files(spark, sf_dir):
+    """Names of suppliers as artifact files: hashed where they lie, half of the sizes in blocks."""
+    base = f"{checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    names = views.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
+    names.repartition("s_suppkey").write.partitionBy("s_suppkey").text(base)
+    key = F.regexp_extract("path", r"s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+    # Names are of much the same length: a limit of their median makes both readers work.
+    middle = names.select(F.percentile_approx(F.length("value") + 1, 0.5)).first()[0] or 0
+    files = hash_files(spark, base, streamed_from=middle - 1).where("path like '%/part-%'")
+    return files.select(key, "sha256", "size")
+
+
 @query(
     "artifact_hashes",
     """select cast(doc_id as varchar) as path,

@@ -11,7 +11,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framecloud.config import PRECISIONS, RECTIFICATION_MODES, RGB_MAPPINGS
+from framecloud.config import (
+    PAD_MODES,
+    PRECISIONS,
+    RECTIFICATION_MODES,
+    RGB_MAPPINGS,
+    SAMPLING_MODES,
+)
 from framecloud.functions.numeric import all_of
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
@@ -90,14 +96,20 @@ def rectification_rules() -> dict[str, Column]:
 
 
 def baseline_agreement(configured: DataFrame, calibrated: DataFrame, keys) -> DataFrame:
-    """Configured against calibrated baseline; an unset (zero) configuration agrees."""
+    """Configured against calibrated baseline; an unset (zero or null) configuration agrees.
+
+    Every configured camera keeps its row. One without a calibration has a null
+    ``calibrated_m`` and does not agree, whatever is configured.
+    """
     keys = list(keys)
     left = configured.select(*keys, F.col("baseline_m").alias("configured_m"))
     right = calibrated.select(*keys, F.col("baseline_m").alias("calibrated_m"))
-    set_value = F.col("configured_m") > 0
     close = _near(F.col("configured_m"), F.col("calibrated_m"), 1e-5)
-    return left.join(right, keys).withColumn(
-        "agrees", F.when(set_value, close).otherwise(F.lit(True))
+    return left.join(right, keys, "left").withColumn(
+        "agrees",
+        F.when(F.col("calibrated_m").isNull(), False)
+        .when(F.col("configured_m") > 0, close)
+        .otherwise(True),
     )
 
 
@@ -151,6 +163,34 @@ def stereo_rules() -> dict[str, Column]:
     }
 
 
+def sampling_rules() -> dict[str, Column]:
+    """Sampling settings kept as table rows: sampling_mode, pad_mode, num_points, voxel_size."""
+    c = F.col
+    return {
+        "sampling_mode_known": F.lower("sampling_mode").isin(*SAMPLING_MODES),
+        "pad_mode_known": F.lower("pad_mode").isin(*PAD_MODES),
+        "num_points_positive": c("num_points") > 0,
+        "voxel_size_positive": c("voxel_size") > 0,
+    }
+
+
+def engine_rules(backends: Sequence[str], height: int, width: int) -> dict[str, Column]:
+    """Settings a stereo engine was built for, as table rows.
+
+    Columns: backend, height, width, cv_group, builder_optimization_level and
+    workspace_gib; ``backends`` are the names in use, and ``height`` and ``width``
+    the image size the network takes.
+    """
+    c = F.col
+    return {
+        "backend_known": F.lower("backend").isin(*[b.lower() for b in backends]),
+        "image_size": (c("height") == height) & (c("width") == width),
+        "cv_group_positive": c("cv_group") > 0,
+        "optimization_level": c("builder_optimization_level").between(0, 5),
+        "workspace_positive": c("workspace_gib") > 0,
+    }
+
+
 def index_agreement(read: DataFrame, keys: Sequence[str], asked: str, got: str) -> DataFrame:
     """Whether the reader returned the frame that was asked for."""
     return read.select(
@@ -222,3 +262,56 @@ def artifact_status(
         .otherwise("ok")
     )
     return joined.select(*keys, "path", status.alias("status"))
+
+
+def contract_differences(
+    expected: DataFrame,
+    found: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    only_set: bool = False,
+) -> DataFrame:
+    """(keys, field, expected, found) of every field on which two contracts differ.
+
+    Both tables hold a map ``contract`` of canonical texts, as the readers of
+    ``sources.contracts`` give them. With ``only_set`` a field that ``expected``
+    leaves out is not compared. A key that ``found`` lacks differs in all its
+    fields; where a key has several contracts, each is compared.
+    """
+    keys = list(keys)
+    left = expected.select(*keys, F.col("contract").alias("_e"))
+    right = found.select(*keys, F.col("contract").alias("_f"))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"),
+                F.try_element_at("_e", F.lit(f)).alias("expected"),
+                F.try_element_at("_f", F.lit(f)).alias("found"),
+            )
+            for f in fields
+        ]
+    )
+    differs = ~F.col("expected").eqNullSafe(F.col("found"))
+    if only_set:
+        differs = differs & F.col("expected").isNotNull()
+    return left.join(right, keys, "left").select(*keys, F.inline(cells)).where(differs)
+
+
+def flag_differences(
+    expected: DataFrame, found: DataFrame, keys: Sequence[str], records: Sequence[str]
+) -> DataFrame:
+    """(keys, field, expected, found) of engine records whose fp16 flag contradicts the
+    configured precision; a record without the flag says nothing."""
+    keys = list(keys)
+    precision = F.try_element_at(F.col("contract"), F.lit("precision"))
+    left = expected.select(*keys, (precision == '"fp16"').cast("string").alias("expected"))
+    cells = [
+        F.struct(
+            F.lit(f"{r}.fp16").alias("field"),
+            F.try_element_at("contract", F.lit(f"{r}.fp16")).alias("found"),
+        )
+        for r in records
+    ]
+    right = found.select(*keys, F.inline(F.array(*cells))).where("found is not null")
+    both = right.join(left, keys).select(*keys, "field", "expected", "found")
+    return both.where(~F.col("expected").eqNullSafe(F.col("found")))

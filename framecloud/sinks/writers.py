@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framecloud.operators.assembly import pack_clouds
+from framecloud.operators.checks import require_keys
 
 RGB = ("red", "green", "blue")
 MODE = "errorifexists"
@@ -24,8 +25,13 @@ def _coordinates(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
 
 
 def ply_lines(points: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Text lines of one PLY file per frame with their order ``line_no``."""
+    """Text lines of one PLY file per frame with their order ``line_no``.
+
+    A null key, of a point or a frame, fails the job: it equals no other, so the header
+    would not count its points.
+    """
     keys = list(keys)
+    points, frames = require_keys(points, keys), require_keys(frames, keys)
     has_rgb = all(c in points.columns for c in RGB)
     counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sized = frames.select(*keys).join(counts, keys, "left")
