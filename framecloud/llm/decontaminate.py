@@ -1,42 +1,76 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds join passages to items, Smith-Waterman decides.
 
-Runs of three words of the test items are looked up in every document; the places
-found lie on diagonals, and each item is aligned with the passage around them, so
-edited and paraphrased copies score by how much of the item they keep. Every seed
-counts, however many documents hold it, and the score alone decides.
+A seed is a pair of words with at most one word between them, in an item and in a text.
+An alignment that scores enough holds many such pairs at different places of its item
+(``least`` proves how many), so an item's rarest places are enough to find it by: seeds
+are counted over the corpus, the most frequent places of each item are left out of the
+join, and no alignment is lost. What the join finds is aligned exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from framecloud.llm.schemas import fields_of
 from framecloud.llm.storage import written
-from framecloud.llm.words import LETTERS, windows, word_hashes
+from framecloud.llm.words import LETTERS, mix, word_hashes
 
-SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Share of an item's best possible score from which a passage is a leak.
 THRESHOLD = 0.5
-#: Words of test items that are held in memory at a time; more are taken in blocks.
-BLOCK_WORDS = 1_000_000
+#: A score that is a leak of an item of any length: fifty words kept as they are.
+ENOUGH = 100
+#: Bits of the filter that seeds pass in the scans; its size does not grow.
+FILTER_BITS = 1 << 22
+
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hasher(text: str | None) -> np.ndarray:
     return word_hashes(text, LETTERS)
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    return windows(h, SEED_WORDS) if len(h) >= SEED_WORDS else np.empty(0, np.uint64)
+def needed(n: int) -> int:
+    """Score from which a passage is a leak of an item of ``n`` words.
+
+    Two words must be there as they are. One word is no evidence: such an item, like an
+    empty one, needs more than it can reach.
+    """
+    if n < 2:
+        return MATCH * n + 1
+    return MATCH * n if n == 2 else min(int(np.ceil(THRESHOLD * MATCH * n)), ENOUGH)
+
+
+def least(n: int) -> int:
+    """Places of an item of ``n`` words that start a seed in every alignment that counts.
+
+    Of m matched words, neighbours that are no seed have two edits or more between them.
+    A score of 2 m - edits >= s leaves at most m - s / 2 of these, so s / 2 - 1 or more
+    of the m - 1 neighbours are seeds.
+    """
+    return max(1, -(-(needed(n) - 2) // 2))
+
+
+def places(n: int) -> tuple[int, int]:
+    """How many of an item's places are looked up, and how many of them are always found.
+
+    Half of what any alignment must hold is asked for, which spares the most frequent
+    places the join: each place left out lowers the number found by one at most.
+    """
+    found = (least(n) + 1) // 2
+    return n - 1 - least(n) + found, found
+
+
+def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a word list's seeds and the place where each starts."""
+    pairs = [mix(h[:-d] * _PAIR + h[d:]) for d in (1, 2) if len(h) > d]
+    at = [np.arange(len(p)) for p in pairs]
+    return np.concatenate([*pairs, np.empty(0, np.uint64)]), np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
 
 
 def local_score(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -58,118 +92,198 @@ def local_score(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-@dataclass(frozen=True)
-class Seeds:
-    """A block of test items with the n-grams they are found by."""
-
-    ids: list
-    words: list[np.ndarray]
-    hashes: np.ndarray  # distinct n-grams, sorted
-    start: np.ndarray  # first owner of each n-gram, one more at the end
-    item: np.ndarray  # owners by n-gram
-    place: np.ndarray
-    maybe: np.ndarray  # by the low bits of a hash: some n-gram has them
-
-    @staticmethod
-    def of(ids: list, words: list[np.ndarray]) -> Seeds:
-        found = [grams(w) for w in words]
-        sizes = [len(g) for g in found]
-        flat = np.concatenate([*found, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(words)), sizes)
-        place = np.concatenate([*[np.arange(n) for n in sizes], np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(flat, kind="stable")
-        hashes, first = np.unique(flat[order], return_index=True)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[hashes & np.uint64(len(maybe) - 1)] = True
-        return Seeds(ids, words, hashes, np.append(first, len(flat)), item[order], place[order], maybe)
-
-    def in_text(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text's n-grams that are seeds, and which."""
-        g = grams(h)
-        if len(self.hashes) == 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        likely = np.flatnonzero(self.maybe[g & np.uint64(len(self.maybe) - 1)])
-        g = g[likely]
-        at = np.minimum(np.searchsorted(self.hashes, g), len(self.hashes) - 1)
-        hit = self.hashes[at] == g
-        return likely[hit], at[hit]
-
-    def leaks(self, h: np.ndarray, places: np.ndarray, which: np.ndarray) -> Iterator[dict]:
-        """Findings of one text: per item the best passage, if it scores enough."""
-        hits = []
-        for at, seed in zip(places.tolist(), which.tolist(), strict=True):
-            for o in range(self.start[seed], self.start[seed + 1]):
-                hits.append((int(self.item[o]), at - int(self.place[o])))
-        for item, found in groupby(sorted(hits), itemgetter(0)):
-            words = self.words[item]
-            slack = len(words) // 3 + 2
-            need = THRESHOLD * MATCH * len(words)
-            best = None
-            for passage in passages(list(found), 2 * slack):
-                first = max(passage[0][1] - slack, 0)
-                window = h[first : passage[-1][1] + len(words) + slack]
-                # Each match uses up a word of the item, so this bounds the score.
-                around = set(window.tolist())
-                if MATCH * sum(w in around for w in words.tolist()) < need:
+def passages(h: np.ndarray, text_seeds: tuple, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of a text, as first and last place, that hold every alignment that counts.
+
+    The seeds of one alignment lie on diagonals that differ by no more than its edits.
+    """
+    n = len(words)
+    drift = MATCH * n - needed(n)
+    own, own_at = seeds(words)
+    order = np.argsort(own, kind="stable")
+    own, own_at = own[order], own_at[order]
+    hashes, at = text_seeds
+    low, high = np.searchsorted(own, hashes), np.searchsorted(own, hashes, "right")
+    many = high - low
+    total = int(many.sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+    place = own_at[np.repeat(low, many) + inside]
+    hits = np.unique(np.stack([np.repeat(at, many) - place, place], 1), axis=0)
+    diagonal = hits[:, 0]
+    upto = np.searchsorted(diagonal, diagonal + drift, "right")
+    dense = np.flatnonzero(upto - np.arange(len(diagonal)) >= least(n))
+    marks = np.zeros(len(diagonal) + 1, np.int64)
+    np.add.at(marks, dense, 1)
+    np.add.at(marks, upto[dense], -1)
+    diagonal = diagonal[np.cumsum(marks[:-1]) > 0]
+    if len(diagonal):
+        cuts = np.flatnonzero(np.diff(diagonal) > drift) + 1
+        for part in np.split(diagonal, cuts):
+            yield max(int(part[0]) - drift, 0), min(int(part[-1]) + drift + n, len(h))
+
+
+def align(h: np.ndarray, text_seeds: tuple, words: np.ndarray) -> tuple[float, int, int] | None:
+    """Share of the item's best score, first and last word of its best passage, if a leak."""
+    need, best = needed(len(words)), None
+    for first, last in passages(h, text_seeds, words):
+        window = h[first:last]
+        # Each match uses up a word of the item, so this bounds the score.
+        if MATCH * int(np.isin(words, window).sum()) < need:
+            continue
+        score, end = local_score(words, window)
+        if score >= need and (best is None or score > best[0]):
+            _, length = local_score(words[::-1], window[:end][::-1])
+            best = (score, first + end - length, first + end - 1)
+    return best and (best[0] / (MATCH * len(words)), best[1], best[2])
+
+
+def item_words(items: DataFrame, text: str = "text") -> DataFrame:
+    """(item, words): each different text of the items once, by its digest."""
+    out = pa.schema([("item", pa.string()), ("words", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            words = [hasher(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, out.field(1).type)], schema=out)
+
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return items.select(F.md5(whole).alias("item"), whole.alias("text")).distinct().mapInArrow(
+        run, "item string, words array<bigint>"
+    )
+
+
+def item_seeds(words: DataFrame) -> DataFrame:
+    """(item, place, seed, wanted, found): the seeds of each item with its ``places``."""
+    out = pa.schema(
+        [("item", pa.string()), ("place", pa.int64()), ("seed", pa.int64()), ("wanted", pa.int32()), ("found", pa.int32())]
+    )
+
+    def run(batches):
+        for batch in batches:
+            for item, listed in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if len(listed) < 2:
                     continue
-                score, end = local_score(words, window)
-                if score >= need and (best is None or score > best[0]):
-                    back, length = local_score(words[::-1], window[:end][::-1])
-                    best = (score, first + end - length, first + end - 1)
-            if best:
-                score, start, end = best
-                yield {
-                    "item_id": self.ids[item],
-                    "score": score / (MATCH * len(words)),
-                    "first_word": start,
-                    "last_word": end,
-                }
-
-
-def passages(hits: list[tuple[int, int]], gap: int) -> Iterator[list[tuple[int, int]]]:
-    """Cut hits of one item, by diagonal, where neighbours lie more than ``gap`` apart."""
-    start = 0
-    for k in range(1, len(hits) + 1):
-        if k == len(hits) or hits[k][1] - hits[k - 1][1] > gap:
-            yield hits[start:k]
-            start = k
-
-
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Seeds]:
-    """The test items in blocks of about ``BLOCK_WORDS`` words, by a hash of the item.
-
-    Items with fewer than three words have no seed and are never found; null texts
-    are such items.
+                s, at = seeds(np.array(listed, np.int64).view(np.uint64))
+                wanted, found = places(len(listed))
+                cells = [pa.array([item.as_py()] * len(s), pa.string()), at, s.view(np.int64)]
+                limits = [np.full(len(s), v, np.int32) for v in (wanted, found)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), *map(pa.array, limits)], schema=out)
+
+    return words.mapInArrow(run, "item string, place bigint, seed bigint, wanted int, found int")
+
+
+def seed_filter(owned: DataFrame) -> np.ndarray:
+    """Which low bits a seed of ``owned`` may have; the driver sees ``FILTER_BITS`` bits."""
+    bit = F.col("seed").bitwiseAND(FILTER_BITS - 1)
+    rows = (
+        owned.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(seed & {63} as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+        .collect()
+    )
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[[r.w for r in rows]] = [r.b for r in rows]
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def seed_scan(texts: DataFrame, maybe: np.ndarray, with_text: bool) -> DataFrame:
+    """Seeds of the texts that pass a filter, each once a text.
+
+    ``texts`` holds digest and text. Gives (digest, seed), or without ``with_text``
+    (seed, n): how many texts of a batch hold it.
     """
-    rows = items.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    count = max(1, -(-words // BLOCK_WORDS))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(count))
-    for b in range(count):
-        held = sorted(rows.where(part == b).collect(), key=lambda r: (str(r["id"]), r["text"]))
-        yield Seeds.of([r["id"] for r in held], [hasher(r["text"]) for r in held])
-
-
-def scan(docs: DataFrame, seeds: Seeds, text: str, kind: str) -> DataFrame:
-    """Add ``_found``: the findings of one block, with the items' own ids."""
-    names = docs.columns
-    at = names.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-    id_type = pa.int64() if kind == "bigint" else pa.string()
-    leak = pa.struct({"item_id": id_type, "score": pa.float64(), "first_word": pa.int32(), "last_word": pa.int32()})
+    shared = texts.sparkSession.sparkContext.broadcast(maybe)
 
     def run(batches):
-        block = shared.value
         for batch in batches:
-            found = []
-            for value in batch.column(at).to_pylist():
-                h = hasher(value)
-                places, which = block.in_text(h)
-                found.append(list(block.leaks(h, places, which)) if len(which) else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(leak))], [*names, "_found"])
+            held = []
+            for text in batch.column(1).to_pylist():
+                s, _ = seeds(hasher(text))
+                held.append(np.unique(s[shared.value[s & np.uint64(FILTER_BITS - 1)]]).view(np.int64))
+            flat = np.concatenate([*held, np.empty(0, np.int64)])
+            if with_text:
+                rows = np.repeat(np.arange(len(held)), [len(s) for s in held])
+                digest = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([digest, pa.array(flat)], ["digest", "seed"])
+            else:
+                seed, n = np.unique(flat, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(n.astype(np.int64))], ["seed", "n"])
+
+    return texts.mapInArrow(run, "digest string, seed bigint" if with_text else "seed bigint, n bigint")
+
+
+def rare_seeds(owned: DataFrame, texts: DataFrame) -> DataFrame:
+    """(seed, item, place, found) of the rarest ``wanted`` places of each item.
+
+    A place is as frequent as its two seeds together; ties go by the place.
+    """
+    counts = seed_scan(texts, seed_filter(owned), False).groupBy("seed").agg(F.sum("n").alias("n"))
+    counted = owned.join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = W.partitionBy("item", "place")
+    rarest = W.partitionBy("item").orderBy("_often", "place")
+    ranked = counted.withColumn("_often", F.sum("n").over(both)).withColumn("_rank", F.dense_rank().over(rarest))
+    return ranked.where(F.col("_rank") <= F.col("wanted")).select("seed", "item", "place", "found")
+
+
+def candidates(texts: DataFrame, rare: DataFrame) -> DataFrame:
+    """(digest, item) of texts that hold as many rare places of an item as a leak must."""
+    hits = seed_scan(texts, seed_filter(rare), True)
+    return (
+        hits.join(rare, "seed")
+        .groupBy("digest", "item", "found")
+        .agg(F.collect_set("place").alias("_places"))  # no more than the item has words
+        .where(F.size("_places") >= F.col("found"))
+        .select("digest", "item")
+    )
+
 
-    schema = f"_found array<struct<item_id:{kind},score:double,first_word:int,last_word:int>>"
-    return docs.mapInArrow(run, f"{fields_of(docs)}, {schema}")
+_FOUND = "digest string, item string, score double, first_word int, last_word int"
+
+
+def findings(docs: DataFrame, items: DataFrame, folder: str, text: str = "text") -> DataFrame:
+    """(digest, item, score, first_word, last_word): each leak of each different text.
+
+    The corpus is read three times whatever the number of items: seeds are counted, rare
+    ones are joined, and the texts that were found are fetched. ``folder`` keeps the
+    seeds, the candidates and the findings.
+    """
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(F.md5(whole).alias("digest"), whole.alias("text"))
+    words = written(item_words(items), f"{folder}/items")
+    rare = written(rare_seeds(item_seeds(words), texts), f"{folder}/seeds")
+    pairs = written(candidates(texts, rare), f"{folder}/candidates")
+    asked = pairs.join(words, "item").groupBy("digest").agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    held = texts.join(pairs.select("digest").distinct(), "digest", "left_semi")
+    once = held.groupBy("digest").agg(F.first("text").alias("text"))
+    out = pa.schema(
+        [("digest", pa.string()), ("item", pa.string()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())]
+    )
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):  # one text's items at a time
+                row = batch.slice(k, 1).to_pylist()[0]
+                h = hasher(row["text"])
+                own = seeds(h)
+                found = []
+                for item in row["items"]:
+                    best = align(h, own, np.array(item["words"], np.int64).view(np.uint64))
+                    if best:
+                        found.append((row["digest"], item["item"], *best))
+                if found:
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*found), out, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return written(once.join(asked, "digest").mapInArrow(run, _FOUND), f"{folder}/found")
+
+
+def named(found: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Findings with the id of each item of that text, repeated ids and all."""
+    kind = items.schema[key].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("item")
+    ids = items.select(digest, F.col(key).cast("bigint" if whole else "string").alias("item_id"))
+    return found.join(ids, "item").select("digest", "item_id", "score", "first_word", "last_word")
 
 
 def with_leaks(
@@ -182,36 +296,28 @@ def with_leaks(
 ) -> DataFrame:
     """Add the test items that occur in each text as an array named ``name``.
 
-    Each element has item_id, score (share of the item's best score, 0.5 to 1),
-    first_word and last_word of the passage (from 0, words are runs of letters and digits).
-    Item ids are whole numbers or text. Null and empty texts hold nothing; repeated
-    rows and repeated items are found each for itself; all other columns stay. No
-    text is shuffled: every document is scanned where it lies, once per block of
-    items. ``folder`` receives the rows between two blocks.
+    Each element has item_id, score (share of the item's best score), first_word and
+    last_word of the passage (from 0, words are runs of letters and digits). A passage is
+    a leak from a score of 0.5, or ``ENOUGH`` whatever the item's length; an item of two
+    words must be there whole, and one of fewer is never found. Item ids are whole
+    numbers or text. Null and empty texts hold nothing; repeated rows and repeated items
+    are found each for itself; all other columns stay, whatever their names, and only a
+    column called ``name`` is replaced.
     """
-    out = docs.drop(name)
-    kind, ids = typed(items, key)
-    for n, seeds in enumerate(blocks(ids, key)):
-        found = scan(written(out, f"{folder}/block-{n}") if n else out, seeds, text, kind)
-        column = F.concat(f"`{name}`", F.col("_found")) if n else F.col("_found")
-        out = found.withColumn(name, column).drop("_found")
-    return out
-
-
-def typed(items: DataFrame, key: str) -> tuple[str, DataFrame]:
-    """Items with a key of long or else text type, and which."""
-    whole = items.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    kind = "bigint" if whole else "string"
-    return kind, items.withColumn(key, F.col(key).cast(kind))
+    found = named(findings(docs, items, folder, text), items, key)
+    leak = F.struct("item_id", "score", "first_word", "last_word")
+    by_text = found.groupBy("digest").agg(F.array_sort(F.collect_list(leak)).alias("found"))
+    kept = [f"`{c.replace('`', '``')}`" for c in docs.columns if c != name]
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*kept).alias("row"), digest.alias("digest"))
+    none = F.array().cast(by_text.schema["found"].dataType)
+    joined = rows.join(by_text, "digest", "left")
+    return joined.select("row.*", F.coalesce("found", none).alias(name))
 
 
 def leaks(docs: DataFrame, items: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, score, first_word, last_word) of every leak of every row."""
-    rows = docs.select(key, text)
-    kind, ids = typed(items, "item_id")
-    parts = []
-    for n, seeds in enumerate(blocks(ids)):
-        # Only findings are kept, so the broadcast of one block at a time is needed.
-        found = scan(rows, seeds, text, kind).select(key, F.inline("_found"))
-        parts.append(written(found, f"{folder}/block-{n}"))
-    return reduce(DataFrame.union, parts)
+    found = named(findings(docs, items, folder, text), items, "item_id")
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.select(F.col(key), digest.alias("digest"))
+    return rows.join(found, "digest").select(key, "item_id", "score", "first_word", "last_word")

@@ -244,8 +244,7 @@ def test_leaks_of_one_edited_copy_alone(spark, folder, step, copies):
     assert decontaminate.with_leaks(df, items, folder()).where("size(leaks) = 1").count() == copies
 
 
-def test_leaks_over_blocks_of_items(spark, folder, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+def test_leaks_of_several_items(spark, folder):
     texts = {k: " ".join(f"w{k}x{j}" for j in range(8)) for k in range(6)}
     items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
     df = spark.createDataFrame([(0, " and ".join(texts.values())), (1, texts[3]), (2, "none of them")], "doc_id bigint, text string")
