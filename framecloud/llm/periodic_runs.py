@@ -162,6 +162,8 @@ def _runs_together(docs: Sequence[np.ndarray]) -> tuple[np.ndarray, ...]:
     # Only documents in which words agree somewhere on the grid need sorted suffixes.
     starts = np.cumsum(sizes + 1) - sizes - 1
     doc = np.searchsorted(starts, at, side="right") - 1
+    inside = at + period < starts[doc] + sizes[doc]  # no run goes on into the next document
+    at, period, doc = at[inside], period[inside], doc[inside]
     used = np.unique(doc)
     words = _joined([docs[k] for k in used])
     moved = np.cumsum(sizes[used] + 1) - sizes[used] - 1

@@ -115,6 +115,15 @@ def random_words(seed: int, count: int) -> list[list[str]]:
     return docs
 
 
+def test_words_shared_with_the_next_document_are_no_run():
+    """A document's last words stand again in the next one, a period of the grid on."""
+    for q in range(4, 11):
+        for i in range(q * (-(-(41 - q) // q)), 37, q):
+            first, second = list(range(40)), list(range(40, 80))
+            second[i + q - 41 : i + q - 37] = first[i : i + 4]
+            assert [r.tolist() for r in periodic_runs.runs_of([first, second])] == [[], []]
+
+
 @pytest.mark.parametrize("together", [50, 300_000])
 def test_runs_equal_loops(monkeypatch, together):
     monkeypatch.setattr(periodic_runs, "TOGETHER", together)
