@@ -156,11 +156,13 @@ def clamp(spark, sf_dir):
 
 @query(
     "device_depth",
-    f"""with {DISP}, c as (select *, greatest(d, 0.0::float) as dc from disp)
+    f"""with {DISP}, c as (select *, case when isnan(d) then 0.0::float else greatest(d, 0.0::float) end as dc
+      from disp)
     select camera, frame_id, i, case when u - dc < 0 then 0.0::float
       when dc = 0 then 'inf'::float else 5.0::float / dc end as depth_m from c""",
 )
 def device_depth(spark, sf_dir):
+    """Depth as the device kernels give it: NaN is clamped to the bound, so its depth is infinite."""
     px = pixels(spark, sf_dir).withColumn("d", clamp_min(F.col("disparity"), 0.0))
     return px.select(*KEYS, "i", plain_depth(F.col("d"), F.col("u"), F.lit(FX_BASELINE)).alias("depth_m"))
 
