@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from framecloud.catalog import views
 from framecloud.catalog.registry import query
-from framecloud.functions.checkpoints import checkpoint_dir
+from framecloud.functions.checkpoints import checkpoint_dir, cut
+from framecloud.functions.files import write_files
 from framecloud.operators import checks as ck
 from framecloud.sources.artifacts import hash_files
 from framecloud.sources.calibration import apply_calibration
@@ -331,14 +332,15 @@ def contract_files(spark, sf_dir):
     }
     base = f"{checkpoint_dir(spark)}/contracts-{uuid.uuid4().hex}"
     for name, value in texts.items():
-        rows = supplier.select("s_suppkey", value.alias("value")).repartition("s_suppkey")
-        rows.write.partitionBy("s_suppkey").text(f"{base}/{name}")
-    key = F.regexp_extract("path", r"s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+        rows = supplier.select(F.concat("s_suppkey", F.lit(".json")).alias("name"), value.alias("value"))
+        write_files(rows, f"{base}/{name}", "name", "value")
+    key = F.regexp_extract("path", r"/([0-9]+)\.json$", 1).cast("bigint").alias("s_suppkey")
     asked = supplier.withColumns({**settings, "valid_iters": F.lit(8), "input_names": manifest["input_names"]})
+    # The report compares each side several times; the files are opened once.
     return contract_report(
         configured(asked, ["s_suppkey"]),
-        read_contracts(spark, f"{base}/manifests").select(key, "contract"),
-        read_engine_configs(spark, f"{base}/configs").select(key, "contract"),
+        cut(read_contracts(spark, f"{base}/manifests").select(key, "contract")),
+        cut(read_engine_configs(spark, f"{base}/configs").select(key, "contract")),
         ["s_suppkey"],
     )
 

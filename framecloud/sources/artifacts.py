@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framecloud.functions.files import filesystem
+
 STREAMED_FROM = 256 * 1024 * 1024
 BLOCK = 8 * 1024 * 1024
 _RECORD = "struct<path:string,name:string,sha256:string,size:bigint>"
@@ -42,14 +44,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _digest(path: str) -> str:
-    from pyarrow import fs
-
-    # Spark names local files file:/a/b or file:///a/b.
-    local = path.removeprefix("file:") if path.startswith("file:") else None
-    if local is not None:
-        system, inner = fs.LocalFileSystem(), "/" + local.lstrip("/")
-    else:
-        system, inner = fs.FileSystem.from_uri(path)
+    system, inner = filesystem(path)
     found = hashlib.sha256()
     with system.open_input_stream(inner) as stream:
         while block := stream.read(BLOCK):

@@ -8,6 +8,8 @@ import pytest
 from helpers import cloud, frame, key_table
 from pyspark.sql import functions as F
 
+from framecloud.catalog import QUERIES
+from framecloud.functions.files import write_files
 from framecloud.operators import checks as ck
 from framecloud.schema import KEYS
 from framecloud.sinks import writers as out
@@ -185,3 +187,30 @@ def test_metadata_rasters_and_training_set(spark, tmp_path):
 def test_metadata_keeps_null_fields(spark, tmp_path):
     out.write_metadata(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "meta"))
     assert [r.value for r in spark.read.text(str(tmp_path / "meta")).collect()] == ['{"a":null,"b":1}']
+
+
+def test_each_row_gets_a_file_of_its_own(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"text {k} é\n") for k in range(500)], "k bigint, v string")
+    for _ in range(2):  # a repeated attempt leaves the same files
+        write_files(rows, f"file:{tmp_path}/out", "k", "v", folders=7)
+    found = spark.read.text(f"{tmp_path}/out", wholetext=True).selectExpr("value", "_metadata.file_path as path")
+    assert {(r.path.rpartition("/")[2], r.value) for r in found.collect()} == {
+        (str(k), f"text {k} é\n\n") for k in range(500)
+    }
+    assert found.count() == 500 and len(list((tmp_path / "out").iterdir())) <= 7
+    write_files(rows.where("false"), f"{tmp_path}/none", "k", "v")
+    assert spark.read.text(f"{tmp_path}/none", wholetext=True).count() == 0
+
+
+@pytest.mark.parametrize("name", ["contract_files", "artifact_files"])
+def test_many_files_lie_in_few_folders_and_contracts_are_read_once(spark, tiny, tmp_path, monkeypatch, name):
+    monkeypatch.setattr("framecloud.catalog.checks.checkpoint_dir", lambda _: str(tmp_path))
+    suppliers = spark.read.parquet(f"{tiny}/supplier.parquet")
+    many = suppliers.crossJoin(spark.range(20)).withColumn("s_suppkey", F.expr("s_suppkey + id * 1000000")).drop("id")
+    many.coalesce(1).write.parquet(str(tmp_path / "sf" / "supplier.parquet"))
+    df = QUERIES[name](spark, str(tmp_path / "sf"))
+    assert df.count() > 0
+    folders = [p for base in tmp_path.glob(f"{name.split('_')[0]}*-*") for p in base.rglob("*") if p.is_dir()]
+    assert 0 < len(folders) <= 2 * 64 + 2
+    if name == "contract_files":
+        assert "FileScan text" not in df._jdf.queryExecution().toString()
