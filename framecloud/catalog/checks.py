@@ -353,12 +353,11 @@ def artifact_files(spark, sf_dir):
     """Names of suppliers as artifact files: hashed where they lie, half of the sizes in blocks."""
     base = f"{checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}"
     names = views.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
-    names.repartition("s_suppkey").write.partitionBy("s_suppkey").text(base)
-    key = F.regexp_extract("path", r"s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+    write_files(names, base, "s_suppkey", "value")
+    key = F.regexp_extract("path", r"/([0-9]+)$", 1).cast("bigint").alias("s_suppkey")
     # Names are of much the same length: a limit of their median makes both readers work.
     middle = names.select(F.percentile_approx(F.length("value") + 1, 0.5)).first()[0] or 0
-    files = hash_files(spark, base, streamed_from=middle - 1).where("path like '%/part-%'")
-    return files.select(key, "sha256", "size")
+    return hash_files(spark, base, streamed_from=middle - 1).select(key, "sha256", "size")
 
 
 @query(
