@@ -136,3 +136,13 @@ def test_very_long_text(spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(vocabulary))], "item_id bigint, text string")
     row = dc.leaks(docs, items.where("item_id = 1"), new_folder(spark, "long")).collect()
     assert [(r.item_id, r.score, r.first_word, r.last_word) for r in row] == [(1, 1.0, 150_000, 150_029)]
+
+
+def test_only_texts_asked_for_are_moved(spark):
+    """The filter keeps every text asked for and nearly no other."""
+    texts = spark.range(20000).selectExpr("md5(cast(id as string)) as digest", "cast(id as string) as text")
+    asked = texts.where("cast(text as int) % 100 = 0").selectExpr("digest", "'item' as item")
+    kept = {int(r.text) for r in dc.maybe_in(texts, asked).select("text").collect()}
+    assert set(range(0, 20000, 100)) <= kept and len(kept) < 220
+    assert dc.maybe_in(texts, asked).columns == texts.columns
+    assert dc.maybe_in(texts, asked.where("false")).count() == 0
