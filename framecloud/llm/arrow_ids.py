@@ -10,13 +10,15 @@ second file beside it holds where each document lies.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,79 +27,102 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from framecloud.llm.bpe import byte_alphabet, segments
-from framecloud.llm.fragments import FragmentEncoder
+from framecloud.llm.fragments import FragmentEncoder, gather
 from framecloud.llm.storage import attempt_name, filesystem, open_input, open_output, written
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 512
-#: A byte that UTF-8 never uses stands for the end of a word.
-WORD_END = b"\xff"
+#: Characters of whole texts whose different words are found and encoded together.
+CHUNK_CHARS = 8_000_000
+#: No piece holds white space, so a space can stand for the end of one.
+PIECE_END = b" "
+#: After the pieces of every word.
+WORD_END = "\n "
+#: Fixed value: the white space of Latin-1 that can stand inside a word.
+INNER_SPACE = r"[\t\x0b\x0c\r\x{85}\x{a0}]"
 #: Fixed value: the pattern of this tokenizer that splits a word before the merges.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+"
 MANIFEST = "part int, ids_path string, docs_path string, n_docs bigint, n_tokens bigint"
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words between spaces and line ends, ASCII letters lowered where that changes nothing.
+def word_merges(tokenizer: Tokenizer) -> tiktoken.Encoding:
+    """The tokenizer's merges as byte ranks, for pieces that each end in a space.
 
-    The tokenizer lowers case itself, but composes combining marks and recognises
-    its special tokens first, so texts with either stay as they are.
+    Ids are the order of the merges, and a byte with the end of its piece comes before
+    all of them, so the lowest rank first gives the same ids. The end of a word is an id
+    of its own, above all others.
     """
-    raw = text.encode()
-    if b"<|" not in raw:
-        try:
-            text.encode("latin-1")
-            raw = raw.lower()
-        except UnicodeEncodeError:
-            pass
-    return [w for w in raw.replace(b"\n", b" ").split(b" ") if w]
+    alphabet, added, vocab = byte_alphabet(), tokenizer.get_added_tokens_decoder(), tokenizer.get_vocab()
+    ranks = {}
+    for name, i in vocab.items():
+        if i not in added:
+            stem = name.removesuffix("</w>") if len(name) > 4 else name
+            ranks[bytes(alphabet[c] for c in stem) + (PIECE_END if stem != name else b"")] = i
+    ranks[WORD_END.encode()] = max(vocab.values()) + 1
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
 
-def word_merges(tokenizer: Tokenizer):
-    """The tokenizer's merges as byte ranks, the end of a word being one byte more.
+class WordEncoder(FragmentEncoder):
+    """Encoder of a tokenizer that drops white space, by the different words of a chunk.
 
-    Ids are the order of the merges, and a byte with the end of its word comes before
-    all of them, so the lowest rank first gives the same ids.
+    Arrow splits the texts, finds their different words and cuts those into pieces; one
+    call of the merge table takes them all. No word is kept beyond its chunk.
     """
-    alphabet, added = byte_alphabet(), tokenizer.get_added_tokens_decoder()
-    ranks = {}
-    for name, i in tokenizer.get_vocab().items():
-        if i not in added:
-            stem = name.removesuffix("</w>") if len(name) > 4 else name
-            ranks[bytes(alphabet[c] for c in stem) + (WORD_END if stem != name else b"")] = i
-    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def __init__(self, path: str, chunk: int = CHUNK_CHARS) -> None:
+        super().__init__(self._words, self._word_ids, segments, chunk=chunk)
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self._merges = word_merges(self._tokenizer)
+        self._word_end = self._merges.max_token_value
+        special = "|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())
+        #: Not for the merge table: wider characters, and special tokens in any case.
+        self._odd = r"[^\x{00}-\x{ff}]" + (f"|(?i:{special})" if special else "")
+
+    def _words(self, texts: list[str]) -> pa.ListArray:
+        """Words between spaces and line ends, ASCII letters lowered where that changes nothing.
+
+        The tokenizer lowers case itself, but composes combining marks and recognises
+        its special tokens first, so texts with either stay as they are.
+        """
+        lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
+        odd = pc.match_substring_regex(lines, self._odd)
+        return pc.split_pattern(pc.if_else(odd, lines, pc.ascii_lower(lines)), " ")
+
+    def _word_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and where in it those of each word start and how many they are."""
+        odd = pc.match_substring_regex(words, self._odd)
+        plain = pc.replace_substring_regex(pc.utf8_lower(words.filter(pc.invert(odd))), INNER_SPACE, " ")
+        pieces = pc.replace_substring_regex(plain, PIECES, r"\0 ")
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), WORD_END)[0].as_py()
+        ids = self._merges.encode_to_numpy(joined + WORD_END if len(pieces) else "", disallowed_special=())
+        ends = np.flatnonzero(ids == self._word_end)
+        sizes = np.diff(ends, prepend=-1) - 1
+        others = [e.ids for e in self._tokenizer.encode_batch_fast(words.filter(odd).to_pylist(), add_special_tokens=False)]
+        other_sizes = np.fromiter(map(len, others), np.int64, len(others))
+        other_ids = np.fromiter(chain.from_iterable(others), np.int32, int(other_sizes.sum()))
+        start, length = np.empty((2, len(words)), np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        start[~is_odd], length[~is_odd] = ends - sizes, sizes
+        start[is_odd], length[is_odd] = len(ids) + np.cumsum(other_sizes) - other_sizes, other_sizes
+        return np.concatenate([ids.astype(np.int32), other_ids]), start, length
+
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        words = self._split(texts)
+        different = words.flatten().dictionary_encode()
+        flat, start, length = self._encode(different.dictionary)
+        at = different.indices.to_numpy()
+        ids = gather(flat, start[at], length[at])
+        upto = np.concatenate([[0], np.cumsum(length[at])])[words.offsets.to_numpy()]
+        for first, end in zip(upto[:-1], upto[1:], strict=True):
+            yield ids[first:end]
 
 
 @lru_cache(2)
-def word_encoder(path: str) -> FragmentEncoder:
-    """Encoder of a tokenizer that drops white space, by words, kept by each worker."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    merges = word_merges(tokenizer)
-    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def pieces(word: bytes) -> list[int] | None:
-        """Ids of a word the merge table can take as it is; None for any other."""
-        if any(x in word for x in special):
-            return None
-        try:
-            text = word.decode().encode("latin-1").decode("latin-1").lower()
-        except UnicodeEncodeError:
-            return None
-        found: list[int] = []
-        for piece in PIECES.findall(text):
-            found += merges.encode_single_piece(piece.encode() + WORD_END)
-        return found
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        ids = [pieces(w) for w in words]
-        others = [w.decode() for w, found in zip(words, ids, strict=True) if found is None]
-        rest = iter(tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        return [next(rest).ids if found is None else found for found in ids]
-
-    return FragmentEncoder(split_words, encode, segments)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of one tokenizer file, kept by each worker process."""
+    return WordEncoder(path)
 
 
 def id_type(path: str) -> np.dtype:

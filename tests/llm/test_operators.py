@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from datetime import UTC, datetime
 
@@ -103,6 +104,26 @@ def test_encoders_equal_the_library():
     assert [sum(i) for i in small(texts)] == [len(t.encode()) for t in texts]
 
 
+def test_words_are_encoded_together():
+    texts = [f"Word{i:x}é.{i}" for i in range(20_000)] + ["日本 <|ENDOFTEXT|> x<|endoftext|>y", "É\xa0x\x85'S\x0b½"]
+    encoder, calls = arrow_ids.word_encoder(WORD), []
+    encoder([""])
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        ids = list(encoder([" ".join(texts)]))
+    finally:
+        sys.setprofile(None)
+    assert ids[0].tolist() == Tokenizer.from_file(WORD).encode(" ".join(texts), add_special_tokens=False).ids
+    assert len(calls) < len(texts) / 10
+
+
+def test_words_in_any_chunks_equal_the_library():
+    texts = [f"a{chr(c)}B' {chr(c)}'S.{chr(c)}1" for c in range(256)] + [TEXTS[5], "word. " * 100, LONG, "", " "]
+    want = [t.ids for t in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    for chunk in (1, 50, 10_000_000):
+        assert [i.tolist() for i in arrow_ids.WordEncoder(WORD, chunk)(texts)] == want
+
+
 def test_bpe_columns(odd, none):
     rows = bpe.decode(bpe.encode(odd, BYTE, intact="ok"), BYTE).collect()
     assert all(r.ok and r.decoded == (r.text or "") for r in rows) and len(rows) == odd.count()
