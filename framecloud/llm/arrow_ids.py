@@ -267,11 +267,11 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before, over all files; the checksum
     is of the ids as little-endian unsigned 32-bit integers. Each task maps the
-    files of its manifest rows. The window runs over one row per file.
+    files of one manifest row. The window runs over one row per file.
     """
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    files = based.select("ids_path", "docs_path", "base").repartition("ids_path")
+    files = based.select("ids_path", "docs_path", "base").repartition(max(1, manifest.count()))
 
     def run(batches):
         for batch in batches:

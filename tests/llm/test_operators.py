@@ -145,6 +145,13 @@ def test_arrow_ids_read_back(odd, none, folder):
     assert arrow_ids.read_documents(arrow_ids.write_sequences(none, folder(), WORD, 2)).count() == 0
 
 
+def test_each_file_of_ids_is_read_in_a_task_of_its_own(spark, folder):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    manifest = arrow_ids.write_sequences(docs, folder(), WORD, 2, partitions=3)
+    tasks = arrow_ids.read_documents(manifest).groupBy(F.spark_partition_id()).count()
+    assert manifest.count() == tasks.count() == 3
+
+
 @pytest.mark.parametrize("kind, values", [("float", 2_000_000), ("double", 40)])
 def test_nearest_finds_all_of_few(spark, folder, monkeypatch, kind, values):
     monkeypatch.setattr(rp_forest, "GROUP_VALUES", values)
