@@ -11,19 +11,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructType
 
 from framecloud.llm.storage import written
 
 #: Rows and columns of a block; a block of doubles has some 0.5 MB at 64 columns.
 BLOCK_ROWS, BLOCK_COLUMNS = 1024, 1024
+#: A block and its place among the blocks.
+BLOCK = StructType().add("place", StructType().add("row", LongType()).add("column", LongType())).add("block", MatrixUDT())
 #: Entries are multiples of 1/64 above an offset that keeps them positive.
 STEPS, OFFSET = 64, 1_000_000
 #: Variances at or below this share of the largest count as none.
@@ -79,11 +83,35 @@ def _centred(n: int, sums: list[int]) -> Column:
     return F.zip_with("_x", totals, lambda x, s: F.lit(n) * x - s)
 
 
+def as_matrix(blocks: DataFrame, block_rows: int, block_columns: int, rows: int, columns: int) -> BlockMatrix:
+    """A table of ``BLOCK`` rows as a matrix, without a way through Python's rows."""
+    matrix = callMLlibFunc("createBlockMatrix", blocks, block_rows, block_columns, rows, columns)
+    return BlockMatrix(matrix, block_rows, block_columns)
+
+
 def block_matrix(rows: DataFrame, vector: Column, length: int, columns: int) -> BlockMatrix:
-    """Rows at their number ``_at`` in blocks; numbers that are not there give rows of zeros."""
-    named = rows.select(F.col("_at").alias("index"), array_to_vector(vector).alias("vector"))
-    indexed = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(named, "vector"), length, columns)
-    return indexed.toBlockMatrix(BLOCK_ROWS, BLOCK_COLUMNS)
+    """Rows at their number ``_at`` in blocks; numbers that are not there give rows of zeros.
+
+    The rows of a block are laid out at once: ``IndexedRowMatrix.toBlockMatrix`` shuffles each
+    entry as an object of its own, in as many tasks as the square root of its partitions.
+    """
+    height, width, schema = BLOCK_ROWS, BLOCK_COLUMNS, to_arrow_schema(BLOCK)
+
+    def lay(group: pa.Table) -> pa.Table:
+        row, inside = np.divmod(group.column("at").to_numpy(), height)
+        k = int(row[0])
+        dense = np.zeros((min(height, length - k * height), columns))
+        dense[inside] = group.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, columns)
+        blocks = []
+        for column, start in enumerate(range(0, columns, width)):
+            part = dense[:, start : start + width]
+            matrix = {"type": 1, "numRows": part.shape[0], "numCols": part.shape[1], "values": part.ravel(), "isTransposed": True}
+            blocks.append({"place": {"row": k, "column": column}, "block": matrix})
+        return pa.Table.from_pylist(blocks, schema)
+
+    numbered = rows.select(F.col("_at").alias("at"), vector.alias("vector"))
+    blocks = numbered.groupBy(F.expr(f"at div {height}")).applyInArrow(lay, BLOCK)
+    return as_matrix(blocks, height, width, length, columns)
 
 
 def scatter(matrix: BlockMatrix, splits: int) -> np.ndarray:
@@ -105,8 +133,7 @@ def projected(spark: SparkSession, matrix: BlockMatrix, whitening: np.ndarray) -
         for k in range(0, height, BLOCK_COLUMNS)
         for part in [whitening[k : k + BLOCK_COLUMNS]]
     ]
-    blocks = spark.sparkContext.parallelize(small, len(small))
-    return matrix.multiply(BlockMatrix(blocks, BLOCK_COLUMNS, width, height, width))
+    return matrix.multiply(as_matrix(spark.createDataFrame(small, BLOCK), BLOCK_COLUMNS, width, height, width))
 
 
 def matrix_rows(matrix: BlockMatrix, name: str) -> DataFrame:
@@ -174,8 +201,8 @@ def whiten(df: DataFrame, folder: str, vector: str = "embedding", components: in
         return rows.select(*names, *empty)
     found = fit(rows, total, dims, components, folder)
     n, sums = found.n, found.sums
-    wide = lambda total, v: total + v.cast("decimal(19,0)") * v.cast("decimal(19,0)")
-    square = F.reduce(_centred(n, sums), F.lit(0).cast("decimal(38,0)"), lambda t, v: wide(t, v).cast("decimal(38,0)"))
+    # Squares only add up, so the sum is beyond a long once a step is.
+    square = F.reduce(_centred(n, sums), F.lit(0).cast("bigint"), lambda t, v: F.try_add(t, F.try_multiply(v, v)))
     centred = F.transform(_centred(n, sums), lambda v: v.cast("double") / F.lit(float(n)))
     values = matrix_rows(projected(df.sparkSession, block_matrix(rows, centred, total, dims), found.matrix), "_white")
     flat = F.array(*[F.lit(bool(f)) for f in found.flat])
@@ -184,7 +211,7 @@ def whiten(df: DataFrame, folder: str, vector: str = "embedding", components: in
         .withColumns(
             {
                 "n": F.lit(n).cast("bigint"),
-                "deviation": square.try_cast("bigint"),
+                "deviation": square,
                 "whitened": F.zip_with("_white", flat, lambda v, f: F.when(~f, v)),
                 "explained": F.array(*[F.lit(float(e)) for e in found.explained]),
                 "identity_error": F.lit(found.identity_error).cast("double"),

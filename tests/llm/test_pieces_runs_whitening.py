@@ -213,6 +213,21 @@ def test_whitening_equals_numpy(spark, monkeypatch):
     assert by_id[0].identity_error < 1e-9
 
 
+def test_blocks_of_rows_are_moved_as_rows(spark, monkeypatch):
+    """One shuffle of rows, no object for each entry; gaps give zeros, the last blocks are smaller."""
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(whitening, "BLOCK_COLUMNS", 3)
+    want = np.zeros((14, 7))
+    want[[0, 1, 5, 12, 13]] = np.random.default_rng(3).normal(size=(5, 7))
+    rows = spark.createDataFrame([(int(k), want[k].tolist()) for k in (13, 0, 12, 5, 1)], "_at bigint, v array<double>")
+    matrix = whitening.block_matrix(rows.repartition(3), F.col("v"), 14, 7)
+    assert np.array_equal(matrix.toLocalMatrix().toArray(), want)
+    lineage = matrix._java_matrix_wrapper.call("blocks").toDebugString().decode()
+    assert "ShuffledRDD" not in lineage and "ShuffledRowRDD" in lineage
+    product = whitening.projected(spark, matrix, np.arange(14.0).reshape(7, 2))
+    assert np.allclose(product.toLocalMatrix().toArray(), want @ np.arange(14.0).reshape(7, 2))
+
+
 def test_whitening_of_flat_short_and_missing_vectors(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     white = lambda rows: whitening.whiten(make(rows), new_folder(spark, "white")).orderBy("vec_id").collect()
