@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from framecloud.functions.joins import checked_broadcast
 from framecloud.functions.order import first_k
 from framecloud.llm.storage import written
 
@@ -30,6 +32,8 @@ LEAF_ROWS, LEAF_SAMPLE = 256, 8
 PROBES, PROBE_RECALL = 64, 0.96
 #: Components of the vectors that one task ranks at a time, about.
 GROUP_VALUES = 2_000_000
+#: Points whose distances from all planes are held at a time.
+MARGIN_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -98,28 +102,41 @@ class Forest:
             out[:, t] = -node - 1
         return out
 
-    def walk(self, point: np.ndarray) -> Iterator[int]:
-        """Leaves of all trees, those the point lies farthest inside first."""
-        planes = (self.planes @ point - self.cuts).tolist()
-        below = self.below.tolist()
+    def margins(self, points: np.ndarray) -> Iterator[np.ndarray]:
+        """How far each point lies beyond each plane, some points at a time."""
+        for start in range(0, len(points), MARGIN_ROWS):
+            beyond = points[start : start + MARGIN_ROWS] @ self.planes.T
+            beyond -= self.cuts
+            yield from beyond
+
+    @cached_property
+    def children(self) -> list[list[int]]:
+        return self.below.tolist()
+
+    def walk(self, margins: np.ndarray) -> Iterator[int]:
+        """Leaves of all trees, those the point of these margins lies farthest inside first."""
+        children, margin_of, push, pop = self.children, margins.item, heapq.heappush, heapq.heappop
         queue = [(-np.inf, int(r)) for r in self.roots]
         heapq.heapify(queue)
         while queue:
-            outside, node = heapq.heappop(queue)
+            outside, node = pop(queue)
             while node >= 0:
-                margin = planes[node]
-                left, right = below[node]
-                near, far = (right, left) if margin >= 0 else (left, right)
-                heapq.heappush(queue, (max(outside, abs(margin)), far))
-                node, outside = near, max(outside, -abs(margin))
+                margin = margin_of(node)
+                left, right = children[node]
+                if margin >= 0:
+                    push(queue, (margin if margin > outside else outside, left))
+                    node = right
+                else:
+                    push(queue, (-margin if -margin > outside else outside, right))
+                    node = left
             yield -node - 1
 
-    def search(self, point: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
+    def search(self, margins: np.ndarray, sizes: list[int], enough: int) -> list[int]:
         """Leaves, best first, until they hold ``enough`` vectors together."""
         found, held = [], 0
-        for leaf in self.walk(point):
+        for leaf in self.walk(margins):
             found.append(leaf)
-            held += int(sizes[leaf])
+            held += sizes[leaf]
             if held >= enough:
                 break
         return found
@@ -145,6 +162,35 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
+def nearest_rows(asking: np.ndarray, visits: pa.Array, stored: np.ndarray, leaf: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and places of the ``keep`` nearest ``stored`` rows of the leaves each asking row visits.
+
+    ``stored`` lies by ``leaf`` and holds no vector twice. Each leaf is compared with all that
+    visit it at once. Where fewer rows are visited, places are -1.
+    """
+    visitors = np.repeat(np.arange(len(asking)), visits.value_lengths().to_numpy())
+    visited = visits.flatten().to_numpy()
+    by_leaf = np.argsort(visited, kind="stable")
+    visitors, visited = visitors[by_leaf], visited[by_leaf]
+    scores = np.full((len(asking), keep), -np.inf)
+    places = np.full((len(asking), keep), -1)
+    for here, first, size in zip(*np.unique(leaf, return_index=True, return_counts=True), strict=True):
+        present = visitors[np.searchsorted(visited, here, "left") : np.searchsorted(visited, here, "right")]
+        step = max(1, GROUP_VALUES // size)
+        for start in range(0, len(present), step):
+            rows = present[start : start + step]
+            near = asking[rows] @ stored[first : first + size].T
+            left = np.arange(len(rows))
+            # The largest takes the place of the worst kept, until no row has a larger one.
+            while len(left):
+                best, worst = near[left].argmax(1), scores[rows[left]].argmin(1)
+                better = near[left, best] > scores[rows[left], worst]
+                left, best, worst = left[better], best[better], worst[better]
+                scores[rows[left], worst], places[rows[left], worst] = near[left, best], first + best
+                near[left, best] = -np.inf
+    return scores, places
+
+
 def enough_for(forest: Forest, held: np.ndarray, points: DataFrame, placed: DataFrame, asked: DataFrame, k: int) -> int:
     """Vectors to look at for ``PROBE_RECALL``, measured on ``PROBES`` queries.
 
@@ -173,9 +219,9 @@ def enough_for(forest: Forest, held: np.ndarray, points: DataFrame, placed: Data
     for r in found.join(placed, "node").select("query", "leaves").collect():
         wanted.setdefault(r["query"], []).append(set(r["leaves"]))
     looked = []
-    for node, point in zip(nodes.tolist(), asking, strict=True):
+    for node, margins in zip(nodes.tolist(), forest.margins(asking), strict=True):
         missing, seen = wanted.get(node, []), 0
-        for leaf in forest.walk(point):
+        for leaf in forest.walk(margins):
             if not missing:
                 break
             seen += int(held[leaf])
@@ -212,11 +258,19 @@ def nearest(
     )
     sizes = rows.agg(F.max(F.size("v"))).first()[0] or 0
     rows = rows.where(F.size("v") == sizes).withColumn("h", F.xxhash64("v"))
-    ids = first_k(rows.select("h", "v", "id").distinct(), ["h", "v"], ["id"], k + 1, "_r", spread=True)
-    points = ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # Most vectors stand in one row, which is a point as it is; only the others are ranked by id.
+    often = checked_broadcast(written(rows.groupBy("h").count().where("count > 1").select("h"), f"{folder}/often"))
+    alone = rows.join(often, "h", "left_anti").select("h", "v", F.array("id").alias("ids"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    shared = rows.join(often, "h", "left_semi")
+    ids = first_k(shared.select("h", "v", "id").distinct(), ["h", "v"], ["id"], k + 1, "_r", spread=True)
+    ids = ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    points = alone.unionByName(ids.withColumn("asks", F.lit(None).cast("boolean")))
     points = written(points.withColumn("node", F.monotonically_increasing_id()), f"{folder}/points")
-    asked = rows.where("asks").select("h", "v", F.col("id").alias("query_id")).distinct()
-    asked = written(asked.join(points.select("h", "v", "node"), ["h", "v"]).select("query_id", "node"), f"{folder}/asked")
+    of_shared = shared.where("asks").select("h", "v", F.col("id").alias("query_id")).distinct()
+    of_shared = of_shared.join(points.where("asks is null").select("h", "v", "node"), ["h", "v"]).select("query_id", "node")
+    asked = points.where("asks").select(F.col("ids")[0].alias("query_id"), "node").unionByName(of_shared)
+    asked = written(asked, f"{folder}/asked")
+    asking_nodes = checked_broadcast(asked.select("node").distinct())
     total = points.count()
     if total == 0:
         return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias(key), F.lit(0.0).alias("score"))
@@ -238,18 +292,20 @@ def nearest(
     for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
         held[r["leaf"]] = r["count"]
     if search is None:
-        search = enough_for(forest, held, points, placed, asked.select("node").distinct(), k)
+        search = enough_for(forest, held, points, placed, asking_nodes, k)
     # Leaves that follow each other lie close together, so a query visits few groups of them.
+    # No group has leaves of two trees, so it holds each vector once.
     room = max(1, GROUP_VALUES // sizes)
-    group_of = (np.cumsum(held) - held) // room
+    tree, inside = np.divmod(np.cumsum(held) - held, total)
+    group_of = tree * -(-total // room) + inside // room
     parts = np.ceil(np.bincount(group_of, held) / (2 * room)).astype(int).clip(1).tolist()
-    kind = vectors.schema[vector].dataType.simpleString()
+    kind, counts = vectors.schema[vector].dataType.simpleString(), held.tolist()
 
     def look(batches):
         for batch in batches:
             rows, groups, leaves = [], [], []
-            for row, point in enumerate(unit_rows(batch.column(1))):
-                found = np.sort(np.array(model.value.search(point, held, search)))
+            for row, margins in enumerate(model.value.margins(unit_rows(batch.column(1)))):
+                found = np.sort(np.array(model.value.search(margins, counts, search)))
                 of = group_of[found]
                 for some in np.split(found, np.flatnonzero(np.diff(of)) + 1):
                     rows.append(row)
@@ -263,7 +319,7 @@ def nearest(
     grouped = vectors.sparkSession.createDataFrame(
         [(leaf, g, parts[g]) for leaf, g in enumerate(group_of.tolist())], "leaf bigint, group bigint, parts int"
     )
-    seekers = points.select("node", "v").join(asked.select("node").distinct(), "node").select("node", "v")
+    seekers = points.select("node", "v").join(asking_nodes, "node").select("node", "v")
     visits = seekers.mapInArrow(look, f"node bigint, v {kind}, group bigint, leaves array<bigint>")
     of_group = grouped.select("group", "parts").distinct()
     visits = visits.join(F.broadcast(of_group), "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -272,33 +328,30 @@ def nearest(
     stored = stored.join(F.broadcast(grouped), "leaf")
     stored = stored.select("node", "v", "leaf", "group", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"))
     keep = k + 1
+    found = pa.schema({"query": pa.int64(), "node": pa.int64(), "near": pa.float64()})
 
     def rank(seeking: pa.Table, holding: pa.Table) -> pa.Table:
-        """The nearest of the leaves each query visits in this group, each vector once."""
-        out = [[], [], []]
-        if seeking.num_rows and holding.num_rows:
-            holding = holding.sort_by("leaf")
-            leaf, node = holding.column("leaf").to_numpy(), holding.column("node").to_numpy()
-            held_rows = unit_rows(holding.column("v").combine_chunks())
-            asking = unit_rows(seeking.column("v").combine_chunks())
-            for q, point, leaves in zip(seeking.column("node").to_pylist(), asking, seeking.column("leaves").to_pylist(), strict=True):
-                start, end = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
-                at = np.concatenate([np.arange(x, y) for x, y in zip(start, end, strict=True)])
-                at = at[np.unique(node[at], return_index=True)[1]]
-                near = held_rows[at] @ point
-                best = np.argpartition(-near, keep - 1)[:keep] if len(at) > keep else np.arange(len(at))
-                out[0] += [q] * len(best)
-                out[1] += node[at[best]].tolist()
-                out[2] += near[best].tolist()
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query", "node", "near"])
+        """The nearest of the leaves each query visits in this group."""
+        if not seeking.num_rows or not holding.num_rows:
+            return found.empty_table()
+        holding = holding.sort_by("leaf")
+        scores, places = nearest_rows(
+            unit_rows(seeking.column("v").combine_chunks()),
+            seeking.column("leaves").combine_chunks(),
+            unit_rows(holding.column("v").combine_chunks()),
+            holding.column("leaf").to_numpy(),
+            keep,
+        )
+        row, nth = np.nonzero(places >= 0)
+        columns = seeking.column("node").to_numpy()[row], holding.column("node").to_numpy()[places[row, nth]], scores[row, nth]
+        return pa.table([pa.array(c) for c in columns], schema=found)
 
     by = ["group", "part"]
     pairs = visits.groupBy(*by).cogroup(stored.groupBy(*by)).applyInArrow(rank, "query bigint, node bigint, near double")
     pairs = pairs.groupBy("query", "node").agg(F.max("near").alias("near"))
     best = W.partitionBy("query").orderBy(F.col("near").desc(), "node")
     pairs = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).select("query", "node")
-    pairs = written(pairs, f"{folder}/pairs")
+    pairs = checked_broadcast(written(pairs, f"{folder}/pairs"))
 
     left = points.select(F.col("node").alias("query"), F.col("v").alias("qv"))
     exact = pairs.join(left, "query").join(points.select("node", "v", "ids"), "node")

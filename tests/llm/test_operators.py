@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -171,6 +172,39 @@ def test_nearest_finds_all_of_few(spark, folder, monkeypatch, kind, values):
     assert rp_forest.nearest(df.where("false"), F.lit(True), folder()).count() == 0
 
 
+def test_only_repeated_vectors_are_ranked_by_id(spark, folder, monkeypatch):
+    ranked, first_k = [], rp_forest.first_k
+
+    def counted(df, *args, **named):
+        ranked.append(df.count())
+        return first_k(df, *args, **named)
+
+    monkeypatch.setattr(rp_forest, "first_k", counted)
+    rows = [(k, [1.0, float(k)]) for k in range(40)] + [(100 + k, [1.0, 3.0]) for k in range(5)] + [(8, [1.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = rp_forest.nearest(df, F.col("vec_id").isin(3, 8, 104), folder(), search=1000).collect()
+    assert ranked == [7]  # 3, 100 to 104 and 8, which stands twice but is one
+    ids = lambda q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+    assert ids(3) == [100, 101, 102, 103, 104] and ids(104) == [3, 100, 101, 102, 103]
+    assert ids(8) == [9, 7, 10, 11, 6]
+
+
+@pytest.mark.parametrize("values", [1, 40, 2_000_000])
+def test_leaves_compared_at_once_equal_brute_force(monkeypatch, values):
+    monkeypatch.setattr(rp_forest, "GROUP_VALUES", values)
+    rng = np.random.default_rng(5)
+    stored, asking = rng.normal(size=(90, 4)), rng.normal(size=(25, 4))
+    leaf = np.sort(rng.integers(10, 30, 90))
+    visits = [sorted(rng.choice(np.arange(8, 32), n, replace=False).tolist()) for n in rng.integers(1, 15, 25)]
+    scores, places = rp_forest.nearest_rows(asking, pa.array(visits, pa.list_(pa.int64())), stored, leaf, 6)
+    for q, leaves in enumerate(visits):
+        near = np.where(np.isin(leaf, leaves), stored @ asking[q], -np.inf)
+        want = [i for i in np.argsort(-near)[:6] if np.isfinite(near[i])]
+        found = places[q] >= 0
+        assert set(places[q][found]) == set(want)
+        assert np.allclose(scores[q][found], near[places[q][found]])
+
+
 def test_forest_recall(spark, tiny, folder):
     df = spark.read.parquet(f"{tiny}/embeddings.parquet")
     got = {(r.query_id, r.vec_id) for r in QUERIES["op5_rp_forest"](spark, tiny).collect()}
